@@ -18,3 +18,12 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
     salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, _SALT], how).drop(_SALT)
+
+
+def spread(df: DataFrame, key: str, waves: int = 3) -> DataFrame:
+    """``df`` over at least ``waves`` partitions per core, for work that costs much more than reading its rows.
+
+    Inputs that already come in that many splits, as large ones do, are not shuffled. ``key`` must be near unique.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism * waves
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
