@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from estateloom.llm import survivors
+from estateloom.llm import secrets, survivors
 from estateloom.session import read_table
 
 _P4 = ["assessment_id", "entity_type", "entity_key", "attribute", "value_claim_id", "quote_claim_id"]
@@ -15,6 +15,8 @@ def _survivors(s, d):
 QUERIES = {
     "p4_found": lambda s, d: _survivors(s, d).select(*_P4),
     "p4_survivors": _survivors,
+    "p5_found": lambda s, d: secrets.find_credentials(read_table(s, d, "manifest_files")).select("file_id", "line_no").distinct(),
+    "p5_redacted": lambda s, d: secrets.redacted_files(read_table(s, d, "manifest_files")),
 }
 
 _KEYS = r"""
