@@ -1,12 +1,12 @@
 """Best representative of each group of competing claims, field by field, with currency reasoning.
 
 Claims rank by source precedence, confidence, time and order. Where the time is missing, currency is reasoned: from all
-timestamped rows the operator learns which value follows which (per entity type and attribute), keeps the majority
+timestamped rows the operator learns which value of an attribute follows which, keeps the majority
 direction of every pair of values as a precedence, and takes within a group the topologically latest values, i.e. those
 that no learned precedence places before another value of the group.
 
 A group may hold any share of the rows: survivors are chosen by map-side-combinable aggregates, never by a window over a
-group; value transitions are found in windows over (group, hour) and linked over one row per such chunk.
+group; value transitions are found in windows over (group, day) and linked over two rows per such day.
 """
 
 from __future__ import annotations
@@ -19,68 +19,71 @@ from estateloom.functions.keys import attribute_key, entity_key, is_blank, says_
 from estateloom.functions.skew import salted_join
 
 GROUP = ["assessment_id", "entity_type", "entity_key", "attribute"]
-KIND = ["entity_type", "attribute"]
 
 #: precedence of a claim whose document, or the document's precedence, is missing
 DEFAULT_PRECEDENCE = 50
 
 
 def keyed_claims(claims: DataFrame) -> DataFrame:
-    """The claims under their compared keys, with the normalised value that currency is reasoned over."""
-    return claims.select(
+    """The claims under their compared keys. ``fact`` is a hash of what is said of which kind of attribute, null if nothing is."""
+    keyed = claims.select(
         "assessment_id", "entity_type", entity_key("entity_type", "entity_key").alias("entity_key"), attribute_key("attribute").alias("attribute"),
         "claim_id", "ord", "value", "evidence_quote", "confidence", "source_document_id", "extracted_at",
-        F.when(says_something("value"), F.lower(strip("value"))).alias("said"),
     )
+    return keyed.withColumn("fact", F.when(says_something("value"), F.xxhash64("entity_type", "attribute", F.lower(strip("value")))))
 
 
 def learned_precedence(keyed: DataFrame) -> DataFrame:
-    """(entity_type, attribute, earlier, later): value transitions that occur more often than their reverse."""
-    timed = keyed.where("extracted_at is not null and said is not null").select(*GROUP, "said", "extracted_at", "ord", F.date_trunc("hour", "extracted_at").alias("chunk"))
-    within = timed.withColumn("earlier", F.lag("said").over(Window.partitionBy(*GROUP, "chunk").orderBy("extracted_at", "ord", "said")))
-    ends = timed.groupBy(*GROUP, "chunk").agg(
-        F.min_by("said", F.struct("extracted_at", "ord", "said")).alias("first"), F.max_by("said", F.struct("extracted_at", "ord", "said")).alias("last")
-    )
-    across = ends.select(*KIND, F.lag("last").over(Window.partitionBy(*GROUP).orderBy("chunk")).alias("earlier"), F.col("first").alias("later"))
-    steps = within.select(*KIND, "earlier", F.col("said").alias("later")).unionByName(across).where("earlier <> later")
-    forward = F.col("earlier") < F.col("later")
-    pairs = steps.select(*KIND, F.least("earlier", "later").alias("a"), F.greatest("earlier", "later").alias("b"), F.when(forward, 1).otherwise(-1).alias("way")).groupBy(*KIND, "a", "b").agg(F.sum("way").alias("way"))
-    return pairs.where("way <> 0").select(*KIND, F.when(F.col("way") > 0, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(F.col("way") > 0, F.col("b")).otherwise(F.col("a")).alias("later"))
+    """(earlier, later): pairs of facts of which the one follows the other more often than the reverse, over all timestamped rows.
+
+    Groups and facts travel as 64-bit hashes; a chance collision adds one to a count. Successive rows are compared within a
+    day of a group, then the last row of a day with the first of the group's next, one row per group and day.
+    """
+    timed = keyed.where("extracted_at is not null and fact is not null").select(F.xxhash64(*GROUP).alias("gid"), "fact", F.unix_micros("extracted_at").alias("at"), "ord")
+    day = Window.partitionBy("gid", F.floor(F.col("at") / F.lit(86_400_000_000))).orderBy("at", "ord", "fact")
+    rows = timed.select("gid", "at", "fact", F.lag("fact").over(day).alias("before"), F.lead("fact").over(day).alias("after"))
+    # a day's first row waits for the last row of the day before; rows inside a day are not needed for that
+    ends = rows.where("before is null or after is null").select("gid", "at", "fact", F.col("before").isNull().alias("opens"))
+    across = ends.withColumn("before", F.lag("fact").over(Window.partitionBy("gid").orderBy("at", F.col("opens").desc()))).where("opens").select("before", "fact")
+    steps = rows.select("before", "fact").where("before is not null").unionByName(across).where("before <> fact")
+    pairs = steps.groupBy(F.least("before", "fact").alias("a"), F.greatest("before", "fact").alias("b")).agg(F.sum(F.when(F.col("before") < F.col("fact"), 1).otherwise(-1)).alias("way"))
+    forward = F.col("way") > 0
+    return pairs.where("way <> 0").select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("later"))
 
 
 def with_currency(keyed: DataFrame) -> DataFrame:
     """``currency`` of each claim: 1 unless its time is missing and a learned precedence places its value before another of the group."""
-    untimed = keyed.where("extracted_at is null and said is not null").select(*GROUP, "said").distinct()
-    rivals = untimed.withColumnRenamed("said", "later")
-    ordered = salted_join(untimed, learned_precedence(keyed).withColumnRenamed("earlier", "said"), [*KIND, "said"], ["assessment_id", "entity_key"], "inner")
-    overtaken = ordered.join(rivals, [*GROUP, "later"], "left_semi").select(*GROUP, "said").distinct().withColumn("overtaken", F.lit(True))
-    timed = keyed.where("extracted_at is not null or said is null").withColumn("currency", F.lit(1))
-    missing = keyed.where("extracted_at is null and said is not null").withColumn("at_hand", F.xxhash64("claim_id"))
-    placed = salted_join(missing, overtaken, [*GROUP, "said"], ["at_hand"], "left").withColumn("currency", F.when(F.col("overtaken"), 0).otherwise(1)).drop("at_hand", "overtaken")
-    return timed.unionByName(placed)
+    untimed = keyed.where("extracted_at is null and fact is not null")
+    facts = untimed.select(*GROUP, "fact").distinct()
+    ordered = salted_join(facts, learned_precedence(keyed).withColumnRenamed("earlier", "fact"), ["fact"], ["assessment_id", "entity_key"], "inner")
+    overtaken = ordered.join(facts.withColumnRenamed("fact", "later"), [*GROUP, "later"], "left_semi").select(*GROUP, "fact").distinct().withColumn("overtaken", F.lit(True))
+    placed = salted_join(untimed, overtaken, [*GROUP, "fact"], ["claim_id"], "left").withColumn("currency", F.when(F.col("overtaken"), 0).otherwise(1)).drop("overtaken")
+    return keyed.where("extracted_at is not null or fact is null").withColumn("currency", F.lit(1)).unionByName(placed)
 
 
-def survivors(claims: DataFrame, documents: DataFrame) -> DataFrame:
+def survivors(claims: DataFrame, documents: DataFrame, with_fields: bool = True) -> DataFrame:
     """One row per group of two or more distinct claims: the claims that give the value and the quote, and the built record.
 
+    ``with_fields=False`` leaves the record's texts out, and they are not shuffled then.
+
     Edge cases: null keys group together; null confidence and NaN rank last, as do null times among equals; redelivered rows
     count once; a document listed several times counts with its highest precedence; a group whose values all say nothing has
     '' as ``value_claim_id`` (likewise for quotes); an empty table gives an empty table; further columns are ignored.
     """
     precedence = documents.groupBy(F.col("document_id").alias("source_document_id")).agg(F.max("precedence").alias("precedence"))
-    ranked = salted_join(with_currency(keyed_claims(claims)), precedence, ["source_document_id"], ["claim_id"], "left")
     confidence = F.when(F.isnan("confidence"), F.lit(None)).otherwise(F.col("confidence"))
-    rank = F.struct(
-        F.coalesce("precedence", F.lit(DEFAULT_PRECEDENCE)).alias("precedence"), F.coalesce(confidence, F.lit(float("-inf"))).alias("confidence"),
-        F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))).alias("time"), F.col("currency"), (-F.coalesce("ord", F.lit(2**62))).alias("order"),
+    texts = ["value", "evidence_quote"] if with_fields else []
+    flagged = with_currency(keyed_claims(claims)).select(
+        *GROUP, "claim_id", "ord", "source_document_id", "currency", *texts, F.coalesce(confidence, F.lit(float("-inf"))).alias("confidence"),
+        F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))).alias("at"), F.col("fact").isNotNull().alias("has_value"), (~is_blank("evidence_quote")).alias("has_quote"),
     )
+    ranked = salted_join(flagged, precedence, ["source_document_id"], ["claim_id"], "left")
 
-    def first(field: str, usable: Column) -> Column:
-        return F.max_by(F.when(usable, F.struct("claim_id", field)), F.when(usable, rank))
+    def first(field: str, usable: str) -> Column:
+        rank = [F.coalesce("precedence", F.lit(DEFAULT_PRECEDENCE)).alias("precedence"), "confidence", "at", "currency", (-F.coalesce("ord", F.lit(2**62))).alias("order"), "claim_id"]
+        return F.max(F.when(F.col(usable), F.struct(*rank, *([field] if with_fields else []))))
 
-    groups = ranked.groupBy(*GROUP).agg(
-        F.min("claim_id").alias("a"), F.max("claim_id").alias("b"), first("value", F.col("said").isNotNull()).alias("v"), first("evidence_quote", ~is_blank("evidence_quote")).alias("q")
-    )
-    return groups.where("a <> b").select(
-        *GROUP, F.coalesce("v.claim_id", F.lit("")).alias("value_claim_id"), F.coalesce("q.claim_id", F.lit("")).alias("quote_claim_id"), strip("v.value").alias("value"), F.col("q.evidence_quote").alias("evidence_quote")
-    )
+    id_ = F.xxhash64("claim_id")
+    groups = ranked.groupBy(*GROUP).agg(F.min(id_).alias("a"), F.max(id_).alias("b"), first("value", "has_value").alias("v"), first("evidence_quote", "has_quote").alias("q"))
+    record = [strip("v.value").alias("value"), F.col("q.evidence_quote").alias("evidence_quote")] if with_fields else []
+    return groups.where("a <> b").select(*GROUP, F.coalesce("v.claim_id", F.lit("")).alias("value_claim_id"), F.coalesce("q.claim_id", F.lit("")).alias("quote_claim_id"), *record)
