@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from estateloom.llm import secrets, survivors
+from pyspark.sql import functions as F
+
+from estateloom.llm import pii, secrets, survivors
 from estateloom.session import read_table
 
 _P4 = ["assessment_id", "entity_type", "entity_key", "attribute", "value_claim_id", "quote_claim_id"]
 
 
-def _survivors(s, d):
-    return survivors.survivors(read_table(s, d, "claims"), read_table(s, d, "source_documents"))
+def _survivors(s, d, **options):
+    return survivors.survivors(read_table(s, d, "claims"), read_table(s, d, "source_documents"), **options)
+
+
+def _personal_data(s, d):
+    return pii.scanned(pii.texts_of(read_table(s, d, "claims"), read_table(s, d, "inventory_lines")), read_table(s, d, "name_lexicon"))
 
 
 QUERIES = {
-    "p4_found": lambda s, d: _survivors(s, d).select(*_P4),
+    "p3_found": lambda s, d: _personal_data(s, d).select("source_table", "row_key", F.explode("found").alias("f")).select("source_table", "row_key", "f.kind", "f.pii_text").distinct(),
+    "p3_redacted": lambda s, d: _personal_data(s, d).select("source_table", "row_key", "redacted").distinct(),
+    "p4_found": lambda s, d: _survivors(s, d, with_fields=False).select(*_P4),
     "p4_survivors": _survivors,
     "p5_found": lambda s, d: secrets.find_credentials(read_table(s, d, "manifest_files")).select("file_id", "line_no").distinct(),
     "p5_redacted": lambda s, d: secrets.redacted_files(read_table(s, d, "manifest_files")),
