@@ -348,6 +348,11 @@ def _names(text: str, lexicon: Lexicon, taken: list[Span]) -> Iterable[Span]:
             if found and found[1] == m.start() and not inside(*found[:2]):
                 yield found[0], found[1], "name", found[2] + 0.8
                 break
+        else:
+            # two unknown words in small letters that open the remark
+            small = re.search(r"(?:^|[\n>(;/.-])\s*([^\W\d_]{3,} [^\W\d_]{3,})$", head)
+            if small and not any(w in _KNOWN["words"] or w in _PARTICLES for w in small.group(1).split()):
+                yield base + small.start(1), m.start(), "name", 1.1
     # two tokens of the lexicon side by side need no cue
     for m in _WORD.finditer(text):
         if "given" in lexicon.kind.get(m.group().lower(), ()) or "surname" in lexicon.kind.get(m.group().lower(), ()):
