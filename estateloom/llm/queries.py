@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estateloom.llm import pii, secrets, survivors
+from estateloom.llm import pii, secrets, sentences, survivors
 from estateloom.session import read_table
 
 _P4 = ["assessment_id", "entity_type", "entity_key", "attribute", "value_claim_id", "quote_claim_id"]
@@ -24,6 +24,8 @@ QUERIES = {
     "p4_found": lambda s, d: _survivors(s, d, with_fields=False).select(*_P4),
     "p4_survivors": _survivors,
     "p5_found": lambda s, d: secrets.find_credentials(read_table(s, d, "manifest_files")).select("file_id", "line_no").distinct(),
+    "p9_found": lambda s, d: sentences.sentence_units(read_table(s, d, "documents")).select("doc_id", "start_pos").distinct(),
+    "p9_sentences": lambda s, d: sentences.sentence_units(read_table(s, d, "documents")),
     "p5_redacted": lambda s, d: secrets.redacted_files(read_table(s, d, "manifest_files")),
 }
 
