@@ -30,9 +30,10 @@ _VCPU = re.compile(r"0*([1-9][0-9]{0,3})(?:\.0+)?")
 
 
 class SyntaxFault(Exception):
-    def __init__(self, offset: int, rule: str, message: str):
+    def __init__(self, offset: int, rule: str, message: str, resume: int):
         super().__init__(message)
         self.offset, self.rule, self.message = offset, rule, message
+        self.resume = resume  # where the broken field starts: anchors are looked for from there
 
 
 class RecordGrammar:
@@ -46,14 +47,14 @@ class RecordGrammar:
         if text.startswith('"', at):
             m = _QUOTED.match(text, at)
             if not m:
-                raise SyntaxFault(at, "quoted", "quoted field is never closed")
+                raise SyntaxFault(at, "quoted", "quoted field is never closed", at)
             value, end = m.group(1).replace('""', '"'), m.end()
             if end < len(text) and text[end] != self.sep and (whole or text[end] != "\n") and text[end:] != "\r" and text[end : end + 2] != "\r\n":
-                raise SyntaxFault(end, "quoted", "text after the closing quote")
+                raise SyntaxFault(end, "quoted", "text after the closing quote", at)
             return value, end
         m = self._bare[whole].match(text, at)
         if m.end() < len(text) and text[m.end()] == '"':
-            raise SyntaxFault(m.end(), "bare", "quote inside an unquoted field")
+            raise SyntaxFault(m.end(), "bare", "quote inside an unquoted field", at)
         return m.group(), m.end()
 
     def record(self, text: str, at: int = 0, whole: bool = False) -> tuple[list[str], int]:
@@ -119,7 +120,7 @@ def parse_line(raw: str | None, header: str | None) -> tuple[str | None, int, st
     try:
         fields, _ = g.record(text, 0, True)
     except SyntaxFault as fault:
-        return "quoting", fault.offset, f"{fault.rule}: {fault.message}", None, g.recover(text, fault.offset, len(names)), None
+        return "quoting", fault.offset, f"{fault.rule}: {fault.message}", None, g.recover(text, fault.resume, len(names)), None
     if len(fields) != len(names):
         return "columns", len(text), f"{len(fields)} fields, the header has {len(names)}", fields, [], None
     vcpu = None
