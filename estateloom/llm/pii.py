@@ -143,7 +143,7 @@ def _ids(text: str) -> Iterable[Span]:
             digits = re.sub(r"\D", "", value)
             score_here = score - 1.2 * bool(_NOT_PHONE.search(before))
             if score < 1:
-                score_here += 1.0 * (mod97(value) if value[0].isalpha() else luhn(digits) and digits[0] in "3456" and len(set(digits)) > 3 and 13 <= len(digits) <= 19)
+                score_here += 1.0 * (mod97(value) if value[0].isalpha() else luhn(digits) and digits[0] in "3456" and len(set(digits)) > 1 and 13 <= len(digits) <= 19)
                 score_here -= 0.5 * bool(re.search(r"\D", value) and not re.fullmatch(r"(?:\d{4}[ -]){3,4}\d{1,4}|[A-Z].*", value))
             yield m.start(), m.end(), "id_number", score_here
 

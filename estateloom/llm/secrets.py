@@ -249,7 +249,7 @@ def _merged(spans: list[Span]) -> list[Span]:
 
 def scan_path(path: str, words: dict[str, float]) -> list[Span]:
     """Credentials in a path: assignments and user info in its components, or a component that no dictionary explains."""
-    spans = [s for s in _line_spans(path, words) if s[2] in ("assignment", "address")]
+    spans: list[Span] = []
     at = 0
     parts = path.split("/")
     for i, part in enumerate(parts):
@@ -259,6 +259,7 @@ def scan_path(path: str, words: dict[str, float]) -> list[Span]:
             digits, upper = sum(c.isdigit() for c in part), sum(c.isupper() for c in part)
             if residual(part, words) >= 14 and digits + upper >= 4:
                 spans.append((at, at + len(part), "path"))
+        spans += [(at + s, at + e, k) for s, e, k in _line_spans(part, words) if k in ("assignment", "address")]
         at += len(part) + 1
     return _merged(spans)
 
