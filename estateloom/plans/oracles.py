@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from estateloom.plans import estate_queries
+
 _W = r"E' \t\n\r'"
 _FIELD = {sep: rf'(?:"(?:[^"]|"")*"|[^"{sep}]*)' for sep in (",", ";", r"\t")}
 
@@ -61,4 +63,5 @@ select * from out where cell is not null"""
 ORACLES: dict[str, str] = {
     "p1_found": _p1("select line_id, reason from y where reason is not null"),
     "p6_found": _P6,
+    **estate_queries.ORACLES,
 }

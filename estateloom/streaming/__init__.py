@@ -1 +1 @@
-
+"""Incremental counterparts of batch operators on Structured Streaming."""
