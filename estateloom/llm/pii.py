@@ -204,6 +204,8 @@ _WEAK_CUES = {"ask", "per", "contact", "owner", "approved", "engineer", "manager
 _CUES_AFTER = re.compile(
     r"\s*(?:\(|,)?\s*(?:is the only one|confirmed in|confirmed that|confirmed it|has console access|said in|said that|owns the|owns this|signed off|approved (?:it|this|the)|will decide|handed over|joined|left the|is on call|is on leave|wrote|asked for|takes over|hat bestätigt|a confirmé|confirmó|asks that|is responsible|is the owner)"
 )
+#: the mark that opens a signature, on a line of its own (also in quoted mail)
+_SIGNATURE = re.compile(r"(?:^|\n)(?:>[ \t]*)*--[ \t]*\r?\n(?:>[ \t]*)*(?=[^\W\d_])")
 _LATIN = r"[^\W\d_]"
 _WORD = re.compile(r"(?:[^\W\d_]|[’'](?=[^\W\d_])|-(?=[^\W\d_])|[ऀ-ॿ])+\.?")
 _OTHER_SCRIPT = re.compile(r"[؀-ۿݐ-ݿ]+(?: [؀-ۿݐ-ݿ]+){0,3}|[Ѐ-ӿ]+(?:-[Ѐ-ӿ]+)?(?: [Ѐ-ӿ]+(?:-[Ѐ-ӿ]+)?){0,3}|[ऀ-ॿ]+(?: [ऀ-ॿ]+){0,3}|[一-鿿ぁ-ヿ]{1,4} [一-鿿ぁ-ヿ]{1,4}(?![一-鿿ぁ-ヿ])|[一-鿿]{2,3}(?![一-鿿ぁ-ヿ])|[가-힯]{2,4}")
@@ -353,6 +355,12 @@ def _names(text: str, lexicon: Lexicon, taken: list[Span]) -> Iterable[Span]:
             small = re.search(r"(?:^|[\n>(;/.-])\s*([^\W\d_]{3,} [^\W\d_]{3,})$", head)
             if small and not any(w in _KNOWN["words"] or w in _PARTICLES for w in small.group(1).split()):
                 yield base + small.start(1), m.start(), "name", 1.1
+    for m in _SIGNATURE.finditer(text):
+        found = _name_at(text, m.end(), lexicon, True)
+        if found and re.match(r"[ \t]*(?:\||\n|\r|$|,)", text[found[1] :]) and not inside(*found[:2]):
+            yield found[0], found[1], "name", found[2] + 0.9
+        elif (small := re.compile(r"[^\W\d_]{3,}(?: [^\W\d_]{3,}){1,2}(?=[ \t]*\|)").match(text, m.end())) and not inside(*small.span()):
+            yield *small.span(), "name", 1.1
     # two tokens of the lexicon side by side need no cue
     for m in _WORD.finditer(text):
         if "given" in lexicon.kind.get(m.group().lower(), ()) or "surname" in lexicon.kind.get(m.group().lower(), ()):
