@@ -89,3 +89,27 @@ def plain_text(c: Column | str) -> Column:
     ]:
         t = F.regexp_replace(t, pattern, by)
     return F.trim(t)
+
+
+def overlapped_chunks(documents: DataFrame, budget: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """(doc_id, chunk_no, carried, chunk): packed chunks that start with the last sentences of the chunk before, up to ``overlap`` tokens.
+
+    Nothing is carried if the whole chunk before would fit.
+    """
+    chunks = packed_chunks(documents, budget).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "tokens", "chunk"))).alias("c"))
+
+    def tail(previous: Column) -> Column:
+        sentences = F.reverse(F.split(previous["chunk"], r"(?<=[.!?])\s+"))
+        kind = "struct<t:int,open:boolean,out:array<string>>"
+        initial = F.struct(F.lit(0).alias("t"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("out")).cast(kind)
+
+        def add(acc: Column, s: Column) -> Column:
+            fits = acc["open"] & (acc["t"] + n_tokens(s) <= overlap)
+            return F.when(fits, F.struct((acc["t"] + n_tokens(s)).alias("t"), F.lit(True).alias("open"), F.concat(F.array(s), acc["out"]).alias("out"))).otherwise(
+                F.struct(acc["t"].alias("t"), F.lit(False).alias("open"), acc["out"].alias("out"))
+            ).cast(kind)
+
+        return F.when(previous["tokens"] > overlap, F.array_join(F.aggregate(sentences, initial, add)["out"], " ")).otherwise("")
+
+    rows = F.transform("c", lambda x, i: F.struct(x["chunk_no"].alias("chunk_no"), F.when(i > 0, tail(F.get("c", i - 1))).otherwise("").alias("carried"), x["chunk"].alias("chunk")))
+    return chunks.select("doc_id", F.inline(rows))

@@ -79,3 +79,38 @@ def filled_headers(tables: DataFrame) -> DataFrame:
     """Header cells with blanks taken from the last label to the left: (doc_id, table_no, col_no, label)."""
     filled = F.transform("header", lambda h, i: F.coalesce(F.try_element_at(F.filter(F.slice("header", 1, i + 1), lambda x: x != ""), F.lit(-1)), F.lit("")))
     return tables.select("doc_id", "table_no", F.posexplode(filled).alias("col_no", "label"))
+
+
+_TOTAL = r"(?i)^\s*((grand\s+)?(sub[\s-]?)?totals?\b.*|(sum|overall)\s*)$"
+
+
+def cleaned_tables(tables: DataFrame) -> DataFrame:
+    """Tables without total rows, repeated headers and trailing notes, and how many of each were left out."""
+    norm = lambda row: F.transform(row, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""))
+    first = lambda row: F.coalesce(F.get(F.filter(row, lambda c: c != ""), F.lit(0)), F.lit(""))
+    repeated = lambda r: norm(r) == norm(F.col("header"))
+    total = lambda r: ~repeated(r) & first(r).rlike(_TOTAL)
+    note = lambda r: (F.size(F.filter(r, lambda c: c != "")) == 1) & (F.size(F.split(first(r), r"\s+")) >= 4) & strict_number(first(r)).isNull()
+    kept = tables.withColumn("body", F.filter("rows", lambda r: ~repeated(r) & ~total(r)))
+    last_record = F.coalesce(F.array_max(F.transform("body", lambda r, i: F.when(~note(r), i + 1).otherwise(0))), F.lit(0))
+    trimmed = kept.withColumn("n_body", last_record)
+    return trimmed.select(
+        "doc_id", "table_no", "header", F.slice("body", 1, F.col("n_body")).alias("rows"), F.size(F.filter("rows", total)).alias("n_totals"), F.size(F.filter("rows", repeated)).alias("n_repeats"), (F.size("body") - F.col("n_body")).alias("n_notes")
+    )
+
+
+def row_groups(tables: DataFrame, most_rows: int = 20, budget: int = 600) -> DataFrame:
+    """(doc_id, table_no, group_no, first_row, n_rows, tokens): rows in order, closed at ``most_rows`` or when the budget less the header is used up."""
+    line = lambda row: F.greatest(F.lit(1), F.floor(F.length(F.array_join(row, " | ")) / 4)).cast("int")
+    room = tables.withColumn("room", F.greatest(F.lit(budget) - line(F.col("header")), F.lit(budget // 4)))
+    kind = "array<struct<n:int,t:int>>"
+
+    def add(acc: Column, row: Column) -> Column:
+        t, last = line(row), F.get(acc, F.size(acc) - 1)
+        fits = (F.size(acc) > 0) & (last["n"] < most_rows) & (last["t"] + t <= F.col("room"))
+        grown = F.struct((last["n"] + 1).alias("n"), (last["t"] + t).alias("t"))
+        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(F.struct(F.lit(1).alias("n"), t.alias("t"))))).cast(kind)
+
+    groups = room.withColumn("g", F.aggregate("rows", F.array().cast(kind), add))
+    first = F.transform("g", lambda x, i: F.struct(i.cast("int").alias("group_no"), F.aggregate(F.slice("g", 1, i), F.lit(0), lambda a, y: a + y["n"]).alias("first_row"), x["n"].alias("n_rows"), x["t"].alias("tokens")))
+    return groups.select("doc_id", "table_no", F.inline(first))

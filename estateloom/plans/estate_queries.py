@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from estateloom.functions import inventory as I
 from estateloom.functions.keys import host_slug, slug
-from estateloom.operators import chunking, evaluation, evidence, extraction, graph, reconciliation, retrieval, rollups, tables
+from estateloom.operators import chunking, evaluation, evidence, extraction, graph, questions, reconciliation, retrieval, rollups, tables
+from estateloom.sources import sinks
 from estateloom.streaming import incremental
 from estateloom.session import read_table
 
@@ -142,7 +143,64 @@ def _fused_search(documents: DataFrame) -> DataFrame:
     return retrieval.hybrid(documents, q)
 
 
+def _conflict_members(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """The claims of each conflict beside the one selected: members by a join on the group, not by lists of ids."""
+    found = reconciliation.conflicts(claims, documents).select(*reconciliation.GROUP, "selected_claim_id")
+    members = reconciliation.canonical_claims(claims).select(*reconciliation.GROUP, "claim_id", "compared")
+    return members.join(found, reconciliation.GROUP).select("claim_id", "compared", "selected_claim_id", (F.col("claim_id") == F.col("selected_claim_id")).alias("selected"))
+
+
+def _duplicate_texts(documents: DataFrame) -> DataFrame:
+    """Classes of equal texts by content hash: the first document, copies, and characters saved by keeping one."""
+    h = documents.where("text is not null").groupBy(F.sha2("text", 256).alias("hash"))
+    return h.agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), (F.sum(F.length("text")) - F.max(F.length("text"))).alias("saved_chars")).where("n > 1")
+
+
+def _ingestion_lag(claims: DataFrame) -> DataFrame:
+    """Per assessment and day of extraction: claims and the seconds from extraction to first delivery, never below 0."""
+    first = claims.groupBy("claim_id").agg(F.min("ingested_at").alias("seen"), F.min("extracted_at").alias("made"), F.min("assessment_id").alias("assessment_id"))
+    lag = F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("made"), F.col("seen")))
+    return first.groupBy("assessment_id", F.date_format("made", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.min(lag).alias("least"), F.max(lag).alias("most"), F.sum(lag).alias("total"))
+
+
+def _sanitised(claims: DataFrame) -> DataFrame:
+    """What a gate behind an extractor does to claims: types off the list dropped, texts cut to their limits, confidence clamped."""
+    c = claims.dropDuplicates(["claim_id"])
+    kind = I.canonical_entity_type("entity_type")
+    conf = F.least(F.greatest(F.coalesce(F.nanvl("confidence", F.lit(None).cast("double")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return c.where(kind.isNotNull()).select("claim_id", kind.alias("entity_type"), F.left("entity_key", F.lit(120)).alias("entity_key"), F.left("attribute", F.lit(80)).alias("attribute"), F.left("value", F.lit(500)).alias("value"), F.left("evidence_quote", F.lit(500)).alias("quote"), conf.alias("confidence"))
+
+
+def _preferred_documents(documents: DataFrame, claims: DataFrame) -> DataFrame:
+    """Documents by their own row, else by the claims that cite them: the first source wins."""
+    own = documents.select("document_id", "assessment_id").distinct()
+    cited = claims.where("source_document_id is not null").groupBy(F.col("source_document_id").alias("document_id")).agg(F.min("assessment_id").alias("assessment_id"))
+    return questions.first_of_sources(own, cited, "document_id")
+
+
+def _overflow(documents: DataFrame, most: int = 200) -> DataFrame:
+    """The first ``most`` documents by size, and whether there were more: one row beyond the limit is read."""
+    rows = documents.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(most + 1)
+    n = F.count("*").over(Window.partitionBy())  # over the limited rows
+    place = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))
+    return rows.withColumn("more", n > most).withColumn("place", place).where(F.col("place") <= most).select("doc_id", "place", "more")
+
+
 QUERIES: dict[str, Query] = {
+    "conflict_members": over2("claims", "source_documents", _conflict_members),
+    "duplicate_texts": over("documents", _duplicate_texts),
+    "ingestion_lag": over("claims", _ingestion_lag),
+    "sanitised_claims": over("claims", _sanitised),
+    "preferred_documents": over2("source_documents", "claims", _preferred_documents),
+    "overflow_probe": over("documents", _overflow),
+    "recent_entries": over("events", questions.recent_entries),
+    "named_entities": over2("documents", "claims", questions.named_entities),
+    "answer_passages": over("documents", lambda docs: questions.passages(docs, _every_hundredth(docs))),
+    "overlapped_chunks": over("documents", chunking.overlapped_chunks),
+    "plain_documents": over("documents", lambda docs: docs.where("text is not null").select("doc_id", F.md5(chunking.plain_text("text")).alias("plain"), F.length(chunking.plain_text("text")).alias("n_chars"))),
+    "cleaned_tables": _tables(lambda t: tables.cleaned_tables(t).select("doc_id", "table_no", F.size("rows").alias("n_rows"), "n_totals", "n_repeats", "n_notes")),
+    "row_groups": _tables(tables.row_groups),
+    "assessment_reports": over("claims", sinks.assessment_reports),
     "nearest_vectors": over("embeddings", _vectors),
     "label_agreement": over("embeddings", _label_agreement),
     "bm25_search": over("documents", lambda docs: retrieval.bm25(docs, _every_hundredth(docs)).select("query_id", "doc_id", F.round("score", 3).alias("score"), "place")),
@@ -329,6 +387,34 @@ select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files,
         f"select file_id, {_COMPONENT_SQL} as component, '{a}' as source, unnest(regexp_extract_all(text, '{_RE(p)}', 1)) as name, unnest(regexp_extract_all(text, '{_RE(p)}', 2)) as version from manifest_files" for a, p in extraction.DEPENDENCY_FORMS.items()
     )
     + ") select component, source, name, version, count(distinct file_id) as n_files from f group by 1, 2, 3, 4",
+    "conflict_members": rf"""
+with {_KEYED}, p as (select document_id, max(precedence) as precedence from source_documents group by 1),
+j as (select k.*, coalesce(p.precedence, 50) as prec from k left join p on source_document_id = document_id where value is not null),
+g as (select assessment_id, entity_type, ekey, field, arg_max(claim_id, (prec, conf, -ord)) as selected_claim_id from j group by 1, 2, 3, 4 having count(distinct compared) > 1)
+select claim_id, compared, selected_claim_id, claim_id = selected_claim_id as selected from j join g using (assessment_id, entity_type, ekey, field)""",
+    "duplicate_texts": "select sha256(text) as hash, min(doc_id) as first_doc, count(*) as n, sum(length(text)) - max(length(text)) as saved_chars from documents where text is not null group by 1 having count(*) > 1",
+    "ingestion_lag": """
+with f as (select claim_id, min(ingested_at) as seen, min(extracted_at) as made, min(assessment_id) as assessment_id from claims group by 1),
+l as (select *, greatest(0, trunc(epoch(seen - made))::bigint) as lag from f)
+select assessment_id, strftime(made, '%Y-%m') as month, count(*) as n, min(lag) as least, max(lag) as most, sum(lag) as total from l group by 1, 2""",
+    "sanitised_claims": """
+select distinct on (claim_id) claim_id, entity_type, left(entity_key, 120) as entity_key, left(attribute, 80) as attribute, left(value, 500) as value, left(evidence_quote, 500) as quote,
+  least(greatest(case when confidence is null or isnan(confidence) then 0.0 else confidence end, 0.0), 1.0) as confidence from claims""",
+    "preferred_documents": """
+with o as (select document_id, min(assessment_id) as assessment_id from source_documents group by 1), c as (select source_document_id as document_id, min(assessment_id) as assessment_id from claims where source_document_id is not null group by 1)
+select document_id, 0 as source, assessment_id from o union all select document_id, 1, assessment_id from c where document_id not in (select document_id from o)""",
+    "overflow_probe": "select doc_id, row_number() over (order by n_chars desc, doc_id) as place, (select count(*) from documents) > 200 as more from documents qualify place <= 200",
+    "recent_entries": "select user_id, row_number() over (partition by user_id order by ts desc, event_id desc) as place, event_id, event_type from events qualify place <= 3",
+    "named_entities": r"""
+with q as (select doc_id, unnest(regexp_extract_all(text, '[^.!?\n]*\?')) as question from documents), k as (select left(trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')), 240) as key from q),
+o as (select key, count(*) as n from k where length(key) >= 8 group by 1),
+m as (select trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) as name, count(distinct claim_id) as n_claims from claims where lower(attribute) = 'name' and value is not null group by 1)
+select name, count(*) as n_questions, sum(n) as n_asked, max(n_claims) as n_claims from o join m on contains(' ' || key || ' ', ' ' || name || ' ') where length(name) >= 4 group by 1""",
+    "plain_documents": r"""
+with p as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^```.*$', '', 'g'),
+  '(?m)^\s*\|?[\s|:-]*-[\s|:-]*\|?\s*$', '', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) as t
+  from documents where text is not null)
+select doc_id, md5(t) as plain, length(t) as n_chars from p""",
     "event_windows_stream": "select time_bucket(interval 1 hour, ts) as started, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     "latest_claims_stream": "select claim_id, arg_min(ord, ingested_at) as ord, arg_min(attribute, ingested_at) as attribute, arg_min(struct_pack(v := value), ingested_at).v as value from claims group by 1",
 }
