@@ -184,7 +184,7 @@ def _addresses(text: str) -> Iterable[Span]:
             if i == 0 and tail:
                 # the next remark is no town: capitals throughout, a title, a word known as none, or a sentence that goes on
                 words = tail.group("town").split()
-                goes_on = re.match(r"\s+[^\W\d_A-ZÀ-Þ][\w'’]*|\s+\d", text[m.end() :])
+                goes_on = re.match(r"[ \t]+[^\W\d_A-ZÀ-Þ][\w'’]*|[ \t]+\d", text[m.end() :])
                 if goes_on or words[0].isupper() or words[-1].isupper() or words[0].lower() in _TITLES or words[0].lower() in _KNOWN["words"] - {"port"}:
                     value = value[: tail.start()]
             yield m.start(), m.start() + len(value), "address", 1.5
@@ -275,7 +275,7 @@ def _name_at(text: str, at: int, lexicon: Lexicon, loose: bool) -> tuple[int, in
     words = _words(text, at)
     parts: list[tuple[int, int, str, str]] = []
     # given name and surname in small letters: one must be known, and the remark ends or goes on as after names
-    small = len(words) > 1 and all(w.islower() and w.isalpha() and len(w) > 2 and w not in _KNOWN["words"] for _, _, w in words[:2]) and ("surname" in lexicon.kind.get(words[1][2], ()) or "given" in lexicon.kind.get(words[0][2], ()))
+    small = len(words) > 1 and all(w.islower() and w.replace("-", "").isalpha() and len(w) > 2 and w not in _KNOWN["words"] for _, _, w in words[:2]) and ("surname" in lexicon.kind.get(words[1][2], ()) or "given" in lexicon.kind.get(words[0][2], ()))
     if small and loose and text[words[0][1]] == " " and _REMARK_ENDS.match(text, words[1][1]):
         return words[0][0], words[1][1], 0.9 + titled
     for i, (start, end, w) in enumerate(words):
@@ -352,14 +352,14 @@ def _names(text: str, lexicon: Lexicon, taken: list[Span]) -> Iterable[Span]:
                 break
         else:
             # two unknown words in small letters that open the remark
-            small = re.search(r"(?:^|[\n>(;/.-])\s*([^\W\d_]{3,} [^\W\d_]{3,})$", head)
+            small = re.search(r"(?:^|[\n>(;/.-])\s*([^\W\d_]{3,} [^\W\d_]{3,}(?:-[^\W\d_]{2,})?)$", head)
             if small and not any(w in _KNOWN["words"] or w in _PARTICLES for w in small.group(1).split()):
                 yield base + small.start(1), m.start(), "name", 1.1
     for m in _SIGNATURE.finditer(text):
         found = _name_at(text, m.end(), lexicon, True)
         if found and re.match(r"[ \t]*(?:\||\n|\r|$|,)", text[found[1] :]) and not inside(*found[:2]):
             yield found[0], found[1], "name", found[2] + 0.9
-        elif (small := re.compile(r"[^\W\d_]{3,}(?: [^\W\d_]{3,}){1,2}(?=[ \t]*\|)").match(text, m.end())) and not inside(*small.span()):
+        elif (small := re.compile(r"[^\W\d_]{3,}(?: [^\W\d_]{3,}(?:-[^\W\d_]{2,})?){1,2}(?=[ \t]*\|)").match(text, m.end())) and not inside(*small.span()):
             yield *small.span(), "name", 1.1
     # two tokens of the lexicon side by side need no cue
     for m in _WORD.finditer(text):

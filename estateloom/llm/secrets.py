@@ -194,7 +194,7 @@ def _line_spans(line: str, words: dict[str, float]) -> list[Span]:
             at = m.start("bare")
     for m in _SPACED.finditer(line):
         v = m.group("value")
-        if (w := name_weight(m.group("name"))) >= 2 and re.search(r"\d", v) and re.search(r"[A-Za-z]", v):
+        if (w := name_weight(m.group("name"))) >= 2 and re.search(r"[A-Za-z]", v) and (re.search(r"\d", v) or residual(v, words) >= 7):
             add(m, "value", w, True, "comment")
     return found
 
