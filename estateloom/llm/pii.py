@@ -352,7 +352,7 @@ def _names(text: str, lexicon: Lexicon, taken: list[Span]) -> Iterable[Span]:
                 break
         else:
             # two unknown words in small letters that open the remark
-            small = re.search(r"(?:^|[\n>(;/.-])\s*([^\W\d_]{3,} [^\W\d_]{3,}(?:-[^\W\d_]{2,})?)$", head)
+            small = re.search(r"(?:^|[\n>(;/.\"-])\s*([^\W\d_]{3,} [^\W\d_]{3,}(?:-[^\W\d_]{2,})?)$", head)
             if small and not any(w in _KNOWN["words"] or w in _PARTICLES for w in small.group(1).split()):
                 yield base + small.start(1), m.start(), "name", 1.1
     for m in _SIGNATURE.finditer(text):
