@@ -133,3 +133,19 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
     rows = F.flatten(F.array(*(named(s, p) for s, p in DEPENDENCY_FORMS.items())))
     found = files.where("text is not null").select("file_id", component("relative_path").alias("component"), F.inline(F.array_distinct(rows)))
     return found.groupBy("component", "source", "name", "version").agg(F.count("*").alias("n_files"))
+
+
+# Words that point to gaps in what is known.
+GAP_SIGNALS = {"card data": "pci", "health data": "hipaa", "undocumented": "not documented|known gaps", "no backup": "no backup|lack a backup", "unknown owner": "owner is unknown|nobody"}
+
+
+def gap_signals(documents: DataFrame) -> DataFrame:
+    """(signal, n_documents, first_doc): all signals in one scan."""
+    hits = F.array_compact(F.array(*(F.when(F.lower("text").rlike(p), F.lit(s)) for s, p in GAP_SIGNALS.items())))
+    return documents.where("text is not null").select("doc_id", F.explode(hits).alias("signal")).groupBy("signal").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
+
+
+def thin_documents(documents: DataFrame, least_chars: int = 40) -> DataFrame:
+    """(assessment_id, n, n_thin, chars): documents of which too little text came out, per assessment."""
+    size = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    return documents.groupBy("assessment_id").agg(F.count("*").alias("n"), F.count_if(size < least_chars).alias("n_thin"), F.sum(size).alias("chars"))

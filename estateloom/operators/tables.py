@@ -114,3 +114,31 @@ def row_groups(tables: DataFrame, most_rows: int = 20, budget: int = 600) -> Dat
     groups = room.withColumn("g", F.aggregate("rows", F.array().cast(kind), add))
     first = F.transform("g", lambda x, i: F.struct(i.cast("int").alias("group_no"), F.aggregate(F.slice("g", 1, i), F.lit(0), lambda a, y: a + y["n"]).alias("first_row"), x["n"].alias("n_rows"), x["t"].alias("tokens")))
     return groups.select("doc_id", "table_no", F.inline(first))
+
+
+def segments(documents: DataFrame) -> DataFrame:
+    """(doc_id, segment_no, kind, n_chars): tables and the prose around them in document order; blank prose is left out."""
+    marked = F.regexp_replace(F.concat("text", F.lit("\n")), r"((?:(?<=\n)|^)(?:[ \t]*\|[^\n]*\n)+)", "\u0001T$1\u0001P")
+    parts = F.transform(F.split(F.concat(F.lit("P"), marked), "\u0001"), lambda p: F.struct(F.when(F.left(p, F.lit(1)) == "T", "table").otherwise("prose").alias("kind"), F.trim(F.regexp_replace(F.substring(p, 2, 1_000_000_000), r"^\s+|\s+$", "")).alias("body")))
+    kept = F.filter(parts, lambda p: p["body"] != "")
+    rows = F.transform(kept, lambda p, i: F.struct(i.cast("int").alias("segment_no"), p["kind"].alias("kind"), F.length(p["body"]).alias("n_chars")))
+    return documents.where("text is not null").select("doc_id", F.inline(rows))
+
+
+def stacked_headers(tables: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, table_no, n_header_rows, header): label-only rows under the header joined to it while the row below them is more numeric.
+
+    A sparse band above the labels is filled to the right and put before labels that occur twice.
+    """
+    numbers = lambda row: F.size(F.filter(row, lambda c: strict_number(c).isNotNull()))
+    label_like = lambda row: (F.size(F.filter(row, lambda c: c != "")) >= 2) & (numbers(row) == 0)
+    further = lambda k: label_like(F.get("rows", F.lit(k))) & (numbers(F.get("rows", F.lit(k + 1))) > numbers(F.get("rows", F.lit(k))))
+    extra = F.lit(0)
+    for k in range(most - 1):
+        extra = F.when((extra == k) & F.coalesce(further(k), F.lit(False)), k + 1).otherwise(extra)
+    t = tables.withColumn("extra", extra)
+    filled = F.transform("header", lambda h, i: F.coalesce(F.try_element_at(F.filter(F.slice("header", 1, i + 1), lambda x: x != ""), F.lit(-1)), F.lit("")))
+    leaf = F.transform("header", lambda h, i: F.coalesce(*(F.nullif(F.when(F.col("extra") > k, F.get(F.get("rows", F.lit(k)), i)), F.lit("")) for k in reversed(range(most - 1))), h))
+    t = t.withColumn("band", filled).withColumn("leaf", leaf)
+    joined = F.transform("leaf", lambda x, i: F.when((F.col("extra") > 0) & (F.size(F.filter("leaf", lambda y: y == x)) > 1) & (F.get("band", i) != x), F.concat_ws(" ", F.get("band", i), x)).otherwise(x))
+    return t.select("doc_id", "table_no", (F.col("extra") + 1).alias("n_header_rows"), F.when(F.col("extra") > 0, joined).otherwise(F.col("band")).alias("header"))

@@ -187,6 +187,11 @@ def _overflow(documents: DataFrame, most: int = 200) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "segments": over("documents", tables.segments),
+    "stacked_headers": _tables(lambda t: tables.stacked_headers(t).select("doc_id", "table_no", "n_header_rows", F.array_join("header", "|").alias("header"))),
+    "gap_signals": over("documents", extraction.gap_signals),
+    "thin_documents": over("documents", extraction.thin_documents),
+    "top_nodes": over("lineitem", lambda items: graph.pagerank(_supply(items)).select("node", F.round(F.col("rank") * 1000, 4).alias("rank")).orderBy(F.desc("rank"), "node").limit(5)),
     "conflict_members": over2("claims", "source_documents", _conflict_members),
     "duplicate_texts": over("documents", _duplicate_texts),
     "ingestion_lag": over("claims", _ingestion_lag),
@@ -387,6 +392,13 @@ select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files,
         f"select file_id, {_COMPONENT_SQL} as component, '{a}' as source, unnest(regexp_extract_all(text, '{_RE(p)}', 1)) as name, unnest(regexp_extract_all(text, '{_RE(p)}', 2)) as version from manifest_files" for a, p in extraction.DEPENDENCY_FORMS.items()
     )
     + ") select component, source, name, version, count(distinct file_id) as n_files from f group by 1, 2, 3, 4",
+    "gap_signals": "with f as ("
+    + " union all ".join(f"select doc_id, '{a}' as signal from documents where regexp_matches(lower(text), '{p}')" for a, p in extraction.GAP_SIGNALS.items())
+    + ") select signal, count(*) as n_documents, min(doc_id) as first_doc from f group by 1",
+    "thin_documents": r"""
+with d as (select assessment_id, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) as size from documents)
+select assessment_id, count(*) as n, count(*) filter (size < 40) as n_thin, sum(size) as chars from d group by 1""",
+    "top_nodes": f"with {_SUPPLY}, links as materialized (select src, dst, count(*) over (partition by src) as degree from both_ways), {_pagerank_sql(10)} select node, round(rank * 1000, 4) as rank from r10 order by 2 desc, 1 limit 5",
     "conflict_members": rf"""
 with {_KEYED}, p as (select document_id, max(precedence) as precedence from source_documents group by 1),
 j as (select k.*, coalesce(p.precedence, 50) as prec from k left join p on source_document_id = document_id where value is not null),

@@ -81,3 +81,16 @@ def test_sinks(spark, tmp_path):
     assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3)}
     sinks.write_answers(spark.createDataFrame([("=1+1", 1), ("ok", 2), (None, 3)], "t string, n int"), f"{tmp_path}/c")
     assert {r.t for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect()} == {"'=1+1", "ok", None}
+
+
+def test_segments(spark):
+    text = "intro\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n| c |\n"
+    got = [(r.segment_no, r.kind) for r in T.segments(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")).collect()]
+    assert got == [(0, "prose"), (1, "table"), (2, "prose"), (3, "table")]
+
+
+def test_stacked_headers(spark):
+    rows = [["Host", "Avg", "Max", "Avg"], ["a", "1", "2", "3"]]
+    df = spark.createDataFrame([(1, 0, ["", "CPU", "", "Memory"], rows), (2, 0, ["x", ""], [["a", "b"], ["c", "d"]])], TABLE)
+    got = {r.doc_id: (r.n_header_rows, r.header) for r in T.stacked_headers(df).collect()}
+    assert got == {1: (2, ["Host", "CPU Avg", "Max", "Memory Avg"]), 2: (1, ["x", "x"])}
