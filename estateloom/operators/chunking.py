@@ -16,7 +16,7 @@ def n_tokens(c: Column) -> Column:
 
 
 def paragraph_array(text: Column | str) -> Column:
-    parts = F.transform(F.split(col(text), r"\n[ \t]*(?:\n[ \t]*)+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(col(text), r"\n[ \t]*(?:\n[ \t]*)++"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda p: p != "")
 
 

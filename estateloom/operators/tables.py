@@ -18,7 +18,7 @@ def strict_number(cell: Column) -> Column:
 
 def pipe_tables(documents: DataFrame) -> DataFrame:
     """(doc_id, table_no, header, rows): runs of pipe lines whose second line is a rule; cells stripped."""
-    runs = F.regexp_extract_all(F.concat(F.col("text"), F.lit("\n")), F.lit(r"((?:[ \t]*\|[^\n]*\n)+)"), F.lit(1))
+    runs = F.regexp_extract_all(F.concat(F.col("text"), F.lit("\n")), F.lit(r"((?:[ \t]*\|[^\n]*\n)++)"), F.lit(1))
     lines = F.transform(F.filter(F.split("run", "\n"), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.trim(x), r"^\||\|$", ""))
     cells = F.transform(lines, lambda x: F.transform(F.split(x, r"\|"), lambda c: F.trim(c)))
     t = documents.where("text like '%|%'").select("doc_id", F.posexplode(runs).alias("table_no", "run")).select("doc_id", "table_no", cells.alias("cells"))
@@ -118,7 +118,7 @@ def row_groups(tables: DataFrame, most_rows: int = 20, budget: int = 600) -> Dat
 
 def segments(documents: DataFrame) -> DataFrame:
     """(doc_id, segment_no, kind, n_chars): tables and the prose around them in document order; blank prose is left out."""
-    marked = F.regexp_replace(F.concat("text", F.lit("\n")), r"((?:(?<=\n)|^)(?:[ \t]*\|[^\n]*\n)+)", "\u0001T$1\u0001P")
+    marked = F.regexp_replace(F.concat("text", F.lit("\n")), r"((?:(?<=\n)|^)(?:[ \t]*\|[^\n]*\n)++)", "\u0001T$1\u0001P")
     parts = F.transform(F.split(F.concat(F.lit("P"), marked), "\u0001"), lambda p: F.struct(F.when(F.left(p, F.lit(1)) == "T", "table").otherwise("prose").alias("kind"), F.trim(F.regexp_replace(F.substring(p, 2, 1_000_000_000), r"^\s+|\s+$", "")).alias("body")))
     kept = F.filter(parts, lambda p: p["body"] != "")
     rows = F.transform(kept, lambda p, i: F.struct(i.cast("int").alias("segment_no"), p["kind"].alias("kind"), F.length(p["body"]).alias("n_chars")))
