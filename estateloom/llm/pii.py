@@ -8,6 +8,7 @@ settled by score. Spark partitions the texts; the scan is a helper run over Arro
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -328,8 +329,25 @@ def _name_at(text: str, at: int, lexicon: Lexicon, loose: bool) -> tuple[int, in
     return parts[0][0], parts[-1][1], 0.2 + titled + min(known, 2) * 0.5 + 0.3 * two
 
 
+class Disjoint:
+    """Spans that do not overlap, kept in order."""
+
+    def __init__(self, spans: Iterable[Span] = ()):
+        self.spans: list[Span] = []
+        for s in spans:
+            self.add(s)
+
+    def hit(self, start: int, end: int) -> bool:
+        i = bisect_left(self.spans, (start,))
+        return (i < len(self.spans) and self.spans[i][0] < end) or (i > 0 and self.spans[i - 1][1] > start)
+
+    def add(self, s: Span) -> None:
+        if not self.hit(s[0], s[1]):
+            insort(self.spans, s)
+
+
 def _names(text: str, lexicon: Lexicon, taken: list[Span]) -> Iterable[Span]:
-    inside = lambda s, e: any(a < e and s < b for a, b, _, _ in taken)
+    inside = Disjoint(taken).hit
     for m in _CUE.finditer(text):
         cue = re.sub(r"\s+", " ", m.group("cue").lower())
         if found := _name_at(text, m.end(), lexicon, True):
@@ -387,11 +405,8 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         spans += _addresses(t)
     fixed = [s for s in spans if s[3] >= THRESHOLD]
     fixed += _names(t, lexicon, [s for s in fixed if s[2] in ("email", "address")])
-    kept: list[Span] = []
-    for s in sorted((s for s in fixed if s[3] >= THRESHOLD), key=lambda s: (-s[3], s[0] - s[1])):
-        if not any(s[0] < k[1] and k[0] < s[1] for k in kept):
-            kept.append(s)
-    return sorted((a, b, k) for a, b, k, _ in kept)
+    kept = Disjoint(sorted((s for s in fixed if s[3] >= THRESHOLD), key=lambda s: (-s[3], s[0] - s[1])))
+    return [(a, b, k) for a, b, k, _ in kept.spans]
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -41,17 +41,18 @@ _PLACEHOLDER = re.compile(
 )
 _HASH = re.compile(r"(?:sha\d*[-:])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+", re.I)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
-_NAME = r"[A-Za-zÀ-ÿ_$][\wÀ-ÿ$.-]*"
+#: bounded, so that a line without blanks, of any length, is scanned in linear time
+_NAME = r"[A-Za-zÀ-ÿ_$][\wÀ-ÿ$.-]{0,80}"
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: name, separator, value: quoted or up to white space and closing marks
 _ASSIGN = re.compile(
-    rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)\]?\s*(?:=>|:=|[:=](?!=))\s*(?:(?P<vq>["'`])(?P<quoted>(?:\\.|(?!(?P=vq)).)*)(?P=vq)?|(?P<bare>[^\s"'`,;&<>{{}}()\[\]][^\s"'`,;&<>)\]}}]*))""", re.X
+    rf"""(?<![\w$])(?P<q>["']?)(?P<name>{_NAME})(?P=q)\]?\s*(?:=>|:=|[:=](?!=))\s*(?:(?P<vq>["'`])(?P<quoted>(?:\\.|(?!(?P=vq)).)*)(?P=vq)?|(?P<bare>[^\s"'`,;&<>{{}}()\[\]][^\s"'`,;&<>)\]}}]*))""", re.X
 )
 _XML = re.compile(rf"<(?P<name>{_NAME})(?:\s[^<>]*)?>(?P<value>[^<>]*)</(?P=name)>")
 _XML_OPEN = re.compile(rf"^\s*<(?P<name>{_NAME})(?:\s[^<>/]*)?>\s*$")
-_USERINFO = re.compile(r"(?:[a-z][a-z0-9+.-]*://|(?:^|[/\s\"'=]))(?P<user>[\w.%+-]*):(?P<value>[^\s/@:\"'<>]+)@(?=[\w.-]+)", re.I)
+_USERINFO = re.compile(r"(?:(?<![a-z0-9])[a-z][a-z0-9+.-]{0,20}://|(?:^|[/\s\"'=]))(?P<user>[\w.%+-]*):(?P<value>[^\s/@:\"'<>]+)@(?=[\w.-]+)", re.I)
 _JDBC_THIN = re.compile(r"jdbc:\w+:\w+:(?P<user>[\w.]+)/(?P<value>[^\s/@\"']+)@")
-_FLAG = re.compile(rf"--?(?P<name>[A-Za-z][\w-]*)(?:\s+|=)(?P<q>[\"']?)(?P<value>[^\s\"']+)(?P=q)")
+_FLAG = re.compile(rf"(?<![\w-])--?(?P<name>[A-Za-z][\w-]{{0,80}})(?:\s+|=)(?P<q>[\"']?)(?P<value>[^\s\"']+)(?P=q)")
 _CURL_USER = re.compile(r"(?:-u|--user)\s+(?P<q>[\"']?)(?P<user>[^\s\"':]+):(?P<value>[^\s\"']+)(?P=q)")
 _SCHEME = re.compile(r"\b(?:Bearer|Basic|Token|Digest)\s+(?P<value>[A-Za-z0-9._~+/=-]{8,})")
 _LOGIN_CALL = re.compile(r"\b\w*(?:login|log_in|sign_?in|auth(?:enticate)?|connect)\w*\(\s*[\"'][^\"']*[\"']\s*,\s*[\"'](?P<value>[^\"']+)[\"']", re.I)
@@ -209,7 +210,9 @@ def scan(text: str, words: dict[str, float]) -> list[tuple[int, int, int, str]]:
         if inside_key:
             inside_key = "-----END" not in line
             continue
-        spans = [(s, min(e, len(line)), k) for s, e, k in _line_spans(_joined(lines, no - 1), words)]
+        # pieces are joined where a literal begins, not again on each of its lines
+        whole = line if no > 1 and _CONTINUED.search(lines[no - 2]) else _joined(lines, no - 1)
+        spans = [(s, min(e, len(line)), k) for s, e, k in _line_spans(whole, words)]
         if pending and not spans:
             kind, weight, indent = pending
             m = _VALUED.search(line) if kind == "named" else _LITERAL_LINE.match(line)
@@ -231,11 +234,12 @@ def scan(text: str, words: dict[str, float]) -> list[tuple[int, int, int, str]]:
 
 def _joined(lines: list[str], at: int) -> str:
     """The line, with the pieces of a literal that is concatenated over the next lines in place."""
-    line = lines[at]
+    line, pieces = lines[at], []
     while (m := _CONTINUED.search(line)) and at + 1 < len(lines) and (n := _PIECE.match(lines[at + 1])):
         at += 1
-        line = line[: m.start("end")] + n.group("rest")
-    return line
+        pieces.append(line[: m.start("end")])
+        line = n.group("rest")
+    return "".join(pieces) + line
 
 
 def _merged(spans: list[Span]) -> list[Span]:
