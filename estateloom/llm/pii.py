@@ -205,12 +205,14 @@ _WEAK_CUES = {"ask", "per", "contact", "owner", "approved", "engineer", "manager
 _CUES_AFTER = re.compile(
     r"\s*(?:\(|,)?\s*(?:is the only one|confirmed in|confirmed that|confirmed it|has console access|said in|said that|owns the|owns this|signed off|approved (?:it|this|the)|will decide|handed over|joined|left the|is on call|is on leave|wrote|asked for|takes over|hat bestätigt|a confirmé|confirmó|asks that|is responsible|is the owner)"
 )
+_AFTER_HEADS = ("is the", "confirmed", "has console", "said ", "owns th", "signed off", "approved", "will decide", "handed over", "joined", "left the", "is on", "wrote", "asked for", "takes over", "hat best", "a confirm", "confirmó", "asks that", "is responsible")
 #: the mark that opens a signature, on a line of its own (also in quoted mail)
 _SIGNATURE = re.compile(r"(?:^|\n)(?:>[ \t]*)*--[ \t]*\r?\n(?:>[ \t]*)*(?=[^\W\d_])")
 _LATIN = r"[^\W\d_]"
 _WORD = re.compile(r"(?:[^\W\d_]|[’'](?=[^\W\d_])|-(?=[^\W\d_])|[ऀ-ॿ])+\.?")
 _OTHER_SCRIPT = re.compile(r"[؀-ۿݐ-ݿ]+(?: [؀-ۿݐ-ݿ]+){0,3}|[Ѐ-ӿ]+(?:-[Ѐ-ӿ]+)?(?: [Ѐ-ӿ]+(?:-[Ѐ-ӿ]+)?){0,3}|[ऀ-ॿ]+(?: [ऀ-ॿ]+){0,3}|[一-鿿ぁ-ヿ]{1,4} [一-鿿ぁ-ヿ]{1,4}(?![一-鿿ぁ-ヿ])|[一-鿿]{2,3}(?![一-鿿ぁ-ヿ])|[가-힯]{2,4}")
 _CUE = re.compile(r"(?i)(?<!\w)(?P<cue>" + "|".join(re.escape(c).replace(r"\ ", r"\s+") for c in sorted(_CUES_BEFORE, key=len, reverse=True)) + r")(?!\w)\s*[:(]?\s*(?:is\s+|ist\s+)?(?=[^\W\d_])")
+_CUE_HEADS = tuple({c.split()[0] for c in _CUES_BEFORE})
 _TITLE = re.compile(r"(?i)(?<![\w.@-])(?P<title>" + "|".join(sorted(map(re.escape, _TITLES - {"don", "fr", "sir"}), key=len, reverse=True)) + r"|Fr)\.?\s+(?=[^\W\d_])")
 #: words that are capitalised beside a cue but name no person
 _KNOWN: dict[str, set[str]] = {
@@ -348,7 +350,8 @@ class Disjoint:
 
 def _names(text: str, lexicon: Lexicon, taken: list[Span]) -> Iterable[Span]:
     inside = Disjoint(taken).hit
-    for m in _CUE.finditer(text):
+    low = text.lower()
+    for m in _CUE.finditer(text) if any(c in low for c in _CUE_HEADS) else ():
         cue = re.sub(r"\s+", " ", m.group("cue").lower())
         if found := _name_at(text, m.end(), lexicon, True):
             start, end, score = found
@@ -359,7 +362,7 @@ def _names(text: str, lexicon: Lexicon, taken: list[Span]) -> Iterable[Span]:
     for m in _TITLE.finditer(text):
         if (found := _name_at(text, m.start(), lexicon, True)) and not inside(*found[:2]):
             yield found[0], found[1], "name", found[2] + (0.2 if found[2] > 1 else 0)
-    for m in _CUES_AFTER.finditer(text):
+    for m in _CUES_AFTER.finditer(text) if any(c in low for c in _AFTER_HEADS) else ():
         # a name in front of the cue: try the starts before it, the longest that ends there wins
         head = text[max(0, m.start() - 60) : m.start()]
         base = m.start() - len(head)
