@@ -60,17 +60,17 @@ def _bare(name: Column) -> Column:
 
 
 def _kind(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return F.when(s == "VOID", F.lit(None)).when(s == "BOOLEAN", "boolean").when(s.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), "number").otherwise("text")
+    kinds = lambda s: F.when(s == "STRING", "text").when(s == "VOID", F.lit(None)).when(s == "BOOLEAN", "boolean").when(s.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), "number").otherwise("text")
+    return T.let(F.schema_of_variant(v), kinds)
 
 
 def tagged_rows(inventory: DataFrame) -> DataFrame:
     """(feed, file, row, union): the row's columns as a map of (kind, text); resent rows once; unreadable JSON as no columns."""
     rows = inventory.groupBy(*FILE, "row_no").agg(F.max_by("payload", "record_id").alias("payload"))
-    object_ = F.try_parse_json("payload")
-    fields = F.when(F.schema_of_variant(object_).startswith("OBJECT"), object_).cast("map<string,variant>")
-    tagged = F.transform_values(fields, lambda _, v: F.struct(_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
-    return rows.select(*FILE, "row_no", tagged.alias("union"))
+    fields = lambda o: F.when(F.schema_of_variant(o).startswith("OBJECT"), o).cast("map<string,variant>")
+    tagged = F.transform_values("fields", lambda _, v: F.struct(_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
+    parsed = rows.select(*FILE, "row_no", T.let(F.try_parse_json("payload"), fields).alias("fields"))
+    return parsed.select(*FILE, "row_no", tagged.alias("union"))
 
 
 def fused(rows: DataFrame) -> DataFrame:
