@@ -64,6 +64,11 @@ _FOLDED = re.compile(rf"""(?:^|[\s{{,])["']?(?P<name>{_NAME})["']?\s*[:=]\s*(?:[
 _LITERAL_LINE = re.compile(r"""^\s*(?P<q>["'`]?)(?P<value>(?!\w+=[^=])[^\s"'`<>]+)(?P=q)[,;)]?\s*(?:\+|\\)?\s*$""")
 _COMMAND = re.compile(r"\b(?:sshpass|mysql\w*|mariadb\w*|mongo\w*|ldap\w+|redis-cli|docker\s+login|helm|psql|smbclient|7z|zip|unzip)\b[^|;]*?\s-(?:p|a|w|P)\s?(?P<q>[\"']?)(?P<value>[^\s\"']+)(?P=q)")
 _PAIR = re.compile(rf"""\b(?:key|name)["']?\s*[=:]\s*["'](?P<name>{_NAME})["']\s*,?\s*["']?value["']?\s*[=:]\s*["'](?P<value>[^"']*)["']""", re.I)
+#: a line without any of these holds no context of a credential
+_HINTS = (
+    "pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "kennwort", "contrase", "senha", "bearer", "basic", "digest", "jdbc", "@", "login", "sign", "-----begin", "cookie", "seed", "salt", "dsn", "pk", "pat", "jwt",
+    "sig", "user", "account", "connect", " -u", " -p", " -a", " -w",
+)
 _CONTINUED = re.compile(r"""(?P<end>["'])\s*[+.&\\]\s*$""")
 _PIECE = re.compile(r"""\s*["'](?P<rest>[^"']*["'].*)$""")
 _PART = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-Z]?[a-zà-ÿ]+|\d+")
@@ -152,35 +157,48 @@ def _line_spans(line: str, words: dict[str, float]) -> list[Span]:
         if judge(m.group(group), weight, quoted, words):
             found.append((*m.span(group), kind))
 
-    for m in _PEM.finditer(line):
-        found.append((*m.span(), "private_key"))
-    if found:
+    low = line.lower()
+    if not any(h in low for h in _HINTS):
         return found
-    for m in _USERINFO.finditer(line):
-        add(m, "value", 3, True, "address")
-    for m in _JDBC_THIN.finditer(line):
-        add(m, "value", 3, True, "address")
-    for m in _CURL_USER.finditer(line):
-        add(m, "value", 3, True, "command")
-    for m in _FLAG.finditer(line):
-        if w := name_weight(m.group("name")):
-            add(m, "value", w, bool(m.group("q")), "command")
-    for m in _SCHEME.finditer(line):
-        if residual(m.group("value"), words) >= 6 and is_literal(m.group("value")):
-            found.append((*m.span("value"), "header"))
-    for m in _LOGIN_CALL.finditer(line):
-        add(m, "value", 3, True, "command")
-    for m in _LOGIN_SAID.finditer(line):
-        if re.search(r"\d", m.group("value")) or residual(m.group("value"), words) >= 5:
-            add(m, "value", 3, True, "comment")
-    for m in _COMMAND.finditer(line):
-        add(m, "value", 3, True, "command")
-    for m in _PAIR.finditer(line):
-        if w := name_weight(m.group("name")):
-            add(m, "value", w, True, "assignment")
-    for m in _XML.finditer(line):
-        if w := name_weight(m.group("name")):
-            add(m, "value", w, True, "assignment")
+    if "-----begin" in low:
+        for m in _PEM.finditer(line):
+            found.append((*m.span(), "private_key"))
+        if found:
+            return found
+    if "@" in line:
+        for m in _USERINFO.finditer(line):
+            add(m, "value", 3, True, "address")
+    if "jdbc" in low:
+        for m in _JDBC_THIN.finditer(line):
+            add(m, "value", 3, True, "address")
+    if "-u" in line:
+        for m in _CURL_USER.finditer(line):
+            add(m, "value", 3, True, "command")
+    if "-" in line:
+        for m in _FLAG.finditer(line):
+            if w := name_weight(m.group("name")):
+                add(m, "value", w, bool(m.group("q")), "command")
+        for m in _COMMAND.finditer(line):
+            add(m, "value", 3, True, "command")
+    if any(h in low for h in ("bearer", "basic", "token", "digest")):
+        for m in _SCHEME.finditer(line):
+            if residual(m.group("value"), words) >= 6 and is_literal(m.group("value")):
+                found.append((*m.span("value"), "header"))
+    if "(" in line:
+        for m in _LOGIN_CALL.finditer(line):
+            add(m, "value", 3, True, "command")
+    if "/" in line:
+        for m in _LOGIN_SAID.finditer(line):
+            if re.search(r"\d", m.group("value")) or residual(m.group("value"), words) >= 5:
+                add(m, "value", 3, True, "comment")
+    if "value" in low:
+        for m in _PAIR.finditer(line):
+            if w := name_weight(m.group("name")):
+                add(m, "value", w, True, "assignment")
+    if "</" in line:
+        for m in _XML.finditer(line):
+            if w := name_weight(m.group("name")):
+                add(m, "value", w, True, "assignment")
     at = 0
     while m := _ASSIGN.search(line, at):
         at = m.start() + 1 if not name_weight(m.group("name")) else m.end()
