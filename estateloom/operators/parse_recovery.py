@@ -164,7 +164,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     Edge cases: a null or empty ``raw_line`` is a record of one empty field; a file without a header line counts as
     one comma-separated unnamed column, so its lines fail with ``columns`` unless they have one field; of
-    several header lines the one with the lowest ``line_id`` counts; a null ``file_id`` has no header. Further columns of
+    several header lines the one with the lowest ``line_id`` counts; a null ``file_id`` has no header, a null ``line_no`` makes no data line. Further columns of
     the input are ignored, repeated rows come out as often as they go in, an empty table gives an empty table.
     """
     body = lines.where("line_no > 1").select(*_KEEP, "raw_line")

@@ -66,7 +66,7 @@ def _kind(v: Column) -> Column:
 
 def tagged_rows(inventory: DataFrame) -> DataFrame:
     """(feed, file, row, union): the row's columns as a map of (kind, text); resent rows once; unreadable JSON as no columns."""
-    rows = inventory.groupBy(*FILE, "row_no").agg(F.max_by("payload", "record_id").alias("payload"))
+    rows = inventory.groupBy(*FILE, "row_no", F.when(F.col("row_no").isNull(), F.col("record_id")).alias("own")).agg(F.max_by(F.struct("payload"), F.coalesce("record_id", F.lit(0)))["payload"].alias("payload"))
     fields = lambda o: F.when(F.schema_of_variant(o).startswith("OBJECT"), o).cast("map<string,variant>")
     tagged = F.transform_values("fields", lambda _, v: F.struct(_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
     parsed = rows.select(*FILE, "row_no", T.let(F.try_parse_json("payload"), fields).alias("fields"))
@@ -75,15 +75,16 @@ def tagged_rows(inventory: DataFrame) -> DataFrame:
 
 def fused(rows: DataFrame) -> DataFrame:
     """(feed, file, column): how often each kind occurs, the type, and how much the column looks like the host's."""
-    cell = rows.select(*FILE, F.explode("union").alias("column", "cell")).select(*FILE, "column", "cell.kind", F.lower(strip("cell.text")).alias("text"))
+    cell = rows.select(*FILE, F.explode("union").alias("column", "cell")).select(*FILE, "column", "cell.kind", F.when(F.col("cell.kind") == "text", F.lower(F.trim("cell.text"))).alias("text"))
     per = cell.groupBy(*FILE, "column").agg(
         F.count("kind").alias("n"), F.count_if(F.col("kind") == "number").alias("n_number"), F.count_if(F.col("kind") == "boolean").alias("n_boolean"),
-        F.count_if(F.col("kind") == "text").alias("n_text"), F.count_if(F.col("text").rlike(_HOST)).alias("n_host"), F.approx_count_distinct("text").alias("n_distinct"),
+        F.count_if(F.col("kind") == "text").alias("n_text"), F.count_if(F.col("text").rlike(_HOST)).alias("n_host"), F.min("text").alias("low"), F.max("text").alias("high"),
     )
     kind = F.when(F.col("n") == 0, F.lit(None)).when(F.col("n_number") == F.col("n"), "number").when(F.col("n_boolean") == F.col("n"), "boolean").otherwise("text")
     n = F.greatest(F.col("n"), F.lit(1))
-    score = F.col("n_host") / n * 2 + F.least(F.col("n_distinct") / n, F.lit(1.0)) + _bare(F.col("column")).isin(*HOST_NAMES).cast("int") * 2
-    return per.withColumn("type", kind).withColumn("host_score", score)
+    varies = F.coalesce(F.col("low") != F.col("high"), F.lit(False)).cast("int")  # a file of one host has no varying column at all
+    score = F.col("n_host") / n * 2 + varies + _bare(F.col("column")).isin(*HOST_NAMES).cast("int") * 2
+    return per.withColumn("type", kind).withColumn("host_score", score).drop("low", "high")
 
 
 def _files(columns: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def changes(inventory: DataFrame) -> DataFrame:
 
     Edge cases: an empty table gives none; a file whose predecessor is missing has no changes; a column that is null
     throughout a file has no type there and is not retyped; rows whose payload is null or no JSON object have no columns;
-    resent rows count once; rows without a host are not compared; further columns of the input are ignored.
+    resent rows count once, rows without a ``row_no`` are rows of their own, those of a null feed or file have no changes; rows without a host are not compared; further columns of the input are ignored.
     """
     rows = tagged_rows(inventory)
     steps = checkpointed(transitions(rows))

@@ -44,7 +44,7 @@ def resolved_pairs(claims: DataFrame) -> DataFrame:
         claims.where("is_selected")
         .select("assessment_id", "entity_type", entity_key("entity_type", "entity_key").alias("entity_key"), attribute_key("attribute").alias("attribute"), "ord", text.alias("text"))
         .groupBy(*ENTITY, "attribute")
-        .agg(F.max_by(F.struct("text"), "ord").getField("text").alias("text"))
+        .agg(F.max_by(F.struct("text"), F.coalesce("ord", F.lit(-(2**62)))).getField("text").alias("text"))
         .where(says_something("text"))
     )
 
@@ -52,7 +52,7 @@ def resolved_pairs(claims: DataFrame) -> DataFrame:
 def wide_entities(claims: DataFrame) -> DataFrame:
     """One row per entity: typed columns, ``others`` (map of text) and ``cast_failures`` (map of the text as it stands).
 
-    Edge cases: rows with null ``is_selected`` are not selected; rows with a null entity key, type or assessment form their own
+    Edge cases: rows with null ``is_selected`` are not selected; a null ``ord`` is lower than any other; rows with a null entity key, type or assessment form their own
     group; a null attribute or one whose text says nothing gives no cell; redelivered rows change nothing; an entity without any cell has
     no row; an empty table gives an empty table; further columns are ignored.
     """
