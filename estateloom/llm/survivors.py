@@ -66,7 +66,7 @@ def survivors(claims: DataFrame, documents: DataFrame, with_fields: bool = True)
 
     ``with_fields=False`` leaves the record's texts out, and they are not shuffled then.
 
-    Edge cases: null keys group together; null confidence and NaN rank last, as do null times among equals; redelivered rows
+    Edge cases: null keys group together; null confidence and NaN rank last, as do null times among equals; claims equal in every rank go by the higher ``claim_id``; redelivered rows
     count once; a document listed several times counts with its highest precedence; a group whose values all say nothing has
     '' as ``value_claim_id`` (likewise for quotes); an empty table gives an empty table; further columns are ignored.
     """
