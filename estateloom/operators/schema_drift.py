@@ -78,7 +78,7 @@ def fused(rows: DataFrame) -> DataFrame:
     cell = rows.select(*FILE, F.explode("union").alias("column", "cell")).select(*FILE, "column", "cell.kind", F.when(F.col("cell.kind") == "text", F.lower(F.trim("cell.text"))).alias("text"))
     per = cell.groupBy(*FILE, "column").agg(
         F.count("kind").alias("n"), F.count_if(F.col("kind") == "number").alias("n_number"), F.count_if(F.col("kind") == "boolean").alias("n_boolean"),
-        F.count_if(F.col("kind") == "text").alias("n_text"), F.count_if(F.col("text").rlike(_HOST)).alias("n_host"), F.min("text").alias("low"), F.max("text").alias("high"),
+        F.count_if(F.col("kind") == "text").alias("n_text"), F.count_if(F.col("text").rlike(_HOST)).alias("n_host"), F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"),
     )
     kind = F.when(F.col("n") == 0, F.lit(None)).when(F.col("n_number") == F.col("n"), "number").when(F.col("n_boolean") == F.col("n"), "boolean").otherwise("text")
     n = F.greatest(F.col("n"), F.lit(1))
@@ -95,7 +95,7 @@ def _files(columns: DataFrame) -> DataFrame:
 
 def transitions(rows: DataFrame) -> DataFrame:
     """One row per pair of successive files: column types on both sides, vanished and new columns, host columns."""
-    files = _files(fused(rows))
+    files = checkpointed(_files(fused(rows)))  # read on both sides of the step
     before = files.select("feed_id", (F.col("file_seq") + 1).alias("file_seq"), F.col("types").alias("old_types"), F.col("host_column").alias("old_host"))
     return files.join(before, FILE).select(
         *FILE, "old_types", F.col("types").alias("new_types"), "old_host", F.col("host_column").alias("new_host"),
