@@ -344,6 +344,25 @@ q as (select distinct doc_id as query_id, word from t where doc_id % 100 = 0),
 s as (select query_id, tf.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) as score from q join i using (word) join tf using (word) join dl on dl.doc_id = tf.doc_id, n group by 1, 2),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from s where score > 0)
 select query_id, doc_id, round(score, 3) as score, place from r where place <= 8""",
+    "label_agreement": """
+with q as (select vec_id as query_id, label as wanted, cast(embedding as double[64]) as a from embeddings where vec_id % 100 = 0),
+s as (select query_id, wanted, vec_id, label, round(array_cosine_similarity(a, cast(embedding as double[64])), 6) as score from q cross join embeddings),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s where score > 0.02),
+t as (select * from r where place <= 8 and vec_id <> query_id),
+n as (select query_id, (select count(*) from embeddings e where e.label = q.wanted and e.vec_id <> q.query_id) as n_relevant from q),
+h as (select query_id, count(*) as n_top, count(*) filter (label = wanted) as n_hit, min(place) filter (label = wanted) as first from t group by 1)
+select n.query_id, round(case when n_relevant = 0 then 1.0 else coalesce(n_hit, 0) / n_relevant end, 4) as recall_at_k, round(case when coalesce(n_top, 0) = 0 then 0.0 else n_hit / n_top end, 4) as precision_at_k,
+  round(coalesce(1.0 / first, 0.0), 4) as reciprocal_rank from n left join h using (query_id)""",
+    "language_scores": r"""
+with c as (select lower(lang) as lang, length(regexp_replace(text, '[^\x{0E00}-\x{0E7F}]', '', 'g')) as th, length(regexp_replace(text, '[^\x{0900}-\x{097F}]', '', 'g')) as hi, length(regexp_replace(text, '[^\x{0600}-\x{06FF}]', '', 'g')) as ar,
+  length(regexp_replace(text, '[^\x{3040}-\x{30FF}]', '', 'g')) as ja, length(regexp_replace(text, '[^\x{4E00}-\x{9FFF}]', '', 'g')) as zh, length(regexp_replace(text, '[^\x{0400}-\x{04FF}]', '', 'g')) as ru from documents where text is not null and lang is not null),
+m as (select *, greatest(th, hi, ar, ja, zh, ru) as most from c),
+p as (select case when most = 0 then 'latin' when ja > 0.1 * zh then case when greatest(th, hi, ar, ru) > ja then 'other' else 'ja' end when th = most then 'th' when hi = most then 'hi' when ar = most then 'ar'
+  when ru = most then 'ru' when zh = most then 'zh' else 'other' end as predicted, case when lang in ('th', 'hi', 'ar', 'ja', 'zh', 'ru') then lang else 'latin' end as expected from m),
+u as (select predicted as label, 1 as p, 0 as e, (predicted = expected)::int as tp from p union all select expected, 0, 1, 0 from p),
+s as (select label, sum(tp) as tp, sum(p) as predicted, sum(e) as expected from u group by 1),
+f as (select *, case when predicted > 0 then tp / predicted else 0.0 end as pr, case when expected > 0 then tp / expected else 0.0 end as re from s)
+select label, tp, predicted, expected, round(pr, 4) as precision, round(re, 4) as recall, round(case when pr + re > 0 then 2 * pr * re / (pr + re) else 0.0 end, 4) as f1 from f""",
     "query_expansions": rf"""
 with w as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' as w from documents where text is not null),
 h as (select doc_id, list_filter([{", ".join(f"case when {' or '.join(f'contains(w, {chr(39)} {t} {chr(39)})' for t in trig)} then {{'name': '{n}', 'said': [{', '.join(f'{chr(39)}{x}{chr(39)}' for x in said)}]}} end" for n, (trig, said) in retrieval.CONCEPTS.items())}], lambda x: x is not null) as hit from w),

@@ -63,5 +63,12 @@ select * from out where cell is not null"""
 ORACLES: dict[str, str] = {
     "p1_found": _p1("select line_id, reason from y where reason is not null"),
     "p6_found": _P6,
+    "p2_branches": """
+with r as (select feed_id, file_seq, row_no, arg_max(payload, record_id) as payload from server_inventory group by 1, 2, 3),
+k as (select feed_id, file_seq, payload, unnest(json_keys(payload)) as col from r),
+t as (select feed_id, file_seq, col, json_type(payload, '$."' || col || '"') as t from k),
+n as (select feed_id, col as "column", case when t = 'BOOLEAN' then 'boolean' when t in ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') then 'number' else 'text' end as kind, min(file_seq) as first_seq, max(file_seq) as last_seq,
+        count(*) as n_rows from t where t <> 'NULL' group by 1, 2, 3)
+select *, first_seq > min(first_seq) over (partition by feed_id, "column") as appeared_later from n""",
     **estate_queries.ORACLES,
 }
