@@ -360,7 +360,7 @@ m as (select *, greatest(th, hi, ar, ja, zh, ru) as most from c),
 p as (select case when most = 0 then 'latin' when ja > 0.1 * zh then case when greatest(th, hi, ar, ru) > ja then 'other' else 'ja' end when th = most then 'th' when hi = most then 'hi' when ar = most then 'ar'
   when ru = most then 'ru' when zh = most then 'zh' else 'other' end as predicted, case when lang in ('th', 'hi', 'ar', 'ja', 'zh', 'ru') then lang else 'latin' end as expected from m),
 u as (select predicted as label, 1 as p, 0 as e, (predicted = expected)::int as tp from p union all select expected, 0, 1, 0 from p),
-s as (select label, sum(tp) as tp, sum(p) as predicted, sum(e) as expected from u group by 1),
+s as (select label, sum(tp)::bigint as tp, sum(p)::bigint as predicted, sum(e)::bigint as expected from u group by 1),
 f as (select *, case when predicted > 0 then tp / predicted else 0.0 end as pr, case when expected > 0 then tp / expected else 0.0 end as re from s)
 select label, tp, predicted, expected, round(pr, 4) as precision, round(re, 4) as recall, round(case when pr + re > 0 then 2 * pr * re / (pr + re) else 0.0 end, 4) as f1 from f""",
     "query_expansions": rf"""
@@ -405,7 +405,7 @@ with q as (select doc_id, unnest(regexp_extract_all(text, '[^.!?
 select key, min(doc_id) as first_doc, count(*) as n from k where length(key) >= 8 group by 1""",
     "manifest_inventory": f"""
 with m as (select *, lower(split_part(relative_path, '/', -1)) as f from manifest_files)
-select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files, sum(n_bytes) as n_bytes from m group by 1, 2""",
+select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files, sum(n_bytes)::bigint as n_bytes from m group by 1, 2""",
     "manifest_dependencies": "with f as ("
     + " union all ".join(
         f"select file_id, {_COMPONENT_SQL} as component, '{a}' as source, unnest(regexp_extract_all(text, '{_RE(p)}', 1)) as name, unnest(regexp_extract_all(text, '{_RE(p)}', 2)) as version from manifest_files" for a, p in extraction.DEPENDENCY_FORMS.items()
@@ -416,18 +416,18 @@ select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files,
     + ") select signal, count(*) as n_documents, min(doc_id) as first_doc from f group by 1",
     "thin_documents": r"""
 with d as (select assessment_id, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) as size from documents)
-select assessment_id, count(*) as n, count(*) filter (size < 40) as n_thin, sum(size) as chars from d group by 1""",
+select assessment_id, count(*) as n, count(*) filter (size < 40) as n_thin, sum(size)::bigint as chars from d group by 1""",
     "top_nodes": f"with {_SUPPLY}, links as materialized (select src, dst, count(*) over (partition by src) as degree from both_ways), {_pagerank_sql(10)} select node, round(rank * 1000, 4) as rank from r10 order by 2 desc, 1 limit 5",
     "conflict_members": rf"""
 with {_KEYED}, p as (select document_id, max(precedence) as precedence from source_documents group by 1),
 j as (select k.*, coalesce(p.precedence, 50) as prec from k left join p on source_document_id = document_id where value is not null),
 g as (select assessment_id, entity_type, ekey, field, arg_max(claim_id, (prec, conf, -ord)) as selected_claim_id from j group by 1, 2, 3, 4 having count(distinct compared) > 1)
 select claim_id, compared, selected_claim_id, claim_id = selected_claim_id as selected from j join g using (assessment_id, entity_type, ekey, field)""",
-    "duplicate_texts": "select sha256(text) as hash, min(doc_id) as first_doc, count(*) as n, sum(length(text)) - max(length(text)) as saved_chars from documents where text is not null group by 1 having count(*) > 1",
+    "duplicate_texts": "select sha256(text) as hash, min(doc_id) as first_doc, count(*) as n, (sum(length(text)) - max(length(text)))::bigint as saved_chars from documents where text is not null group by 1 having count(*) > 1",
     "ingestion_lag": """
 with f as (select claim_id, min(ingested_at) as seen, min(extracted_at) as made, min(assessment_id) as assessment_id from claims group by 1),
 l as (select *, greatest(0, trunc(epoch(seen - made))::bigint) as lag from f)
-select assessment_id, strftime(made, '%Y-%m') as month, count(*) as n, min(lag) as least, max(lag) as most, sum(lag) as total from l group by 1, 2""",
+select assessment_id, strftime(made, '%Y-%m') as month, count(*) as n, min(lag) as least, max(lag) as most, sum(lag)::bigint as total from l group by 1, 2""",
     "sanitised_claims": """
 select distinct on (claim_id) claim_id, entity_type, left(entity_key, 120) as entity_key, left(attribute, 80) as attribute, left(value, 500) as value, left(evidence_quote, 500) as quote,
   least(greatest(case when confidence is null or isnan(confidence) then 0.0 else confidence end, 0.0), 1.0) as confidence from claims""",
@@ -440,7 +440,7 @@ select document_id, 0 as source, assessment_id from o union all select document_
 with q as (select doc_id, unnest(regexp_extract_all(text, '[^.!?\n]*\?')) as question from documents), k as (select left(trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')), 240) as key from q),
 o as (select key, count(*) as n from k where length(key) >= 8 group by 1),
 m as (select trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) as name, count(distinct claim_id) as n_claims from claims where lower(attribute) = 'name' and value is not null group by 1)
-select name, count(*) as n_questions, sum(n) as n_asked, max(n_claims) as n_claims from o join m on contains(' ' || key || ' ', ' ' || name || ' ') where length(name) >= 4 group by 1""",
+select name, count(*) as n_questions, sum(n)::bigint as n_asked, max(n_claims) as n_claims from o join m on contains(' ' || key || ' ', ' ' || name || ' ') where length(name) >= 4 group by 1""",
     "plain_documents": r"""
 with p as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^```.*$', '', 'g'),
   '(?m)^\s*\|?[\s|:-]*-[\s|:-]*\|?\s*$', '', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) as t
