@@ -145,3 +145,18 @@ def expansions(documents: DataFrame) -> DataFrame:
     turns = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda d: F.array_compact(F.transform("hit", lambda c: F.get(c["said"], d)))))
     found = named.withColumn("hit", hit).where(F.size("hit") > 0)
     return found.select("doc_id", F.array_join(F.col("hit.name"), ",").alias("concepts"), F.array_join(F.slice(F.array_distinct(turns), 1, MAX_EXPANSIONS), "; ").alias("expansions"))
+
+
+def keyword_search(documents: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = 1000) -> DataFrame:
+    """(query_id, doc_id, score, place): how many of a query's words of three letters or more stand in a text, as substrings.
+
+    The stated queries meet the texts in blocks of at most about ``block``, one row each, so every text is read once per block.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 2))
+    n_blocks = max(1, -(-queries.count() // block))
+    wanted = queries.select(F.struct("query_id", words.alias("words")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"))
+    blocks = wanted.groupBy("block").agg(F.collect_list("q").alias("queries"))
+    scored = F.transform("queries", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(F.filter(q["words"], lambda w: F.col("low").contains(w))).alias("score")))
+    texts = documents.where("text is not null").select("doc_id", F.lower("text").alias("low"))
+    hits = texts.crossJoin(F.broadcast(blocks)).select("doc_id", F.inline(F.filter(scored, lambda s: s["score"] > 0)))
+    return _ranked(hits, k, "query_id", "doc_id")

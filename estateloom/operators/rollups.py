@@ -87,3 +87,16 @@ def neighbours_in_time(events: DataFrame) -> DataFrame:
     near = buys.withColumn("day", F.explode(F.array("day", F.date_sub("day", 1))))
     joined = near.join(views, ["user_id", "day"]).where("view_ts < ts")
     return joined.groupBy("user_id", "event_id").agg(F.max_by("view_id", F.struct("view_ts", "view_id")).alias("view_id"))
+
+
+def attribute_answers(claims: DataFrame) -> DataFrame:
+    """Per assessment and attribute the facts as one answer: mean confidence, whether all are supported and any needs review, references, the value said most."""
+    c = claims.dropDuplicates(["claim_id"]).where(~is_blank("value")).withColumn("attribute", F.translate(F.lower("attribute"), " -", "__")).withColumn("said", F.lower(F.trim("value")))
+    conf = F.coalesce(F.nanvl("confidence", F.lit(None).cast("double")), F.lit(0.0))
+    values = c.groupBy("assessment_id", "attribute", "said").agg(
+        F.count("*").alias("n"), F.sum(conf.cast("decimal(18,6)")).alias("conf"), F.bool_and(~F.col("unsupported")).alias("supported"), F.bool_or("needs_human_review").alias("review"), F.sum(F.size("evidence_refs")).alias("refs")
+    )
+    return values.groupBy("assessment_id", "attribute").agg(
+        F.sum("n").alias("n_claims"), F.round(F.sum("conf").cast("double") / F.sum("n"), 6).alias("confidence"), F.bool_and("supported").alias("supported"), F.bool_or("review").alias("review"), F.sum("refs").alias("n_refs"),
+        F.max_by("said", F.struct("n", "said")).alias("most_said"),
+    )

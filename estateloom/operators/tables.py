@@ -142,3 +142,18 @@ def stacked_headers(tables: DataFrame, most: int = 3) -> DataFrame:
     t = t.withColumn("band", filled).withColumn("leaf", leaf)
     joined = F.transform("leaf", lambda x, i: F.when((F.col("extra") > 0) & (F.size(F.filter("leaf", lambda y: y == x)) > 1) & (F.get("band", i) != x), F.concat_ws(" ", F.get("band", i), x)).otherwise(x))
     return t.select("doc_id", "table_no", (F.col("extra") + 1).alias("n_header_rows"), F.when(F.col("extra") > 0, joined).otherwise(F.col("band")).alias("header"))
+
+
+def labelled_rows(tables: DataFrame) -> DataFrame:
+    """(doc_id, table_no, row_no, said): rows as ``name: value`` pairs where the cells match the header, blank cells left out, 280 characters at most."""
+    rows = tables.select("doc_id", "table_no", "header", F.posexplode("rows").alias("row_no", "row")).where(F.size("row") == F.size("header"))
+    pairs = F.filter(F.zip_with("header", "row", lambda h, v: F.when(v != "", F.concat(h, F.lit(": "), v))), lambda x: x.isNotNull())
+    return rows.select("doc_id", "table_no", "row_no", F.left(F.array_join(pairs, " · "), F.lit(280)).alias("said"))
+
+
+def table_chunks(tables: DataFrame, most_rows: int = 20, budget: int = 600) -> DataFrame:
+    """(doc_id, table_no, kind, part, n_rows): row groups of regular tables; an irregular table stays one piece for the prose chunker."""
+    shapes = table_shapes(tables).select("doc_id", "table_no", "regular")
+    t = tables.join(shapes, ["doc_id", "table_no"])
+    groups = row_groups(t.where("regular"), most_rows, budget).select("doc_id", "table_no", F.lit("rows").alias("kind"), F.col("group_no").alias("part"), "n_rows")
+    return groups.unionByName(t.where("not regular").select("doc_id", "table_no", F.lit("prose").alias("kind"), F.lit(0).alias("part"), F.size("rows").alias("n_rows")))

@@ -138,6 +138,12 @@ def _gates(documents: DataFrame, claims: DataFrame, files: DataFrame) -> DataFra
     return extraction.guarded(part(documents, "documents", "text").unionByName(part(claims, "claims", "evidence_quote")).unionByName(part(files, "manifest_files", "text")))
 
 
+def _keywords(documents: DataFrame, claims: DataFrame) -> DataFrame:
+    """The names that entities have, as queries against all documents."""
+    names = claims.where("lower(attribute) = 'name' and value is not null").select(F.lower(F.trim("value")).alias("query_id")).distinct()
+    return retrieval.keyword_search(documents, names.withColumn("text", F.col("query_id"))).select("query_id", "doc_id", "score", "place")
+
+
 def _fused_search(documents: DataFrame) -> DataFrame:
     q = _every_hundredth(documents)
     return retrieval.hybrid(documents, q)
@@ -192,6 +198,10 @@ QUERIES: dict[str, Query] = {
     "gap_signals": over("documents", extraction.gap_signals),
     "thin_documents": over("documents", extraction.thin_documents),
     "top_nodes": over("lineitem", lambda items: graph.pagerank(_supply(items)).select("node", F.round(F.col("rank") * 1000, 4).alias("rank")).orderBy(F.desc("rank"), "node").limit(5)),
+    "keyword_search": over2("documents", "claims", _keywords),
+    "labelled_rows": _tables(tables.labelled_rows),
+    "table_chunks": _tables(tables.table_chunks),
+    "attribute_answers": over("claims", rollups.attribute_answers),
     "conflict_members": over2("claims", "source_documents", _conflict_members),
     "duplicate_texts": over("documents", _duplicate_texts),
     "ingestion_lag": over("claims", _ingestion_lag),
@@ -418,6 +428,22 @@ select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files,
 with d as (select assessment_id, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) as size from documents)
 select assessment_id, count(*) as n, count(*) filter (size < 40) as n_thin, sum(size)::bigint as chars from d group by 1""",
     "top_nodes": f"with {_SUPPLY}, links as materialized (select src, dst, count(*) over (partition by src) as degree from both_ways), {_pagerank_sql(10)} select node, round(rank * 1000, 4) as rank from r10 order by 2 desc, 1 limit 5",
+    "keyword_search": r"""
+with n as (select distinct lower(trim(value)) as query_id from claims where lower(attribute) = 'name' and value is not null),
+q as (select query_id, list_distinct(list_filter(regexp_split_to_array(query_id, '\s+'), lambda w: length(w) > 2)) as words from n),
+s as (select query_id, doc_id, len(list_filter(words, lambda w: contains(lower(text), w))) as score from q, documents where text is not null),
+r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from s where score > 0)
+select query_id, doc_id, score, place from r where place <= 8""",
+    "labelled_rows": rf"""
+with {_TABLES_SQL}, r as (select doc_id, table_no, header, unnest(rows) as row, generate_subscripts(rows, 1) - 1 as row_no from tabs)
+select doc_id, table_no, row_no, left(array_to_string(list_filter(list_transform(range(1, len(header) + 1), lambda i: case when row[i] <> '' then header[i] || ': ' || row[i] end), lambda x: x is not null), ' · '), 280) as said
+from r where len(row) = len(header)""",
+    "attribute_answers": """
+with c as (select distinct on (claim_id) *, replace(replace(lower(attribute), ' ', '_'), '-', '_') as a, lower(trim(value)) as said, case when confidence is null or isnan(confidence) then 0.0 else confidence end as conf
+  from claims where trim(coalesce(value, '')) <> ''),
+v as (select assessment_id, a, said, count(*) as n from c group by 1, 2, 3)
+select assessment_id, a as attribute, count(*) as n_claims, round(cast(sum(cast(conf as decimal(18,6))) as double) / count(*), 6) as confidence, bool_and(not unsupported) as supported, bool_or(needs_human_review) as review,
+  sum(len(evidence_refs))::bigint as n_refs, (select arg_max(v.said, (v.n, v.said)) from v where v.assessment_id = c.assessment_id and v.a = c.a) as most_said from c group by 1, 2""",
     "conflict_members": rf"""
 with {_KEYED}, p as (select document_id, max(precedence) as precedence from source_documents group by 1),
 j as (select k.*, coalesce(p.precedence, 50) as prec from k left join p on source_document_id = document_id where value is not null),

@@ -122,6 +122,14 @@ def xlsx_rows(content: bytes) -> Iterator[Row]:
                 yield sheet.get("name", ""), r, [grid.get((r, c), "") for c in range(width)]
 
 
+def uncached_formulas(content: bytes) -> dict[str, int]:
+    """Per part of a workbook: cells that hold a formula and no value."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        parts = [n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)]
+        counts = {n: sum(c.find(f"{_SHEET}f") is not None and not c.findtext(f"{_SHEET}v") for c in ElementTree.fromstring(z.read(n)).iter(f"{_SHEET}c")) for n in parts}
+    return {n: k for n, k in counts.items() if k}
+
+
 def docx_rows(content: bytes) -> Iterator[Row]:
     """Paragraphs as rows of one cell and table rows as rows of theirs, in the order of the body."""
     text = lambda node: "".join(t.text or "" for t in node.iter(f"{_WORD}t")).strip()
@@ -193,6 +201,8 @@ def grid(files: DataFrame) -> DataFrame:
                 try:
                     found = [(path, s, n, cells, None) for s, n, cells in reader(content or b"")]
                     rows += found or [(path, "", -1, None, "no rows")]
+                    if reader is xlsx_rows:
+                        rows += [(path, part, -1, None, f"{n} formulas without a value") for part, n in uncached_formulas(content or b"").items()]
                 except Exception as e:  # one unreadable file must not end the job
                     rows.append((path, "", -1, None, f"{type(e).__name__}: {e}"[:200]))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5

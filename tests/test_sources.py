@@ -6,7 +6,7 @@ from estateloom.sources import files as S
 
 SHEET = (
     '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>vcpu</t></is></c></row>'
-    '<row r="3"><c r="A3"><v>7</v></c><c r="C3"><v>9.5</v></c></row></sheetData><mergeCells><mergeCell ref="A1:A2"/></mergeCells></worksheet>'
+    '<row r="3"><c r="A3"><v>7</v></c><c r="C3"><v>9.5</v></c><c r="D3"><f>A3*2</f></c></row></sheetData><mergeCells><mergeCell ref="A1:A2"/></mergeCells></worksheet>'
 )
 BOOK = (
     '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
@@ -57,4 +57,5 @@ def test_all_formats_and_gaps(spark, tmp_path):
     assert rows["d.xlsx"] == [("One", 0, ["host", "vcpu", ""]), ("One", 1, ["host", "", ""]), ("One", 2, ["7", "", "9.5"])]
     assert rows["e.docx"] == [("", 0, ["Title"]), ("table 0", 1, ["a", ""]), ("table 0", 2, ["b", "c"])]
     assert rows["g.zip!app/x.csv"] == [("", 0, ["a", "b"]), ("", 1, ["1", "2"])]
+    assert gaps.pop("d.xlsx") == "1 formulas without a value"
     assert set(gaps) == {"bad.json", "f.pdf", "empty.txt", "evil.zip"} and "leaves" in gaps["evil.zip"]
