@@ -33,6 +33,17 @@ def ranking_scores(rankings: DataFrame, relevant: DataFrame, k: int) -> DataFram
     )
 
 
+def coverage(expected: DataFrame, found: DataFrame, group: str, key: str) -> DataFrame:
+    """Per group: keys in both, only expected, only found, and the share of expected ones found (1 where nothing was expected)."""
+    a = expected.select(group, key).distinct().withColumn("e", F.lit(True))
+    b = found.select(group, key).distinct().withColumn("f", F.lit(True))
+    counts = a.join(b, [group, key], "full").groupBy(group).agg(
+        F.count_if(F.col("e") & F.col("f")).alias("n_both"), F.count_if(F.col("f").isNull()).alias("n_missing"), F.count_if(F.col("e").isNull()).alias("n_unexpected")
+    )
+    wanted = F.col("n_both") + F.col("n_missing")
+    return counts.withColumn("recall", F.round(F.when(wanted == 0, 1.0).otherwise(F.col("n_both") / wanted), 4))
+
+
 def script_of(documents: DataFrame) -> DataFrame:
     """(doc_id, predicted, expected): the language that a text's script allows to tell, beside the given one."""
     counts = {"th": "[฀-๿]", "hi": "[ऀ-ॿ]", "ar": "[؀-ۿ]", "ja": "[぀-ヿ]", "zh": "[一-鿿]", "ru": "[Ѐ-ӿ]"}

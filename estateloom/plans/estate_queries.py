@@ -144,6 +144,14 @@ def _keywords(documents: DataFrame, claims: DataFrame) -> DataFrame:
     return retrieval.keyword_search(documents, names.withColumn("text", F.col("query_id"))).select("query_id", "doc_id", "score", "place")
 
 
+def _host_coverage(lines: DataFrame, claims: DataFrame) -> DataFrame:
+    """Hosts of inventory lines against hosts that claims speak of, per assessment."""
+    first = F.lower(F.regexp_extract("raw_line", r"^\"?([A-Za-z0-9][A-Za-z0-9.-]*)\"?[,;\t]", 1))
+    listed = lines.where("line_no > 1").select("assessment_id", host_slug(first).alias("host")).where("host <> 'unknown'")
+    told = claims.where("entity_type = 'server'").select("assessment_id", host_slug("entity_key").alias("host"))
+    return evaluation.coverage(listed, told, "assessment_id", "host")
+
+
 def _fused_search(documents: DataFrame) -> DataFrame:
     q = _every_hundredth(documents)
     return retrieval.hybrid(documents, q)
@@ -202,6 +210,7 @@ QUERIES: dict[str, Query] = {
     "labelled_rows": _tables(tables.labelled_rows),
     "table_chunks": _tables(tables.table_chunks),
     "attribute_answers": over("claims", rollups.attribute_answers),
+    "host_coverage": over2("inventory_lines", "claims", _host_coverage),
     "conflict_members": over2("claims", "source_documents", _conflict_members),
     "duplicate_texts": over("documents", _duplicate_texts),
     "ingestion_lag": over("claims", _ingestion_lag),
@@ -444,6 +453,11 @@ with c as (select distinct on (claim_id) *, replace(replace(lower(attribute), '
 v as (select assessment_id, a, said, count(*) as n from c group by 1, 2, 3)
 select assessment_id, a as attribute, count(*) as n_claims, round(cast(sum(cast(conf as decimal(18,6))) as double) / count(*), 6) as confidence, bool_and(not unsupported) as supported, bool_or(needs_human_review) as review,
   sum(len(evidence_refs))::bigint as n_refs, (select arg_max(v.said, (v.n, v.said)) from v where v.assessment_id = c.assessment_id and v.a = c.a) as most_said from c group by 1, 2""",
+    "host_coverage": rf"""
+with x as (select assessment_id, lower(regexp_extract(raw_line, '^"?([A-Za-z0-9][A-Za-z0-9.-]*)"?[,;\t]', 1)) as h from inventory_lines where line_no > 1),
+a as (select distinct assessment_id, {_sql_host("h")} as host, true as e from x where h <> ''), b as (select distinct assessment_id, {_sql_host("entity_key")} as host, true as f from claims where entity_type = 'server'),
+c as (select assessment_id, count(*) filter (e and f) as n_both, count(*) filter (f is null) as n_missing, count(*) filter (e is null) as n_unexpected from a full join b using (assessment_id, host) group by 1)
+select *, round(case when n_both + n_missing = 0 then 1.0 else n_both / (n_both + n_missing) end, 4) as recall from c""",
     "conflict_members": rf"""
 with {_KEYED}, p as (select document_id, max(precedence) as precedence from source_documents group by 1),
 j as (select k.*, coalesce(p.precedence, 50) as prec from k left join p on source_document_id = document_id where value is not null),
