@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from estateloom.functions.keys import is_blank
 
@@ -76,17 +77,21 @@ def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
 
 
 def neighbours_in_time(events: DataFrame) -> DataFrame:
-    """As-of: each purchase with the user's last view before it, found by a range join on time buckets of a day.
+    """As-of: each purchase with the user's last view before it, however old.
 
-    A user's events are spread over days; a purchase meets the views of its own and the day before only through the last
-    view of each day, so no group of a user is collected.
+    Views of the purchase's own day come from a running last view within (user, day). Views are also reduced to the last one
+    of each day, and these are carried forward over a user's days for purchases without an earlier view on their day, so no
+    group holds more than a user's events of one day, or one row per day of a user.
     """
-    day = F.to_date("ts")
-    views = events.where("event_type = 'view'").select("user_id", day.alias("day"), F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
-    buys = events.where("event_type = 'purchase'").select("user_id", day.alias("day"), F.col("ts"), F.col("event_id"))
-    near = buys.withColumn("day", F.explode(F.array("day", F.date_sub("day", 1))))
-    joined = near.join(views, ["user_id", "day"]).where("view_ts < ts")
-    return joined.groupBy("user_id", "event_id").agg(F.max_by("view_id", F.struct("view_ts", "view_id")).alias("view_id"))
+    day, view = F.to_date("ts").alias("day"), F.when(F.col("event_type") == "view", F.struct(F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))).alias("view")
+    rows = events.where("event_type in ('view', 'purchase') and user_id is not null and ts is not null").select("user_id", day, "ts", "event_id", view)
+    # at the same time purchases come first: a view counts only for later ones
+    so_far = Window.partitionBy("user_id", "day").orderBy("ts", F.col("view").isNotNull(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    buys = rows.withColumn("same_day", F.last("view", ignorenulls=True).over(so_far)).where("view is null").drop("view")
+    earlier = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("user_id", "day").agg(F.max("view").alias("view")).select("user_id", "day", F.last("view", ignorenulls=True).over(earlier).alias("carried"))
+    last = buys.join(days, ["user_id", "day"]).withColumn("last", F.coalesce("same_day", "carried")).where("last is not null")
+    return last.groupBy("user_id", "event_id").agg(F.max("last").alias("last")).select("user_id", "event_id", "last.view_id")
 
 
 def attribute_answers(claims: DataFrame) -> DataFrame:

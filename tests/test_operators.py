@@ -237,3 +237,16 @@ def test_empty_tables(spark):
         evidence.resolved_references(claims, docs), evidence.source_of_claims(claims, docs), evidence.grounded_values(claims),
     ):
         assert df.count() == 0
+
+
+def test_last_view_before_purchase_may_be_of_any_age(spark):
+    rng, at = random.Random(5), datetime(2024, 1, 1)
+    rows = [(i, rng.choice([1, 2, None]), at + timedelta(hours=rng.choice([0, 6, 12, 18]) + 24 * rng.choice([0, 1, 5, 40])), rng.choice(["view", "purchase", "click"])) for i in range(120)]
+    rows += [(900, 3, at, "view"), (901, 3, at, "purchase"), (902, 3, at + timedelta(days=400), "purchase"), (903, 4, None, "purchase"), (904, 4, None, "view")]
+    want = {}
+    for e, user, ts, kind in rows:
+        before = [(t, v) for v, u, t, k in rows if k == "view" and kind == "purchase" and None not in (user, ts, t) and u == user and t < ts]
+        if before:
+            want[e] = max(before)[1]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string")
+    assert {r.event_id: r.view_id for r in rollups.neighbours_in_time(ev).collect()} == want and want[902] == 900
