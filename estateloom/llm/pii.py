@@ -152,6 +152,9 @@ def _ids(text: str) -> Iterable[Span]:
 # ---------------------------------------------------------------- street addresses
 # Street words behind the name (English, German), before it (Romance languages), and towns' continuation.
 _EN_TYPES = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Close|Way|Terrace|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Boulevard|Blvd|Crescent|Gardens|Grove|Hill|Row|Walk|Park|Mews|Quay|Highway|Hwy|Parkway|Circle|Alley|Yard)"
+_DE_TYPES = r"(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|[Ww]eg|[Gg]asse|[Pp]latz|[Aa]llee|[Rr]ing|[Uu]fer|[Dd]amm|[Gg]raben|[Hh]of|[Ss]teig|[Cc]haussee)"
+_ES_TYPES = r"(?:Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Camino|Carrera|Ronda|Travesía|Via|Viale|Piazza|Corso|Rua)"
+_FR_TYPES = r"(?:rue|bd\.?|boulevard|av\.?|avenue|chemin|place|allée|impasse|quai|route|cours|square|passage)"
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _TOWN = rf"{_CAP}(?:[ -]{_CAP}){{0,3}}"
 _POST = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}|\d{5}(?:-\d{4})?)"
@@ -165,18 +168,21 @@ _ADDRESSES = [
     ),
     # Lerchenstraße 23b, 07044 Weißkirch
     re.compile(
-        rf"(?<![\w-])(?:{_CAP}-)*{_CAP}?(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|[Ww]eg|[Gg]asse|[Pp]latz|[Aa]llee|[Rr]ing|[Uu]fer|[Dd]amm|[Gg]raben|[Hh]of|[Ss]teig|[Cc]haussee)\s+\d{{1,4}}\s?[a-z]?(?![\w])(?:{_SEP}{_FLAT})?(?:{_SEP}(?:D-|A-|CH-)?\d{{4,5}}\s+{_TOWN})?"
+        rf"(?<![\w-])(?:{_CAP}-)*{_CAP}?{_DE_TYPES}\s+\d{{1,4}}\s?[a-z]?(?![\w])(?:{_SEP}{_FLAT})?(?:{_SEP}(?:D-|A-|CH-)?\d{{4,5}}\s+{_TOWN})?"
     ),
     # Calle del Olivo 5, 47587 Villasur
     re.compile(
-        rf"(?<![\w-])(?:Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Camino|Carrera|Ronda|Travesía|Via|Viale|Piazza|Corso|Rua)\s+(?:(?:de|del|la|las|los|el|di|da|do|dos)\s+)*{_CAP}(?:\s+(?:(?:de|del|la|las|los|y)\s+)*{_CAP}){{0,4}},?\s+(?:n[.º°]\s*)?\d{{1,4}}[a-z]?(?![\w])(?:,\s*\d{{1,2}}[º°ªo]\s?\w?)?(?:{_SEP}{_FLAT})?(?:{_SEP}\d{{4,5}}\s+{_TOWN})?"
+        rf"(?<![\w-]){_ES_TYPES}\s+(?:(?:de|del|la|las|los|el|di|da|do|dos)\s+)*{_CAP}(?:\s+(?:(?:de|del|la|las|los|y)\s+)*{_CAP}){{0,4}},?\s+(?:n[.º°]\s*)?\d{{1,4}}[a-z]?(?![\w])(?:,\s*\d{{1,2}}[º°ªo]\s?\w?)?(?:{_SEP}{_FLAT})?(?:{_SEP}\d{{4,5}}\s+{_TOWN})?"
     ),
     # 103 bis rue des Tilleuls, 88711 Saint-Orvin
     re.compile(
-        rf"(?<![\w-])\d{{1,4}}(?:\s?(?:bis|ter|[a-c]))?,?\s+(?:rue|bd\.?|boulevard|av\.?|avenue|chemin|place|allée|impasse|quai|route|cours|square|passage)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*{_CAP}(?:[ -](?:(?:de|du|des|la|le|les)\s+)*{_CAP}){{0,4}}(?:{_SEP}{_FLAT})?(?:{_SEP}\d{{4,5}}\s+{_TOWN})?"
+        rf"(?<![\w-])\d{{1,4}}(?:\s?(?:bis|ter|[a-c]))?,?\s+{_FR_TYPES}\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*{_CAP}(?:[ -](?:(?:de|du|des|la|le|les)\s+)*{_CAP}){{0,4}}(?:{_SEP}{_FLAT})?(?:{_SEP}\d{{4,5}}\s+{_TOWN})?"
     ),
 ]
-_STREET_HINT = re.compile(r"(?i)\b(?:st|street|road|rd|lane|ln|avenue|ave|av|close|way|terrace|drive|court|place|square|boulevard|blvd|bd|crescent|gardens|grove|row|mews|calle|avda|avenida|plaza|paseo|camino|rue|chemin|impasse|quai|route|all[ée]e|via|piazza|c/)\b|stra(?:ß|ss)e|str\.|weg\b|gasse\b|platz\b|ring\b|ufer\b|damm\b|graben\b|hof\b")
+#: what a match of each pattern holds, from the same word lists, so no address can miss it
+_STREET_HINT = re.compile(rf"\b(?:{_EN_TYPES}|{_EN_TYPES.upper()})\b|{_DE_TYPES}\s+\d|(?<![\w-]){_ES_TYPES}\s|\s{_FR_TYPES}\s")
+
+
 def _addresses(text: str) -> Iterable[Span]:
     for i, form in enumerate(_ADDRESSES):
         for m in form.finditer(text):

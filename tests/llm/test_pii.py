@@ -45,3 +45,13 @@ def test_redaction_keeps_the_rest(spark):
     got = {r.row_key: (r.redacted, len(r.found)) for r in P.scanned(texts, lex).collect()}
     assert got == {"1": ("call [PHONE] now", 1), "2": (None, 0), "3": ("", 0)}
     assert P.scanned(texts.limit(0), lex.limit(0)).count() == 0
+
+
+def test_every_form_of_address_passes_the_gate():
+    german = ["straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "graben", "hof", "steig", "chaussee"]
+    texts = [f"12 Old Mill {w}" for x in P._EN_TYPES[3:-1].split("|") for w in (x, x.upper())]
+    texts += [f"Lerchen{x} 5" for x in german]
+    texts += [f"{w} Mayor 235, 36807 Villasur" for x in P._ES_TYPES[3:-1].split("|") for w in {x.replace(r"\.?", "").replace("\\", ""), x.replace(r"\.?", ".").replace("\\", "")}]
+    texts += [f"103 {w} des Tilleuls, 88711 Saint-Orvin" for x in P._FR_TYPES[3:-1].split("|") for w in {x.replace(r"\.?", ""), x.replace(r"\.?", ".")}]
+    assert [t for t in texts if not any(True for _ in P._addresses(t))] == []
+    assert [t for t in texts if ("address", t) not in found(t)] == []
