@@ -2,8 +2,9 @@
 
 Each source may be used at most ``max_repeats`` times over. Its allotment is its share of the total; sources whose
 allotment exceeds what they can give are clamped there, and the excess goes to the others in proportion to their targets
-until nothing is exceeded. Without a given total the mix is the largest in which no source is clamped, so that every
-source that has texts comes out at its target (shares of sources without texts go to the others).
+until nothing is exceeded. With ``of_all`` the total is the size of the whole corpus. Without a total the mix is the largest
+in which no source is clamped, so that every source that has texts comes out at its target (shares of sources without texts
+go to the others); the scarcest source then sets the size.
 
 Only per-source totals, one row for each listed source, come to the driver. A fractional repetition takes texts in the
 order of a seeded hash until its tokens are met: hash buckets are counted first, and only texts of the one bucket in which
@@ -82,7 +83,12 @@ def _plan(sizes: DataFrame, plan: list[Allotment]) -> DataFrame:
     return sizes.sparkSession.createDataFrame(rows, "source string, whole int, quota double")
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
+def _corpus_tokens(sizes: DataFrame) -> float:
+    """Tokens of all texts, also of those without a listed source."""
+    return float(sizes.agg(F.sum("n_tokens")).first()[0] or 0)
+
+
+def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY, of_all: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens, repeats) of every text in the mix.
 
     Edge cases: texts with a null or unlisted source take no part; null and empty texts have no tokens and take none; a
@@ -90,7 +96,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     non-positive targets and repeats count as 0; repeated texts are texts of their own; empty tables give an empty table.
     """
     sizes = checkpointed(sized(documents, ["doc_id", "source"], vocabulary))  # texts are tokenised once
-    return _chosen(sizes, allotments(sizes, targets, total_tokens), seed)
+    return _chosen(sizes, allotments(sizes, targets, _corpus_tokens(sizes) if of_all else total_tokens), seed)
 
 
 def _chosen(sizes: DataFrame, plan: list[Allotment], seed: int) -> DataFrame:
@@ -110,10 +116,10 @@ def _chosen(sizes: DataFrame, plan: list[Allotment], seed: int) -> DataFrame:
     return sure.unionByName(last).select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("more")).alias("repeats")).where("repeats > 0")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY, of_all: bool = False) -> DataFrame:
     """Per listed source: target, available tokens, repetitions allowed and used, tokens in the mix, actual share and its deviation."""
     sizes = checkpointed(sized(documents, ["doc_id", "source"], vocabulary))  # texts are tokenised once
-    plan = allotments(sizes, targets, total_tokens)
+    plan = allotments(sizes, targets, _corpus_tokens(sizes) if of_all else total_tokens)
     got = _chosen(sizes, plan, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
     rows = [(s.source, s.target, s.available, s.max_repeats, s.epochs) for s in plan]
     listed = documents.sparkSession.createDataFrame(rows, "source string, target_share double, available_tokens bigint, max_repeats int, epochs double")

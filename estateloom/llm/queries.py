@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estateloom.llm import mixing, packing, pii, secrets, sentences, survivors
-from estateloom.llm.tokenizing import sized
 from estateloom.session import read_table
 
 _P4 = ["assessment_id", "entity_type", "entity_key", "attribute", "value_claim_id", "quote_claim_id"]
@@ -21,9 +20,7 @@ def _personal_data(s, d):
 
 def _shares_of_all(s, d):
     """The mix at the size of the corpus, where small sources are clamped."""
-    documents = read_table(s, d, "documents")
-    total = sized(documents, ["doc_id"]).agg(F.sum("n_tokens")).first()[0] or 0
-    return mixing.shares(documents, read_table(s, d, "mix_targets"), total_tokens=float(total))
+    return mixing.shares(read_table(s, d, "documents"), read_table(s, d, "mix_targets"), of_all=True)
 
 
 QUERIES = {
@@ -34,8 +31,8 @@ QUERIES = {
     "p5_found": lambda s, d: secrets.find_credentials(read_table(s, d, "manifest_files")).select("file_id", "line_no").distinct(),
     "p7_pack": lambda s, d: packing.packed(read_table(s, d, "documents")),
     "p7_utilisation": lambda s, d: packing.utilisation(packing.packed(read_table(s, d, "documents"))),
-    "p8_mix": lambda s, d: mixing.mixed(read_table(s, d, "documents"), read_table(s, d, "mix_targets")),
-    "p8_shares": lambda s, d: mixing.shares(read_table(s, d, "documents"), read_table(s, d, "mix_targets")),
+    "p8_mix": lambda s, d: mixing.mixed(read_table(s, d, "documents"), read_table(s, d, "mix_targets"), of_all=True),
+    "p8_shares": _shares_of_all,
     "p8_shares_of_all": _shares_of_all,
     "p9_found": lambda s, d: sentences.sentence_units(read_table(s, d, "documents")).select("doc_id", "start_pos").distinct(),
     "p9_sentences": lambda s, d: sentences.sentence_units(read_table(s, d, "documents")),

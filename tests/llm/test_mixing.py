@@ -1,5 +1,6 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from estateloom.llm import mixing as M
 
@@ -46,3 +47,17 @@ def test_clamped_and_seeded(spark):
 def test_empty(spark):
     assert M.mixed(documents(spark).limit(0), targets(spark)).count() == 0
     assert M.mixed(documents(spark), targets(spark).limit(0)).count() == 0
+
+
+def test_queries_mix_at_the_size_of_the_corpus(spark, tmp_path):
+    from estateloom.llm.queries import QUERIES
+
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    targets(spark).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    of = {r.source: r for r in QUERIES["p8_shares"](spark, str(tmp_path)).collect()}
+    total = sum(r.available_tokens for r in of.values())
+    assert of["small"].epochs == 3 and of["small"].mixed_tokens == 3 * of["small"].available_tokens  # clamped
+    assert of["big"].epochs > 0.9  # the excess comes here
+    mix = {r.source: r for r in QUERIES["p8_mix"](spark, str(tmp_path)).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n"), F.min("repeats").alias("least")).collect()}
+    assert mix["small"].least == 3 and all(mix[s].n == of[s].mixed_tokens for s in mix)
+    assert abs(sum(r.n for r in mix.values()) - total) < 0.01 * total
