@@ -66,8 +66,8 @@ def nearest_vectors(embeddings: DataFrame, queries: DataFrame, k: int = TOP_K, l
     return _ranked(union, k, "query_id", "vec_id")
 
 
-def bm25(documents: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, doc_id, score, place): Okapi BM25 of each query's distinct words; scores above 0.
+def bm25(documents: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, counted: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, place): Okapi BM25 of each query's distinct words (``counted``: each as often as it occurs); scores above 0.
 
     ``queries`` has query_id and text. Postings meet the query words in a salted join on the word, so frequent words are
     spread, and scores are summed before they are ranked. Negative inverse frequencies become ``epsilon`` times the mean.
@@ -79,17 +79,23 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = 1
     idf = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("word")).join(idf, "word")
+    asked = queries.select("query_id", F.explode(tokens("text") if counted else F.array_distinct(tokens("text"))).alias("word"))
+    if counted:
+        asked = asked.groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    wanted = asked.join(idf, "word")
     postings = tf.join(size, "doc_id")
     hits = salted_join(postings, wanted, ["word"], ["doc_id"], "inner")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 4).alias("score")).where("score > 0")
+    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * F.col("times") if counted else weight), 4).alias("score")).where("score > 0")
     return _ranked(scores, k, "query_id", "doc_id")
 
 
 def fused(rankings: list[tuple[DataFrame, float]], k: int = TOP_K, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, doc_id, place) lists with weights; ties go to the item seen first, then the lower id."""
-    parts = [r.select("query_id", "doc_id", (F.lit(w) / (constant + F.col("place"))).alias("part"), F.lit(i).alias("seen"), "place") for i, (r, w) in enumerate(rankings)]
+    """Reciprocal rank fusion of (query_id, doc_id, place) lists with weights; ties go to the item seen first, then the lower id.
+
+    A frame that holds several lists numbers them in a column ``seen``; all frames then need one.
+    """
+    parts = [r.select("query_id", "doc_id", (F.lit(w) / (constant + F.col("place"))).alias("part"), (F.col("seen") if "seen" in r.columns else F.lit(i)).alias("seen"), "place") for i, (r, w) in enumerate(rankings)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -107,10 +113,26 @@ def hashed_embeddings(documents: DataFrame, dims: int = 64) -> DataFrame:
     return filled.select(F.col("doc_id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)).cast("float")).alias("embedding"))
 
 
-def hybrid(documents: DataFrame, queries: DataFrame, k: int = TOP_K, pool: int = 20) -> DataFrame:
-    """Lexical and dense rankings of ``pool`` candidates each, fused."""
-    dense = nearest_vectors(hashed_embeddings(documents), hashed_embeddings(queries.select(F.col("query_id").alias("doc_id"), "text")), pool).withColumnRenamed("vec_id", "doc_id")
-    return fused([(dense, 1.0), (bm25(documents, queries, pool), 1.0)], k)
+def hybrid(documents: DataFrame, queries: DataFrame, k: int = TOP_K, pool: int | None = None) -> DataFrame:
+    """Dense and lexical rankings of ``pool`` candidates each (by default the larger of 4k and 20), fused.
+
+    Expansions of a query enter with ``EXPANSION_WEIGHT``: one dense list each, and one lexical list of all of them. Few
+    expansions exist, so each is searched once and its ranking joined to the queries that have it.
+    """
+    pool = pool or max(4 * k, 20)
+    vectors = hashed_embeddings(documents)
+    dense = nearest_vectors(vectors, hashed_embeddings(queries.select(F.col("query_id").alias("doc_id"), "text")), pool).withColumnRenamed("vec_id", "doc_id")
+    phrases = sorted({p for _, said in CONCEPTS.values() for p in said})
+    listed = documents.sparkSession.createDataFrame(list(enumerate(phrases)), "doc_id bigint, text string")
+    said = expansions(queries.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), F.split("expansions", "; ").alias("said"))
+    near = nearest_vectors(vectors, hashed_embeddings(listed), pool).select(F.col("query_id").alias("phrase"), F.col("vec_id").alias("doc_id"), "place")
+    each = said.select("query_id", F.posexplode("said").alias("at", "text")).join(F.broadcast(listed.withColumnRenamed("doc_id", "phrase")), "text")
+    dense_said = each.join(near, "phrase").select("query_id", "doc_id", "place", (F.col("at") + 1).alias("seen"))
+    joined = said.select("query_id", F.array_join("said", " ").alias("text"))
+    words = bm25(documents, joined.select(F.col("text").alias("query_id"), "text").distinct(), pool, counted=True).select(F.col("query_id").alias("text"), "doc_id", "place")
+    lexical_said = joined.join(words, "text").select("query_id", "doc_id", "place", F.lit(MAX_EXPANSIONS + 2).alias("seen"))
+    lexical = bm25(documents, queries, pool, counted=True).withColumn("seen", F.lit(MAX_EXPANSIONS + 1))
+    return fused([(dense.withColumn("seen", F.lit(0)), 1.0), (dense_said, EXPANSION_WEIGHT), (lexical, 1.0), (lexical_said, EXPANSION_WEIGHT)], k)
 
 
 # Concepts, the words that mention them, and how documents speak of them.
@@ -132,6 +154,8 @@ CONCEPTS = {
     "dependencies": (["dependencies", "dependency", "integration", "integrations", "interfaces"], ["depends on calls integrates with upstream downstream", "api queue kafka event hub message topic"]),
 }
 MAX_EXPANSIONS = 4
+#: weight of an expansion's ranking, that of the query's own being 1
+EXPANSION_WEIGHT = 0.6
 
 
 def expansions(documents: DataFrame) -> DataFrame:

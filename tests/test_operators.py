@@ -250,3 +250,28 @@ def test_last_view_before_purchase_may_be_of_any_age(spark):
             want[e] = max(before)[1]
     ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string")
     assert {r.event_id: r.view_id for r in rollups.neighbours_in_time(ev).collect()} == want and want[902] == 900
+
+
+def test_hybrid_fuses_expansions_and_four_k_candidates(spark):
+    rng = random.Random(11)
+    words = "legacy version upgrade manual procedure failover server database batch coupling ledger north south monday".split() + [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=9))) for i in range(60)], "doc_id bigint, text string")
+    text = "legacy legacy blockers server"
+    q = spark.createDataFrame([(1, text)], "query_id bigint, text string")
+    said = retrieval.expansions(q.withColumnRenamed("query_id", "doc_id")).first().expansions.split("; ")
+    assert len(said) == 4
+
+    def ask(t, search):
+        return [(r[0], r[1]) for r in search(spark.createDataFrame([(1, t)], "doc_id bigint, text string"))]
+
+    dense = lambda d: retrieval.nearest_vectors(retrieval.hashed_embeddings(docs), retrieval.hashed_embeddings(d), 32).select("vec_id", "place").collect()
+    lexical = lambda d: retrieval.bm25(docs, d.withColumnRenamed("doc_id", "query_id"), 32, counted=True).select("doc_id", "place").collect()
+    want = defaultdict(float)
+    for t, search, w in [(text, dense, 1.0), *((s, dense, 0.6) for s in said), (text, lexical, 1.0), (" ".join(said), lexical, 0.6)]:
+        for d, place in ask(t, search):
+            want[d] += w / (60 + place)
+    got = {r.doc_id: r.score for r in retrieval.hybrid(docs, q).collect()}
+    assert len(got) == 8 and all(s == pytest.approx(want[d], abs=1e-7) for d, s in got.items())
+    assert sorted(got.values()) == pytest.approx(sorted(want.values())[-8:], abs=1e-7)
+    once, twice = ({r.doc_id: r.score for r in retrieval.bm25(docs, spark.createDataFrame([(1, t)], "query_id bigint, text string"), 60, counted=True).collect()} for t in ("ledger", "ledger ledger"))
+    assert once and all(twice[d] == pytest.approx(2 * s, abs=2e-4) for d, s in once.items())
