@@ -68,11 +68,22 @@ def ordered_distinct(claims: DataFrame) -> DataFrame:
     return claims.where("value is not null").groupBy(a, F.trim("value").alias("value")).agg(F.min("ord").alias("first_ord"), F.countDistinct("claim_id").alias("n"))
 
 
-def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
-    """Sessions of each user: event-time windows that close after ``gap`` without an event."""
-    w = F.session_window("ts", gap)
-    return events.groupBy("user_id", w).agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 2).alias("total")).select(
-        "user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n_events", "total"
+def sessions(events: DataFrame, gap_seconds: int = 7200) -> DataFrame:
+    """Sessions of each user, closed after ``gap_seconds`` without an event: (user_id, started, ended, n_events, total).
+
+    Events of one slot of the clock as long as the gap always share a session, so they are summed up first, map-side; only
+    these slots, of which a user has no more than the time spanned holds, are ordered. Rows without a time are left out.
+    """
+    gap = gap_seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    slots = events.where("ts is not null").groupBy("user_id", F.floor(at / F.lit(gap)).alias("slot")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"), F.sum("value").alias("total")
+    )
+    by_user = Window.partitionBy("user_id").orderBy("slot")
+    opens = F.when(F.col("a") - F.lag("b").over(by_user) < gap, 0).otherwise(1)
+    numbered = slots.withColumn("opens", opens).withColumn("session", F.sum("opens").over(by_user))
+    return numbered.groupBy("user_id", "session").agg(F.min("first").alias("started"), F.max("last").alias("last"), F.sum("n").alias("n_events"), F.round(F.sum("total"), 2).alias("total")).select(
+        "user_id", "started", (F.col("last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("ended"), "n_events", "total"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,16 @@ def local_session(cores: int | str = "*", app: str = "estateloom", shuffle_parti
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) is a temporary folder set.
+    Where the setting is absent, a session on one machine (tests, the bench) gets a temporary folder; on a cluster that is an
+    error, as a folder of one machine is none that the executors share.
     """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster must name the folder that its executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="estateloom-ckpt-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="estateloom-ckpt-"))
+    return named or sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

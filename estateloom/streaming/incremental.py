@@ -1,4 +1,4 @@
-"""Streams: windowed counts with a watermark, and claims kept at their latest state, both through idempotent batch writes."""
+"""Streams: windowed counts, summed over batches or under a watermark, and claims kept at their latest state, through idempotent batch writes."""
 
 from __future__ import annotations
 
@@ -11,26 +11,51 @@ from pyspark.sql import functions as F
 from estateloom.session import shared_folder
 
 
-def windowed_counts(stream: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(started, event_type, n, total) of event-time windows; events later than the watermark are dropped from state."""
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    counted = timed.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+def hourly(events: DataFrame, window: str = "1 hour") -> DataFrame:
+    """(started, event_type, n, total) of event-time windows."""
+    counted = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("window.start").cast("timestamp_ntz").alias("started"), "event_type", "n", "total")
 
 
-def upserted(stream: DataFrame, keys: list[str], folder: str, order: str | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs ``stream`` over everything available and gives the latest row of each key.
+def windowed_counts(stream: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """(started, event_type, n, total) of event-time windows for a live stream that must close its windows.
 
-    Batches are written under their number, so a batch that is run again replaces itself; the latest state is an aggregate on
-    read (by ``order`` within a batch). The checkpoint lies beside the data, so a later run goes on where this one stopped.
+    Events later than the watermark are dropped from the state; where all events count, use ``accumulated``.
     """
+    return hourly(stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), window)
+
+
+def _run(stream: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame] | None) -> None:
+    """Writes each batch of ``stream`` under its number, so a batch that is run again replaces itself; the checkpoint lies
+    beside the data, so a later run goes on where this one stopped."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
+        (prepare(batch) if prepare else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+def accumulated(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], keys: list[str], folder: str) -> DataFrame:
+    """Sums over everything that ``stream`` ever delivered, by ``keys``: each batch is aggregated by ``partial`` to its own sums
+    (numeric columns beside the keys), and the sums of all batches are added up on read.
+
+    No watermark is needed, so the result does not depend on how rows fall into batches or on their order; the state holds
+    one row per key and batch.
+    """
+    _run(stream, folder, partial)
+    spark = stream.sparkSession
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+    rows = spark.read.schema(schema).option("basePath", f"{folder}/data").parquet(f"{folder}/data/batch=*")
+    sums = [f for f in schema if f.name not in keys]
+    return rows.groupBy(*keys).agg(*((F.round(F.sum(f.name), 2) if f.dataType.simpleString() == "double" else F.sum(f.name)).alias(f.name) for f in sums))
+
+
+def upserted(stream: DataFrame, keys: list[str], folder: str, order: str | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Runs ``stream`` over everything available and gives the latest row of each key.
+
+    The latest state is an aggregate on read, by batch and by ``order`` within a batch.
+    """
+    _run(stream, folder, prepare)
     rows = stream.sparkSession.read.schema(stream.schema).option("basePath", f"{folder}/data").parquet(f"{folder}/data/batch=*").withColumn("__batch", F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("bigint"))
     others = [c for c in stream.columns if c not in keys]
     last = F.max_by(F.struct(*others), F.struct("__batch", *([order] if order else [])))
@@ -43,16 +68,16 @@ def parquet_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly windows of the events table, run as a stream in the shared folder."""
+def event_windows(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Hourly windows of the events table, run as a stream in the shared folder; no event is late, whatever batch it comes in."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-    return upserted(windowed_counts(parquet_stream(spark, sf_dir, "events")), ["started", "event_type"], folder)
+    return accumulated(parquet_stream(spark, sf_dir, "events", files_per_trigger), hourly, ["started", "event_type"], folder)
 
 
 def latest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redelivered claims at their first delivery: an incremental deduplication by key."""
+    """Redelivered claims at their first delivery: an incremental deduplication by key, whatever batch a delivery comes in."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     stream = parquet_stream(spark, sf_dir, "claims").select("claim_id", "ord", "attribute", "value", "ingested_at")
     first = lambda b: b.groupBy("claim_id").agg(F.min_by(F.struct("ord", "attribute", "value", "ingested_at"), "ingested_at").alias("r")).select("claim_id", "r.*")
-    rows = upserted(stream, ["claim_id"], folder, prepare=first)
-    return rows.select("claim_id", "ord", "attribute", "value")
+    _run(stream, folder, first)
+    return first(spark.read.schema(stream.schema).parquet(f"{folder}/data/batch=*")).select("claim_id", "ord", "attribute", "value")

@@ -100,7 +100,7 @@ def test_grounding(spark):
     assert [r[0] for r in df.select(evidence.is_grounded("q", "t")).collect()] == [w for *_, w in rows]
 
 
-def test_pagerank_equals_dense_power_iteration(spark):
+def test_pagerank_equals_the_dense_solution(spark):
     rng = random.Random(2)
     edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(90)}
     both = {(a, b) for a, b in edges if a != b} | {(b, a) for a, b in edges if a != b}
@@ -109,12 +109,22 @@ def test_pagerank_equals_dense_power_iteration(spark):
     for a, b in both:
         m[nodes.index(b), nodes.index(a)] = 1
     m /= m.sum(axis=0)
-    r = np.full(len(nodes), 1 / len(nodes))
-    for _ in range(10):
-        r = 0.15 / len(nodes) + 0.85 * m @ r
+    r = np.linalg.solve(np.eye(len(nodes)) - 0.85 * m, np.full(len(nodes), 0.15 / len(nodes)))
     df = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "src string, dst string")
     got = {x.node: x.rank for x in graph.pagerank(df).collect()}
-    assert got == pytest.approx({str(n): v for n, v in zip(nodes, r, strict=True)})
+    want = {str(n): v for n, v in zip(nodes, r, strict=True)}
+    assert got == pytest.approx(want)
+    assert {x.node: x.rank for x in graph.pagerank(df, block=2).collect()} == pytest.approx(want)  # every node with more than two links is a hub
+    # two nodes without an edge: their mass is spread evenly over all
+    n = len(nodes) + 2
+    full = np.zeros((n, n))
+    full[: n - 2, : n - 2] = m
+    full[:, n - 2 :] = 1 / n
+    r = np.linalg.solve(np.eye(n) - 0.85 * full, np.full(n, 0.15 / n))
+    more = spark.createDataFrame([(str(a),) for a in [*nodes, "x", "y"]], "node string")
+    assert {x.node: x.rank for x in graph.pagerank(df, more).collect()} == pytest.approx(dict(zip([*map(str, nodes), "x", "y"], r, strict=True)))
+    assert {x.node: x.rank for x in graph.pagerank(df.limit(0), more).collect()} == dict.fromkeys([*map(str, nodes), "x", "y"], 0.0)
+    assert graph.pagerank(df.limit(0)).count() == 0
 
 
 def test_neighbourhoods_equal_breadth_first(spark):
@@ -209,7 +219,19 @@ def test_sessions_and_as_of(spark):
     rows = [(1, t, 1, "view", 1.0), (2, t + timedelta(hours=1), 1, "purchase", 2.0), (3, t + timedelta(hours=9), 1, "purchase", 3.0), (4, t + timedelta(days=3), 1, "purchase", 1.0)]
     ev = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
     assert sorted(r.n_events for r in rollups.sessions(ev).collect()) == [1, 1, 2]
-    assert {r.event_id: r.view_id for r in rollups.neighbours_in_time(ev).collect()} == {2: 1, 3: 1}
+    assert {r.event_id: r.view_id for r in rollups.neighbours_in_time(ev).collect()} == {2: 1, 3: 1, 4: 1}
+
+
+def test_windows_lose_no_event_whatever_the_batches(spark, tmp_path):
+    """Events in many files out of time order, one or many files a batch: the same counts, and all events."""
+    t, rng = datetime(2024, 1, 1), random.Random(8)
+    rows = [(i, t + timedelta(minutes=rng.randrange(60 * 24 * 30)), rng.choice("ab"), 1.0) for i in range(400)]
+    ev = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, event_type string, value double")
+    ev.repartition(12).write.parquet(f"{tmp_path}/events.parquet")
+    want = Counter((x[1].replace(minute=0), x[2]) for x in rows)
+    for files in (1, 5, 1000):
+        got = {(r.started, r.event_type): r.n for r in incremental.event_windows(spark, str(tmp_path), files).collect()}
+        assert got == want
 
 
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
