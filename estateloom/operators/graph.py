@@ -11,8 +11,8 @@ from estateloom.session import checkpointed
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(src, dst) both ways, without loops and parallel edges."""
-    e = edges.select("src", "dst").where("src <> dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    once = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return once.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
 
 
 def with_stubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     if linked == 0:
         return (degrees.select("node") if alone is None else alone).withColumn("rank", F.lit(0.0))
     base = (1 - damping) / (linked + isolated - damping * isolated)
-    links = links.repartition("src", "part").sortWithinPartitions("src", "part").persist()
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.repartition(width, "src", "part").sortWithinPartitions("src", "part").persist()
 
     def spread_by(state: DataFrame, column: str) -> DataFrame:
         """``state`` with ``m``: what each node gets if all divide ``column`` among their neighbours."""

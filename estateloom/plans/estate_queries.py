@@ -107,7 +107,7 @@ def _label_agreement(embeddings: DataFrame) -> DataFrame:
 
 
 def _supply(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    return lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
 
 
 def _rank(lineitem: DataFrame) -> DataFrame:
