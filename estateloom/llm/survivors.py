@@ -1,9 +1,12 @@
 """Best representative of each group of competing claims, field by field, with currency reasoning.
 
-Claims rank by source precedence, confidence, time and order. Where the time is missing, currency is reasoned: from all
-timestamped rows the operator learns which value of an attribute follows which, keeps the majority
-direction of every pair of values as a precedence, and takes within a group the topologically latest values, i.e. those
-that no learned precedence places before another value of the group.
+Claims rank by source precedence, confidence, time and order. Where times are missing among the claims that precedence and
+confidence leave equal, currency is reasoned. From all timestamped rows the operator learns which value of an attribute
+follows which, and how many more rows say so than say the reverse. These votes are closed transitively: the strength of a
+chain of precedences is that of its weakest link, and one value is before another if the strongest chain that says so is
+stronger than the strongest that says the reverse. This order is transitive and free of cycles whatever was learned
+(beatpaths; Schulze 2011), so contradictions are settled by majority. Within a group the latest timed value and the untimed
+values form a partial order, and the topologically latest ones stay: those that no other value of the group comes after.
 
 A group may hold any share of the rows: survivors are chosen by map-side-combinable aggregates, never by a window over a
 group; value transitions are found in windows over (group, day) and linked over two rows per such day.
@@ -17,6 +20,7 @@ from pyspark.sql.window import Window
 
 from estateloom.functions.keys import attribute_key, entity_key, is_blank, says_something, strip
 from estateloom.functions.skew import salted_join
+from estateloom.session import checkpointed
 
 GROUP = ["assessment_id", "entity_type", "entity_key", "attribute"]
 
@@ -34,7 +38,7 @@ def keyed_claims(claims: DataFrame) -> DataFrame:
 
 
 def learned_precedence(keyed: DataFrame) -> DataFrame:
-    """(earlier, later): pairs of facts of which the one follows the other more often than the reverse, over all timestamped rows.
+    """(earlier, later, votes): pairs of facts of which the one follows the other ``votes`` times more than the reverse, over all timestamped rows.
 
     Groups and facts travel as 64-bit hashes; a chance collision adds one to a count. Successive rows are compared within a
     day of a group, then the last row of a day with the first of the group's next, one row per group and day.
@@ -48,17 +52,66 @@ def learned_precedence(keyed: DataFrame) -> DataFrame:
     steps = rows.select("before", "fact").where("before is not null").unionByName(across).where("before <> fact")
     pairs = steps.groupBy(F.least("before", "fact").alias("a"), F.greatest("before", "fact").alias("b")).agg(F.sum(F.when(F.col("before") < F.col("fact"), 1).otherwise(-1)).alias("way"))
     forward = F.col("way") > 0
-    return pairs.where("way <> 0").select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("later"))
+    return pairs.where("way <> 0").select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("later"), F.abs("way").alias("votes"))
 
 
-def with_currency(keyed: DataFrame) -> DataFrame:
-    """``currency`` of each claim: 1 unless its time is missing and a learned precedence places its value before another of the group."""
-    untimed = keyed.where("extracted_at is null and fact is not null")
-    facts = untimed.select(*GROUP, "fact").distinct()
-    ordered = salted_join(facts, learned_precedence(keyed).withColumnRenamed("earlier", "fact"), ["fact"], ["assessment_id", "entity_key"], "inner")
-    overtaken = ordered.join(facts.withColumnRenamed("fact", "later"), [*GROUP, "later"], "left_semi").select(*GROUP, "fact").distinct().withColumn("overtaken", F.lit(True))
-    placed = salted_join(untimed, overtaken, [*GROUP, "fact"], ["claim_id"], "left").withColumn("currency", F.when(F.col("overtaken"), 0).otherwise(1)).drop("overtaken")
-    return keyed.where("extracted_at is not null or fact is null").withColumn("currency", F.lit(1)).unionByName(placed)
+def beatpaths(learned: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, fact, votes): of every fact reachable from the facts of ``starts`` (fact) the strength of the strongest chain to it.
+
+    Breadth first: a round carries on only chains that the round before made stronger, so it ends after as many rounds as the
+    longest strongest chain has links. Chains are kept per starting fact, not per group, and checkpointed each round.
+    """
+    links = checkpointed(learned)
+    found = frontier = checkpointed(links.join(starts.select(F.col("fact").alias("earlier")).distinct(), "earlier", "left_semi").select(F.col("earlier").alias("start"), F.col("later").alias("fact"), "votes"))
+    while not frontier.isEmpty():
+        onward = salted_join(frontier.withColumnRenamed("fact", "earlier").withColumnRenamed("votes", "so_far"), links, ["earlier"], ["start"], "inner")
+        reached = onward.groupBy("start", F.col("later").alias("fact")).agg(F.max(F.least("so_far", "votes")).alias("votes")).where("start <> fact")
+        known = found.select("start", "fact", F.col("votes").alias("known"))
+        frontier = checkpointed(reached.join(known, ["start", "fact"], "left").where("known is null or votes > known").drop("known"))
+        found = checkpointed(found.unionByName(frontier).groupBy("start", "fact").agg(F.max("votes").alias("votes")))
+    return found
+
+
+def value_order(paths: DataFrame) -> DataFrame:
+    """(fact, later, contradicted): pairs of which the chains one way are stronger than those the other way, if there are any."""
+    back = paths.select(F.col("fact").alias("start"), F.col("start").alias("fact"), F.col("votes").alias("back"))
+    both = paths.join(back, ["start", "fact"], "left").where("back is null or votes > back")
+    return both.select(F.col("start").alias("fact"), F.col("fact").alias("later"), F.col("back").isNotNull().alias("contradicted"))
+
+
+_RANK = ["precedence", "confidence"]
+
+
+def _members(ranked: DataFrame, usable: str) -> DataFrame:
+    """(grp, fact, timed) of groups in which an untimed claim is among those that rank first: its untimed facts and the latest timed one."""
+    rank = F.struct(*_RANK)
+    tops = ranked.where(usable).groupBy("grp").agg(F.max(rank).alias("top"), F.max(F.when(F.col("at").isNull(), rank)).alias("untimed")).where("top = untimed").select("grp", "top")
+    tied = salted_join(ranked.where(usable), tops, ["grp"], ["claim_id"], "inner").where(rank == F.col("top"))
+    untimed = tied.where("at is null and fact is not null").select("grp", "fact").distinct().withColumn("timed", F.lit(False))
+    latest = tied.where("at is not null").groupBy("grp").agg(F.max(F.struct("at", (-F.col("ord")).alias("order"), "claim_id", "fact"))["fact"].alias("fact")).where("fact is not null")
+    return untimed.unionByName(latest.withColumn("timed", F.lit(True)))
+
+
+def with_currency(ranked: DataFrame, keyed: DataFrame, usable: list[str]) -> DataFrame:
+    """``currency_*`` of each claim for each kind of use: 0 if its value is overtaken by another of its group, else 1.
+
+    An untimed claim is overtaken by a later value among the untimed ones and the latest timed one; timed claims are if their
+    latest is. Where no time is missing nothing is reasoned, as times decide everything.
+    """
+    if keyed.where("extracted_at is null").isEmpty():
+        return ranked.select("*", *(F.lit(1).alias(f"currency_{u}") for u in usable))
+    members = {u: checkpointed(_members(ranked, u)) for u in usable}
+    starts = members[usable[0]].select("fact")
+    for u in usable[1:]:
+        starts = starts.union(members[u].select("fact"))
+    order = checkpointed(value_order(beatpaths(learned_precedence(keyed), starts.distinct())).select("fact", "later"))
+    marked = ranked.withColumn("timed", F.col("at").isNotNull()).withColumn("said", F.when(F.col("at").isNotNull(), F.lit(0)).otherwise(F.col("fact")))
+    for u in usable:
+        after = salted_join(members[u], order, ["fact"], ["grp"], "inner")
+        overtaken = after.join(members[u].select("grp", F.col("fact").alias("later")).distinct(), ["grp", "later"], "left_semi")
+        marks = overtaken.select("grp", "timed", F.when(F.col("timed"), F.lit(0)).otherwise(F.col("fact")).alias("said")).distinct().withColumn(f"currency_{u}", F.lit(0))
+        marked = salted_join(marked, marks, ["grp", "timed", "said"], ["claim_id"], "left").withColumn(f"currency_{u}", F.coalesce(f"currency_{u}", F.lit(1)))
+    return marked.drop("timed", "said")
 
 
 def survivors(claims: DataFrame, documents: DataFrame, with_fields: bool = True) -> DataFrame:
@@ -66,24 +119,32 @@ def survivors(claims: DataFrame, documents: DataFrame, with_fields: bool = True)
 
     ``with_fields=False`` leaves the record's texts out, and they are not shuffled then.
 
-    Edge cases: null keys group together; null confidence and NaN rank last, as do null times among equals; claims equal in every rank go by the higher ``claim_id``; redelivered rows
+    Edge cases: null keys group together; null confidence and NaN rank last; claims without a time go by currency, then
+    behind timed ones; claims equal in every rank go by the higher ``claim_id``; redelivered rows
     count once; a document listed several times counts with its highest precedence; a group whose values all say nothing has
     '' as ``value_claim_id`` (likewise for quotes); an empty table gives an empty table; further columns are ignored.
     """
-    precedence = documents.groupBy(F.col("document_id").alias("source_document_id")).agg(F.max("precedence").alias("precedence"))
+    documented = documents.groupBy(F.col("document_id").alias("source_document_id")).agg(F.max("precedence").alias("given"))
     confidence = F.when(F.isnan("confidence"), F.lit(None)).otherwise(F.col("confidence"))
     texts = ["value", "evidence_quote"] if with_fields else []
-    flagged = with_currency(keyed_claims(claims)).select(
-        *GROUP, "claim_id", "ord", "source_document_id", "currency", *texts, F.coalesce(confidence, F.lit(float("-inf"))).alias("confidence"),
-        F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))).alias("at"), F.col("fact").isNotNull().alias("has_value"), (~is_blank("evidence_quote")).alias("has_quote"),
+    keyed = keyed_claims(claims)
+    flagged = keyed.select(
+        F.struct(*GROUP).alias("grp"), "claim_id", "ord", "source_document_id", *texts, F.coalesce(confidence, F.lit(float("-inf"))).alias("confidence"),
+        F.unix_micros("extracted_at").alias("at"), "fact", F.col("fact").isNotNull().alias("has_value"), (~is_blank("evidence_quote")).alias("has_quote"),
     )
-    ranked = salted_join(flagged, precedence, ["source_document_id"], ["claim_id"], "left")
+    ranked = salted_join(flagged, documented, ["source_document_id"], ["claim_id"], "left").withColumn("precedence", F.coalesce("given", F.lit(DEFAULT_PRECEDENCE))).drop("given", "source_document_id")
+    placed = with_currency(ranked, keyed, ["has_value", "has_quote"])
 
     def first(field: str, usable: str) -> Column:
-        rank = [F.coalesce("precedence", F.lit(DEFAULT_PRECEDENCE)).alias("precedence"), "confidence", "at", "currency", (-F.coalesce("ord", F.lit(2**62))).alias("order"), "claim_id"]
+        rank = [*_RANK, f"currency_{usable}", F.coalesce("at", F.lit(-(2**62))).alias("at"), (-F.coalesce("ord", F.lit(2**62))).alias("order"), "claim_id"]
         return F.max(F.when(F.col(usable), F.struct(*rank, *([field] if with_fields else []))))
 
     id_ = F.xxhash64("claim_id")
-    groups = ranked.groupBy(*GROUP).agg(F.min(id_).alias("a"), F.max(id_).alias("b"), first("value", "has_value").alias("v"), first("evidence_quote", "has_quote").alias("q"))
+    groups = placed.groupBy(*(F.col("grp")[g].alias(g) for g in GROUP)).agg(F.min(id_).alias("a"), F.max(id_).alias("b"), first("value", "has_value").alias("v"), first("evidence_quote", "has_quote").alias("q"))
     record = [strip("v.value").alias("value"), F.col("q.evidence_quote").alias("evidence_quote")] if with_fields else []
     return groups.where("a <> b").select(*GROUP, F.coalesce("v.claim_id", F.lit("")).alias("value_claim_id"), F.coalesce("q.claim_id", F.lit("")).alias("quote_claim_id"), *record)
+
+
+def untimed(claims: DataFrame) -> DataFrame:
+    """The claims with every third time missing, by ``ord``."""
+    return claims.withColumn("extracted_at", F.when(F.col("ord") % 3 != 0, F.col("extracted_at")))

@@ -51,6 +51,56 @@ def test_currency_decides_where_times_are_missing(spark):
     assert result(spark, history + reversed_)["u", "os"][0] == "x"
 
 
+def test_untimed_values_meet_timed_ones_and_chains_close(spark):
+    step = lambda a, b, n, tag: [row(f"{tag}{i}{j}", 1000 + 10 * i + j, v, key=f"{tag}{i}", days=40 * j) for i in range(n) for j, v in enumerate((a, b))]
+    history = step("AIX 1", "AIX 2", 5, "a") + step("RHEL 7", "RHEL 8", 3, "b") + step("RHEL 8", "RHEL 9", 3, "c")
+    pairs = [row("t", 1, "AIX 1", key="mixed", days=400), row("u", 2, "AIX 2", key="mixed", ts=False)]  # the untimed one is later
+    pairs += [row("t2", 1, "AIX 2", key="timed"), row("u2", 2, "AIX 1", key="timed", ts=False)]  # the timed one is later
+    pairs += [row("x", 1, "RHEL 7", key="chain", ts=False), row("y", 2, "RHEL 9", key="chain", ts=False)]  # only RHEL 8 links them
+    pairs += [row("old", 1, "AIX 2", key="two", days=1), row("new", 2, "AIX 1", key="two", days=2), row("none", 3, "AIX 2", key="two", ts=False)]
+    pairs += [row("p", 1, "new", key="free", days=3), row("q", 2, "other", key="free", ts=False)]  # nothing is learned of these
+    got = result(spark, history + pairs)
+    assert {k: got[k, "os"][0] for k in ("mixed", "timed", "chain", "two", "free")} == {"mixed": "u", "timed": "t2", "chain": "y", "two": "none", "free": "p"}
+    assert got["mixed", "os"][1] == "u"  # quotes go by the same order
+
+
+def strongest(links, a, b):
+    """Brute force: over all simple paths the greatest least vote."""
+    best, todo = 0, [(a, 10**9, {a})]
+    while todo:
+        at, w, seen = todo.pop()
+        for (x, y), v in links.items():
+            if x == at and y not in seen:
+                if y == b:
+                    best = max(best, min(w, v))
+                else:
+                    todo.append((y, min(w, v), seen | {y}))
+    return best
+
+
+def test_order_of_values_equals_brute_force_and_has_no_cycle(spark):
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        links = {}
+        for a in range(7):
+            for b in range(a):
+                if rng.random() < 0.6:
+                    links[(a, b) if rng.random() < 0.5 else (b, a)] = rng.randrange(1, 6)
+        learned = spark.createDataFrame([(a, b, v) for (a, b), v in links.items()], "earlier bigint, later bigint, votes bigint")
+        got = {(r.fact, r.later) for r in S.value_order(S.beatpaths(learned, spark.range(7).toDF("fact"))).collect()}
+        want = {(a, b) for a in range(7) for b in range(7) if a != b and strongest(links, a, b) > strongest(links, b, a)}
+        assert got == want
+        assert all((a, d) in got for a, b in got for c, d in got if b == c)  # transitive, so free of cycles as no pair is in it both ways
+
+
+def test_cycles_are_settled_by_majority(spark):
+    learned = spark.createDataFrame([(7, 8, 5), (8, 9, 5), (9, 7, 1)], "earlier bigint, later bigint, votes bigint")
+    got = {(r.fact, r.later): r.contradicted for r in S.value_order(S.beatpaths(learned, spark.range(10).toDF("fact"))).collect()}
+    assert got == {(7, 8): True, (8, 9): True, (7, 9): True}
+
+
 def test_learned_precedence_equals_brute_force(spark):
     import random
 
