@@ -5,7 +5,8 @@
 
 A syntax error is located (offset, rule, message) and recorded; parsing resumes at the next *validated record-start
 anchor*: a line start after the error from which one whole record of the header's width can be derived. Records derived
-after an anchor come out as ``recovered`` beside the error, so a broken quote that swallowed its neighbours loses none.
+after an anchor come out beside the error, typed and judged as any other record, and those that hold load, so a broken
+quote that swallowed its neighbours loses none of them.
 
 Spark partitions the work: each line meets its file's header in a salted join (one file may hold any share of the rows),
 and the grammar is a helper run over Arrow batches of lines.
@@ -57,10 +58,12 @@ class RecordGrammar:
             raise SyntaxFault(m.end(), "bare", "quote inside an unquoted field", at)
         return m.group(), m.end()
 
-    def record(self, text: str, at: int = 0, whole: bool = False) -> tuple[list[str], int]:
-        """Fields of the record that starts at ``at``, and where it ends."""
+    def record(self, text: str, at: int = 0, whole: bool = False, starts: list[int] | None = None) -> tuple[list[str], int]:
+        """Fields of the record that starts at ``at``, and where it ends; ``starts`` gets where each field does."""
         fields = []
         while True:
+            if starts is not None:
+                starts.append(at)
             value, at = self.field(text, at, whole)
             fields.append(value)
             if at < len(text) and text[at] == self.sep:
@@ -68,14 +71,14 @@ class RecordGrammar:
                 continue
             return fields, at
 
-    def recover(self, text: str, at: int, width: int) -> list[list[str]]:
-        """Records from the first validated anchor after ``at`` on; each further error looks for its own anchor."""
+    def recover(self, text: str, at: int, width: int) -> list[tuple[int, list[str]]]:
+        """(offset, fields) of records from the first validated anchor after ``at`` on; each further error looks for its own anchor."""
         found, at = [], text.find("\n", at)
         while at != -1:
             try:
                 fields, end = self.record(text, at + 1)
                 if len(fields) == width and fields[0].strip() and (end >= len(text) or text[end] == "\n"):
-                    found.append([f.removesuffix("\r") for f in fields])
+                    found.append((at + 1, [f.removesuffix("\r") for f in fields]))
                     at = end if end < len(text) else -1
                     continue
             except SyntaxFault:
@@ -113,49 +116,63 @@ def vcpu_value(text: str) -> int | None:
     return int(m.group(1)) if m and int(m.group(1)) <= 1024 else None
 
 
-def parse_line(raw: str | None, header: str | None) -> tuple[str | None, int, str, list[str] | None, list[list[str]], int | None]:
-    """(reason, offset, detail, fields, recovered records, vcpu) of one record; reason is null if it loads."""
+def _typed(fields: list[str], names: tuple[str, ...]) -> tuple[int | None, str | None]:
+    """(vcpu, fault) of a record of the header's width."""
+    if "vcpu" not in names:
+        return None, None
+    cell = fields[names.index("vcpu")].strip()
+    vcpu = vcpu_value(cell) if cell else None
+    return vcpu, f"vcpu: {cell[:80]!r} is no whole number from 1 to 1024" if cell and vcpu is None else None
+
+
+def parse_line(raw: str | None, header: str | None) -> tuple[str | None, int, str, list[str] | None, list[tuple[int, list[str], int | None, str | None]], int | None]:
+    """(reason, offset, detail, fields, recovered records, vcpu) of one record; reason is null if it loads.
+
+    Recovered records are (offset, fields, vcpu, detail); the detail is null if they load. The offset of a ``value`` fault is that of its cell.
+    """
     sep, names = read_header(header)
     text, g = strip_line_ending(raw or ""), _grammar(sep)
+    starts: list[int] = []
     try:
-        fields, _ = g.record(text, 0, True)
+        fields, _ = g.record(text, 0, True, starts)
     except SyntaxFault as fault:
-        return "quoting", fault.offset, f"{fault.rule}: {fault.message}", None, g.recover(text, fault.resume, len(names)), None
+        recovered = [(at, cells, *_typed(cells, names)) for at, cells in g.recover(text, fault.resume, len(names))]
+        return "quoting", fault.offset, f"{fault.rule}: {fault.message}", None, recovered, None
     if len(fields) != len(names):
         return "columns", len(text), f"{len(fields)} fields, the header has {len(names)}", fields, [], None
-    vcpu = None
-    if "vcpu" in names:
-        cell = fields[names.index("vcpu")].strip()
-        vcpu = vcpu_value(cell) if cell else None
-        if cell and vcpu is None:
-            return "value", 0, f"vcpu: {cell[:80]!r} is no whole number from 1 to 1024", fields, [], None
+    vcpu, fault = _typed(fields, names)
+    if fault:
+        return "value", starts[names.index("vcpu")], fault, fields, [], None
     return None, 0, "", fields, [], vcpu
 
 
+_CELLS = pa.map_(pa.string(), pa.string())
+_RECOVERED = pa.struct([("error_offset", pa.int32()), ("cells", _CELLS), ("vcpu", pa.int32()), ("detail", pa.string())])
 _OUT = pa.schema(
     [
         ("line_id", pa.int64()), ("assessment_id", pa.string()), ("file_id", pa.string()), ("file_kind", pa.string()), ("line_no", pa.int32()),
         ("received_at", pa.timestamp("us", "UTC")), ("reason", pa.string()), ("error_offset", pa.int32()), ("detail", pa.string()),
-        ("cells", pa.map_(pa.string(), pa.string())), ("recovered", pa.list_(pa.list_(pa.string()))), ("vcpu", pa.int32()),
+        ("cells", _CELLS), ("recovered", pa.list_(_RECOVERED)), ("vcpu", pa.int32()),
     ]
 )
 _DDL = (
     "line_id bigint, assessment_id string, file_id string, file_kind string, line_no int, received_at timestamp, reason string, "
-    "error_offset int, detail string, cells map<string,string>, recovered array<array<string>>, vcpu int"
+    "error_offset int, detail string, cells map<string,string>, "
+    "recovered array<struct<error_offset:int,cells:map<string,string>,vcpu:int,detail:string>>, vcpu int"
 )
 _KEEP = ["line_id", "assessment_id", "file_id", "file_kind", "line_no", "received_at"]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        results, cells = [], []
+        results = []
         for raw, header in zip(batch.column("raw_line").to_pylist(), batch.column("header").to_pylist(), strict=True):
-            r = parse_line(raw, header)
-            results.append(r)
-            cells.append(list(dict(zip(read_header(header)[1], r[3], strict=False)).items()) if r[3] is not None else None)
-        reason, offset, detail, _, recovered, vcpu = (list(x) for x in zip(*results, strict=True)) if results else ([],) * 6
+            reason, offset, detail, fields, recovered, vcpu = parse_line(raw, header)
+            cells = lambda values: list(dict(zip(read_header(header)[1], values, strict=False)).items())  # noqa: E731, B023
+            behind = [{"error_offset": at, "cells": cells(f), "vcpu": v, "detail": d} for at, f, v, d in recovered]
+            results.append((reason, offset, detail, None if fields is None else cells(fields), behind, vcpu))
+        made = [list(x) for x in zip(*results, strict=True)] if results else [[]] * 6
         kept = [batch.column(c).cast(_OUT.field(c).type) for c in _KEEP]
-        made = [reason, offset, detail, cells, recovered, vcpu]
         yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, f.type) for v, f in zip(made, list(_OUT)[len(_KEEP) :], strict=True))], schema=_OUT)
 
 
@@ -179,9 +196,15 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def loaded(parsed: DataFrame) -> DataFrame:
-    """Typed inventory rows; cells other than ``vcpu`` never reject a line, so they are null where they cannot be typed."""
+    """Typed inventory rows; cells other than ``vcpu`` never reject a line, so they are null where they cannot be typed.
+
+    ``part`` is 0 for a line that loads; records recovered behind a broken quote of a line that does not load count from 1.
+    """
+    keep = ["line_id", "assessment_id", "file_id", "file_kind", "line_no"]
+    whole = parsed.where("reason is null").select(*keep, F.lit(0).alias("part"), "cells", "vcpu")
+    behind = parsed.where("reason is not null").select(*keep, F.posexplode("recovered").alias("i", "r")).where("r.detail is null").select(*keep, (F.col("i") + 1).alias("part"), "r.cells", "r.vcpu")
     cell = lambda name: F.nullif(F.trim(F.element_at("cells", F.lit(name))), F.lit(""))
-    return parsed.where("reason is null").select(
-        "line_id", "assessment_id", "file_id", "file_kind", "line_no", cell("hostname").alias("hostname"), cell("role").alias("role"), cell("os").alias("os"), "vcpu",
+    return whole.unionByName(behind).select(
+        *keep, "part", cell("hostname").alias("hostname"), cell("role").alias("role"), cell("os").alias("os"), "vcpu",
         cell("memory_gb").try_cast("double").alias("memory_gb"), cell("disk_gb").try_cast("double").alias("disk_gb"), cell("datacenter").alias("datacenter"), F.element_at("cells", F.lit("notes")).alias("notes"),
     )

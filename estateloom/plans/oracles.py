@@ -32,6 +32,19 @@ y as (select line_id, case when quoting then 'quoting' when n <> n_cols then 'co
 {select}"""
 
 
+def _p1_loaded() -> str:
+    """Cells of the lines that hold: what stands between separators, one regular expression a field."""
+    by_sep = " union all ".join(rf"""select line_id, list_transform(regexp_extract_all(sep || t, E'{s}' || '({f})', 1),
+        lambda x: case when x like '"%"' then replace(x[2:length(x)-1], '""', '"') else x end) as c from l where sep = E'{s}'""" for s, f in _FIELD.items())
+    cell = lambda fleet, messy: f"nullif(trim(case when n_cols = 7 then {f'c[{fleet}]' if fleet else 'null'} else {f'c[{messy}]' if messy else 'null'} end, ' '), '')"
+    return _p1(rf"""
+, k as ({by_sep})
+select line_id, i.assessment_id, i.file_id, i.file_kind, i.line_no, 0 as part, {cell(1, 1)} as hostname, {cell(2, 0)} as role, {cell(3, 2)} as os,
+  cast(try_cast(nullif(v, '') as double) as int) as vcpu, try_cast({cell(5, 0)} as double) as memory_gb, try_cast({cell(6, 0)} as double) as disk_gb, {cell(7, 0)} as datacenter,
+  case when n_cols = 4 then c[4] end as notes
+from x join y using (line_id) join k using (line_id) join inventory_lines i using (line_id) where reason is null""")
+
+
 _KEYS = rf"""
     case when entity_type = 'server' and not regexp_matches(lower(trim(entity_key, {_W})), '^\d{{1,3}}(\.\d{{1,3}}){{3}}$')
          then split_part(lower(trim(entity_key, {_W})), '.', 1) else lower(trim(entity_key, {_W})) end as entity_key,
@@ -62,6 +75,7 @@ select * from out where cell is not null"""
 
 ORACLES: dict[str, str] = {
     "p1_found": _p1("select line_id, reason from y where reason is not null"),
+    "p1_loaded": _p1_loaded(),
     "p6_found": _P6,
     "p2_branches": """
 with r as (select feed_id, file_seq, row_no, arg_max(payload, record_id) as payload from server_inventory group by 1, 2, 3),

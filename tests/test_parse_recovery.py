@@ -1,5 +1,6 @@
 import csv
 import io
+import json
 from datetime import UTC, datetime
 
 from hypothesis import given, settings
@@ -40,7 +41,17 @@ def test_other_separators_and_missing_header(spark):
 def test_recovery_resumes_at_the_next_record():
     reason, offset, _, _, recovered, _ = P.parse_line('a,b,4,"open\nc,d,8,fine\nbad line\ne,f,2,"also, fine"', "hostname,os,vcpu,notes")
     assert (reason, offset) == ("quoting", 39)  # the first quote closes there; anchors are looked for from offset 6 on
-    assert recovered == [["c", "d", "8", "fine"], ["e", "f", "2", "also, fine"]]
+    assert recovered == [(12, ["c", "d", "8", "fine"], 8, None), (32, ["e", "f", "2", "also, fine"], 2, None)]
+
+
+def test_swallowed_neighbours_load_typed(spark):
+    """A quote that is never closed swallowed three lines: two load, the one whose value fails stays with the error."""
+    raw = 'a,b,4,"open\nc,d, 8 ,fine\r\ne,f,many,x\nbroken\ng,h,016,"last, one"'
+    parsed = P.parse_lines(lines(spark, [("f", 1, "hostname,os,vcpu,notes"), ("f", 2, raw), ("f", 3, "i,j,2,x"), ("f", 4, 'k,l,zero,""')]))
+    assert [(r.line_id, r.part, r.hostname, r.vcpu, r.notes) for r in P.loaded(parsed).orderBy("line_id", "part").collect()] == [(1, 1, "c", 8, "fine"), (1, 3, "g", 16, "last, one"), (2, 0, "i", 2, "x")]
+    bad = {r.line_id: r for r in P.rejected(parsed).collect()}
+    assert bad[1].reason == "quoting" and [x["detail"] is None if "detail" in x else True for x in json.loads(bad[1].recovered)] == [True, False, True]
+    assert (bad[3].reason, bad[3].error_offset) == ("value", 4)  # where the cell stands
 
 
 def test_loaded_rows_are_typed_and_empty_table_stays_empty(spark):
