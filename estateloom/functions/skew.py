@@ -27,3 +27,13 @@ def spread(df: DataFrame, key: str, waves: int = 3) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism * waves
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
+#: most bytes, as stored, of a written table that is sent to every executor
+BROADCAST_BYTES = 8 * 1024 * 1024
+
+
+def fitted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[Column | str], how: str = "left") -> DataFrame:
+    """Join ``big`` to a written table: broadcast if the table's stored size is at most ``BROADCAST_BYTES``, else salted."""
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return big.join(F.broadcast(small), keys, how) if size <= BROADCAST_BYTES else salted_join(big, small, keys, spread, how)

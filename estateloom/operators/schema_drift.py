@@ -1,13 +1,14 @@
 """Schemas that drift between the files of a feed: tagged-union inference, changes, and one consistent table.
 
-Each JSON cell is tagged with its kind (number, boolean, text). Per file and column the kinds are fused into a union that
-keeps every alternative; per pair of successive files the unions are compared. A vanished and a new column are the same
-column under another name if they carry the same facts about the hosts found in both files, up to notation and unit:
-values are brought to a canonical form and compared under a fixed set of unit factors. Conflicting kinds are split into
-typed branches beside a canonical conversion.
-
-The unit of work is the (file, host) pair: a feed that holds a third of all rows is spread over its hosts, file-level tables
-meet the rows in salted joins, and all statistics are map-side-combined aggregates.
+Each JSON cell is tagged with its kind (number, boolean, text; nested objects and arrays by path). Per file and column the
+kinds are fused into a union that keeps every alternative; per pair of successive files the unions are compared. A vanished
+and a new column are the same column under another name if they carry the same facts about the hosts found in both files,
+up to notation and unit: values are brought to a canonical form and compared under a fixed set of unit factors. Conflicting
+kinds are split into typed branches beside a canonical conversion, and alternatives that appear later are reported.
+
+Payloads are parsed once, into a table in the shared folder. The unit of work is the (file, host) pair: a feed that holds a
+third of all rows is spread over its hosts, file-level tables meet the rows in a broadcast of checked size or else a salted
+join, and all statistics are map-side-combined aggregates.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 
 from estateloom.functions import typed_text as T
 from estateloom.functions.keys import SAYS_NOTHING, strip
-from estateloom.functions.skew import salted_join
-from estateloom.session import checkpointed
+from estateloom.functions.skew import fitted_join
+from estateloom.session import written
 
 FILE = ["feed_id", "file_seq"]
 
@@ -93,12 +94,17 @@ def _files(columns: DataFrame) -> DataFrame:
     )
 
 
-def transitions(rows: DataFrame) -> DataFrame:
-    """One row per pair of successive files: column types on both sides, vanished and new columns, host columns."""
-    files = checkpointed(_files(fused(rows)))  # read on both sides of the step
-    before = files.select("feed_id", (F.col("file_seq") + 1).alias("file_seq"), F.col("types").alias("old_types"), F.col("host_column").alias("old_host"))
-    return files.join(before, FILE).select(
-        *FILE, "old_types", F.col("types").alias("new_types"), "old_host", F.col("host_column").alias("new_host"),
+def transitions(rows: DataFrame, over_gaps: bool = False) -> DataFrame:
+    """One row per pair of successive files: column types on both sides, vanished and new columns, host columns.
+
+    Successive files are those numbered ``file_seq`` - 1 and ``file_seq``; with ``over_gaps`` a file follows the last one before
+    it that exists, for feeds that lose files (one row per file is ordered then).
+    """
+    files = written(_files(fused(rows)))  # read on both sides of the step
+    before = F.lag("file_seq").over(Window.partitionBy("feed_id").orderBy("file_seq")) if over_gaps else F.col("file_seq") - 1
+    old = files.select("feed_id", F.col("file_seq").alias("old_seq"), F.col("types").alias("old_types"), F.col("host_column").alias("old_host"))
+    return files.withColumn("old_seq", before).join(old, ["feed_id", "old_seq"]).select(
+        *FILE, "old_seq", "old_types", F.col("types").alias("new_types"), "old_host", F.col("host_column").alias("new_host"),
         F.array_except(F.map_keys("old_types"), F.map_keys("types")).alias("gone"), F.array_except(F.map_keys("types"), F.map_keys("old_types")).alias("new"),
     )
 
@@ -119,44 +125,50 @@ def _canonical_text(text: Column) -> Column:
 
 
 def renamed_pairs(rows: DataFrame, steps: DataFrame) -> DataFrame:
-    """(feed, file, old, new): the one-to-one pairs of vanished and new columns that carry the same facts."""
-    steps = steps.where((F.size("gone") > 0) & (F.size("new") > 0))
-    lookups = {
-        "old": steps.select("feed_id", (F.col("file_seq") - 1).alias("file_seq"), F.col("old_host").alias("host_column"), F.col("gone").alias("wanted")),
-        "new": steps.select("feed_id", "file_seq", F.col("new_host").alias("host_column"), F.col("new").alias("wanted")),
-    }
-
-    def side(which: str) -> DataFrame:
-        cells = salted_join(rows, lookups[which], FILE, ["row_no"], "inner").select(
-            "feed_id", (F.col("file_seq") + (1 if which == "old" else 0)).alias("file_seq"), host_key(F.element_at("union", F.col("host_column"))["text"]).alias("host"),
-            F.explode(F.map_filter("union", lambda k, _: F.array_contains("wanted", k))).alias(which, "cell"),
-        )
-        text = F.col("cell.text")
-        said = cells.where(F.col("host").isNotNull() & (F.col("host") != "") & text.isNotNull() & ~F.lower(strip(text)).isin("", *SAYS_NOTHING))
-        return said.groupBy(*FILE, "host", which).agg(F.min(text).alias("text")).select(
-            *FILE, "host", which, _number(F.col("text")).alias(f"{which}_number"), _canonical_text(F.col("text")).alias(f"{which}_text")
-        )
-
-    both = side("old").join(side("new"), [*FILE, "host"])
-    a, b = F.col("old_number"), F.col("new_number")
+    """(feed, file, old, new): the one-to-one pairs of vanished and new columns that carry the same facts.
+
+    Every row is read once: its file may be the old side of one step and the new side of another.
+    """
+    wanted = lambda step, column, flag: F.when(F.col("is_old") == flag, F.struct(F.col(step).alias("step"), F.col(column).alias("columns")))
+    both_sides = steps.where((F.size("gone") > 0) & (F.size("new") > 0)).select("feed_id", F.col("file_seq").alias("step"), "old_seq", "old_host", "new_host", "gone", "new")
+    sides = F.inline(F.array(F.struct(F.lit(True).alias("is_old"), F.col("old_seq").alias("file_seq"), F.col("old_host").alias("host_column")), F.struct(F.lit(False).alias("is_old"), F.col("step").alias("file_seq"), F.col("new_host").alias("host_column"))))
+    lookups = both_sides.select("feed_id", "step", "gone", "new", sides).groupBy(*FILE).agg(
+        F.max("host_column").alias("host_column"), F.max(wanted("step", "gone", True)).alias("as_old"), F.max(wanted("step", "new", False)).alias("as_new")
+    )
+    joined = fitted_join(rows, written(lookups), FILE, ["row_no"], "inner")
+
+    def side(name: str, old: bool) -> Column:
+        cells = F.filter(F.map_entries("union"), lambda e: F.array_contains(F.col(f"{name}.columns"), e["key"]) & e["value"]["text"].isNotNull() & ~F.lower(strip(e["value"]["text"])).isin("", *SAYS_NOTHING))
+        made = F.transform(cells, lambda e: F.struct(F.col(f"{name}.step").alias("step"), F.lit(old).alias("is_old"), e["key"].alias("column"), e["value"]["text"].alias("text")))
+        return F.when(F.col(name).isNotNull(), made).otherwise(F.array().cast("array<struct<step:int,is_old:boolean,column:string,text:string>>"))
+
+    host = host_key(F.element_at("union", F.col("host_column"))["text"])
+    cells = joined.select("feed_id", host.alias("host"), F.inline(F.concat(side("as_old", True), side("as_new", False)))).where("host <> ''")
+    said = F.struct(_number(F.col("text")).alias("number"), F.xxhash64(_canonical_text(F.col("text"))).alias("said"))
+    facts = cells.groupBy("feed_id", "step", "host", "is_old", "column").agg(F.min(said).alias("fact"))
+    hosts = facts.groupBy("feed_id", "step", "host").agg(F.collect_list(F.struct("is_old", "column", "fact")).alias("facts"))  # one entry per column of the step
+    olds, news = F.filter("facts", lambda x: x["is_old"]), F.filter("facts", lambda x: ~x["is_old"])
+    met = F.flatten(F.transform(olds, lambda o: F.transform(news, lambda n: F.struct(o["column"].alias("old"), n["column"].alias("new"), o["fact"].alias("o"), n["fact"].alias("n")))))
+    both = hosts.select("feed_id", F.col("step").alias("file_seq"), F.inline(met))
+    a, b = F.col("o.number"), F.col("n.number")
     # a column keeps one unit, so agreement is counted for each factor by itself; rounding of the source is allowed for
-    agree = [F.count_if(F.coalesce(F.abs(b - a * f) <= F.greatest(F.abs(b), F.abs(a * f)) * 0.002, F.col("old_text") == F.col("new_text"))) for f in FACTORS]
+    agree = [F.count_if(F.coalesce(F.abs(b - a * f) <= F.greatest(F.abs(b), F.abs(a * f)) * 0.002, F.col("o.said") == F.col("n.said"))) for f in FACTORS]
     pairs = both.groupBy(*FILE, "old", "new").agg(F.count("*").alias("n"), F.greatest(*agree).alias("same")).where(F.col("same") >= F.greatest(F.lit(1), F.col("n") * MIN_AGREEMENT))
     rank = [(F.col("same") / F.col("n")).desc(), F.col("same").desc(), F.levenshtein(F.lower("old"), F.lower("new")), F.col("old"), F.col("new")]
     best = pairs.withColumn("r_old", F.row_number().over(Window.partitionBy(*FILE, "old").orderBy(*rank))).withColumn("r_new", F.row_number().over(Window.partitionBy(*FILE, "new").orderBy(*rank)))
     return best.where("r_old = 1 and r_new = 1").select(*FILE, "old", "new")
 
 
-def changes(inventory: DataFrame) -> DataFrame:
+def changes(inventory: DataFrame, over_gaps: bool = False) -> DataFrame:
     """(feed_id, file_seq, change_kind, old_column, new_column) from each file to the next of its feed.
 
-    Edge cases: an empty table gives none; a file whose predecessor is missing has no changes; a column that is null
+    Edge cases: an empty table gives none; a file whose predecessor is missing has no changes (with ``over_gaps`` those since the last file before it); a column that is null
     throughout a file has no type there and is not retyped; rows whose payload is null or no JSON object have no columns;
     resent rows count once, rows without a ``row_no`` are rows of their own, those of a null feed or file have no changes; rows without a host are not compared; further columns of the input are ignored.
     """
-    rows = tagged_rows(inventory)
-    steps = checkpointed(transitions(rows))
-    pairs = checkpointed(renamed_pairs(rows, steps))
+    rows = written(tagged_rows(inventory))
+    steps = written(transitions(rows, over_gaps))
+    pairs = written(renamed_pairs(rows, steps))
 
     def change(df: DataFrame, kind: str, old: Column, new: Column) -> DataFrame:
         return df.select(*FILE, F.lit(kind).alias("change_kind"), old.alias("old_column"), new.alias("new_column"))
@@ -175,14 +187,39 @@ def changes(inventory: DataFrame) -> DataFrame:
     )
 
 
+def _path_kind(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), "object").when(F.schema_of_variant(v).startswith("ARRAY"), "array").otherwise(_kind(v))
+
+
+def tagged_paths(inventory: DataFrame) -> DataFrame:
+    """(feed, file, path, kind, n): how often each kind occurs at each path; ``a.b`` is a member of an object, ``a[]`` an element of an array.
+
+    Level by level: only objects and arrays are opened further, until none is left.
+    """
+    rows = inventory.groupBy(*FILE, "row_no", F.when(F.col("row_no").isNull(), F.col("record_id")).alias("own")).agg(F.max_by(F.struct("payload"), F.coalesce("record_id", F.lit(0)))["payload"].alias("payload"))
+    columns = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")).cast("map<string,variant>")
+    level = rows.select(*FILE, F.try_parse_json("payload").alias("v")).select(*FILE, F.explode(columns).alias("path", "v"))
+    counted = []
+    while True:
+        level = written(level.select(*FILE, "path", "v", _path_kind(F.col("v")).alias("kind")).where("kind is not null"))
+        counted.append(level.groupBy(*FILE, "path", "kind").agg(F.count("*").alias("n")))
+        nested = level.where("kind in ('object', 'array')")
+        if nested.isEmpty():
+            break
+        members = nested.lateralJoin(inventory.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("at", "name", "value"))
+        level = members.select(*FILE, F.when(F.col("kind") == "array", F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", "path", "name")).alias("path"), F.col("value").alias("v"))
+    kinds = counted[0]
+    for k in counted[1:]:
+        kinds = kinds.unionByName(k)
+    return kinds
+
+
 def type_branches(inventory: DataFrame) -> DataFrame:
-    """The alternatives of each column of a feed: kind, first and last file with it, rows, and whether it appeared after the first file."""
-    columns = fused(tagged_rows(inventory))
+    """The alternatives of each path of a feed: kind, first and last file with it, rows, and whether it appeared after the path's first file."""
     first = F.min("file_seq").over(Window.partitionBy("feed_id", "column"))
-    kinds = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("k")) for k in ("number", "boolean", "text"))))
     return (
-        columns.select("feed_id", "column", "file_seq", kinds).where("k > 0")
-        .groupBy("feed_id", "column", "kind").agg(F.min("file_seq").alias("file_seq"), F.max("file_seq").alias("last_seq"), F.sum("k").alias("n_rows"))
+        tagged_paths(inventory).select("feed_id", F.col("path").alias("column"), "file_seq", "kind", "n")
+        .groupBy("feed_id", "column", "kind").agg(F.min("file_seq").alias("file_seq"), F.max("file_seq").alias("last_seq"), F.sum("n").alias("n_rows"))
         .select("feed_id", "column", "kind", F.col("file_seq").alias("first_seq"), "last_seq", "n_rows", (F.col("file_seq") > first).alias("appeared_later"))
     )
 
@@ -196,28 +233,36 @@ def _field(name: Column) -> Column:
     return field
 
 
+def lineage(pairs: DataFrame) -> DataFrame:
+    """(feed_id, column, linked): the field of each column of unknown name that renames of its feed link to a known one, over any
+    number of renames; the nearest known name decides, among equally near ones the first."""
+    both = pairs.select("feed_id", F.inline(F.array(F.struct(F.col("old").alias("column"), F.col("new").alias("other")), F.struct(F.col("new").alias("column"), F.col("old").alias("other"))))).distinct()
+    links = written(both.select("feed_id", "column", "other", _field(F.col("column")).alias("own")))
+    known = written(links.where("own is not null").select("feed_id", "column", F.col("own").alias("linked")).distinct())
+    while True:
+        open_ = links.where("own is null").join(known.select("feed_id", "column"), ["feed_id", "column"], "left_anti")
+        reached = written(open_.join(known.withColumnRenamed("column", "other"), ["feed_id", "other"]).groupBy("feed_id", "column").agg(F.min("linked").alias("linked")))
+        if reached.isEmpty():
+            return known
+        known = written(known.unionByName(reached))
+
+
 def consistent_table(inventory: DataFrame) -> DataFrame:
     """All files of all feeds as one table: canonical columns, and the typed branches of every field beside them.
 
-    A column's field is known by its name or, where the name is unknown, by the known name of a column it was renamed from
-    or to in the same feed; other columns stay under their own name in the branch maps. Capacities are in GB: the unit in the
+    A column's field is known by its name or, where the name is unknown, by the nearest known name that renames of the same
+    feed link it to (``lineage``); other columns stay under their own name in the branch maps. Capacities are in GB: the unit in the
     cell counts, else the one in the column's name, else GB. Cells that a canonical type cannot hold are null there and
     remain in ``text_branch``. Rows without a host keep a null ``host``.
     """
-    rows = tagged_rows(inventory)
-    steps = checkpointed(transitions(rows))
-    pairs = renamed_pairs(rows, steps)
-    lineage = (
-        pairs.select("feed_id", F.col("old").alias("column"), _field(F.col("new")).alias("linked"))
-        .unionByName(pairs.select("feed_id", F.col("new").alias("column"), _field(F.col("old")).alias("linked")))
-        .where("linked is not null").groupBy("feed_id", "column").agg(F.min("linked").alias("linked"))
-    )
-    columns = fused(rows).join(lineage, ["feed_id", "column"], "left")
+    rows = written(tagged_rows(inventory))
+    pairs = renamed_pairs(rows, written(transitions(rows)))
+    columns = fused(rows).join(lineage(pairs), ["feed_id", "column"], "left")
     named = columns.select(*FILE, "column", "host_score", F.coalesce(_field(F.col("column")), "linked", "column").alias("field"))
     files = named.groupBy(*FILE).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "field"))).alias("fields"), F.max_by("column", F.struct("host_score", "column")).alias("host_column")
     )
-    joined = salted_join(rows, files, FILE, ["row_no"], "left")
+    joined = fitted_join(rows, written(files), FILE, ["row_no"], "left")
     host = F.element_at("union", F.col("host_column"))["text"]
     entries = F.transform(
         F.filter(F.map_entries("union"), lambda e: (e["key"] != F.col("host_column")) & e["value"]["kind"].isNotNull()),

@@ -62,3 +62,43 @@ def test_consistent_table_and_branches(spark):
             assert (by[seq, x["name"]].cores, by[seq, x["name"]].memory_gb) == (x["cpu"], float(x["mem"]))
     kinds = {(r.column, r.kind): (r.first_seq, r.appeared_later) for r in S.type_branches(df).collect()}
     assert kinds["Cores", "number"] == (1, False) and kinds["Cores", "text"] == (2, True)
+
+
+def test_alternatives_are_kept_by_path(spark):
+    one = [{"Hostname": "abc-web-01", "m": {"v": 1, "w": True}, "a": [1, "x"]}]
+    two = [{"Hostname": "abc-web-01", "m": {"v": "1"}, "a": [[2]]}]
+    three = [{"Hostname": "abc-web-01", "m": [1], "a": []}]
+    got = {(r.column, r.kind): (r.first_seq, r.last_seq, r.n_rows, r.appeared_later) for r in S.type_branches(feed(spark, {1: one, 2: two, 3: three})).collect()}
+    assert got == {
+        ("Hostname", "text"): (1, 3, 3, False), ("m", "object"): (1, 2, 2, False), ("m", "array"): (3, 3, 1, True), ("m.v", "number"): (1, 1, 1, False), ("m.v", "text"): (2, 2, 1, True), ("m.w", "boolean"): (1, 1, 1, False),
+        ("m[]", "number"): (3, 3, 1, False), ("a", "array"): (1, 3, 3, False), ("a[]", "number"): (1, 1, 1, False), ("a[]", "text"): (1, 1, 1, False), ("a[]", "array"): (2, 2, 1, True), ("a[][]", "number"): (2, 2, 1, False),
+    }
+
+
+def test_renames_are_followed_to_the_end(spark):
+    h = [{"name": f"abc-web-{i:02}", "os": ["RHEL 8", "AIX 7", "SLES 15"][i % 3]} for i in range(9)]
+    files = {k: [{"Hostname": x["name"], name: x["os"]} for x in h] for k, name in enumerate(("xq", "yq", "zq", "os"), 1)}
+    df = feed(spark, files)
+    assert {r.file_seq for r in S.consistent_table(df).where("os like '%8'").collect()} == {1, 2, 3, 4}
+
+
+def test_lost_files_are_bridged_on_request(spark):
+    h = hosts(6)
+    files = {1: [{"Hostname": x["name"], "Cores": x["cpu"]} for x in h], 3: [{"Hostname": x["name"], "vcpu": x["cpu"]} for x in h]}
+    df = feed(spark, files)
+    assert found(df) == set()
+    assert {tuple(r)[1:] for r in S.changes(df, over_gaps=True).collect()} == {(3, "renamed", "Cores", "vcpu")}
+
+
+def test_agreement_equals_brute_force(spark):
+    """Random feeds: the renamed pairs are those whose values agree on at least 0.6 of the common hosts."""
+    rng = random.Random(11)
+    h = [f"abc-web-{i:02}" for i in range(30)]
+    a, b, c = ({x: rng.randrange(1, 10**6) for x in h} for _ in range(3))
+    keep = {x: rng.random() < 0.75 for x in h}
+    one = [{"Hostname": x, "left": a[x], "mid": b[x], "gone": c[x]} for x in h]
+    two = [{"Hostname": x, "right": a[x] * 1024 if keep[x] else 7, "centre": b[x] if rng.random() < 0.3 else 3} for x in h[5:]]
+    share = sum(keep[x] for x in h[5:]) / 25
+    got = found(feed(spark, {1: one, 2: two}))
+    assert ((2, "renamed", "left", "right") in got) == (share >= 0.6)
+    assert {(2, "removed", "mid", ""), (2, "added", "", "centre"), (2, "removed", "gone", "")} <= got
