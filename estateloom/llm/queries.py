@@ -35,7 +35,7 @@ QUERIES = {
     "p8_mix": lambda s, d: mixing.mixed(read_table(s, d, "documents"), read_table(s, d, "mix_targets"), of_all=True),
     "p8_shares": _shares_of_all,
     "p8_shares_of_all": _shares_of_all,
-    "p9_found": lambda s, d: sentences.sentence_units(read_table(s, d, "documents")).select("doc_id", "start_pos").distinct(),
+    "p9_found": lambda s, d: sentences.sentence_units(read_table(s, d, "documents"), with_text=False).distinct(),
     "p9_sentences": lambda s, d: sentences.sentence_units(read_table(s, d, "documents")),
     "p5_redacted": lambda s, d: secrets.redacted_files(read_table(s, d, "manifest_files")),
 }
