@@ -70,11 +70,12 @@ def water_fill(sources: list[Allotment], total: float | None = None) -> list[All
 
 def allotments(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> list[Allotment]:
     named = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
-    have = sizes.join(F.broadcast(named.select("source")), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("available"))
-    rows = named.join(have, "source", "left").orderBy("source").limit(MAX_SOURCES + 1).collect()
+    rows = named.orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources are listed")
-    return water_fill([Allotment(r.source, r.target_share or 0.0, r.available or 0, r.max_repeats or 0) for r in rows], total_tokens)
+    listed = sizes.sparkSession.createDataFrame([(r.source,) for r in rows], "source string")
+    have = {r.source: r.available for r in sizes.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("available")).collect()}
+    return water_fill([Allotment(r.source, r.target_share or 0.0, have.get(r.source) or 0, r.max_repeats or 0) for r in rows], total_tokens)
 
 
 def _plan(sizes: DataFrame, plan: list[Allotment]) -> DataFrame:

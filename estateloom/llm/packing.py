@@ -60,12 +60,15 @@ def packed(
     max_documents: int = MAX_DOCUMENTS,
     max_attention: float | None = None,
     rule: str = "norm",
+    weights: tuple[float, float, float] = WEIGHTS,
     vocabulary: str = VOCABULARY,
     shard_items: int = SHARD_ITEMS,
 ) -> DataFrame:
     """(container_id, doc_id, piece_no, start_token, n_tokens): every text, whole unless longer than ``capacity``.
 
-    ``max_attention`` bounds the sum of squared piece lengths of a container; by default it is that of one full piece.
+    ``max_attention`` bounds the sum of squared piece lengths of a container; by default it is that of one full piece, which
+    no container of several texts reaches, so only the tokens and documents bind. A lower bound makes long texts share a
+    container with short ones; a text that exceeds it alone has a container of its own.
 
     Edge cases: null and empty texts have no tokens and come out once with a null container; repeated texts are packed each
     time; ties in size go by ``doc_id``; an empty table gives an empty table; further columns are ignored.
@@ -86,7 +89,7 @@ def packed(
 
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "piece_no"], ignore_index=True)
-        bins = best_fit(shard["size"].to_numpy(), capacity, max_documents, attention, rule)
+        bins = best_fit(shard["size"].to_numpy(), capacity, max_documents, attention, rule, weights)
         ids = [f"{s}-{b}" for s, b in zip(shard["shard"], bins, strict=True)]
         return pd.DataFrame({"container_id": ids, "doc_id": shard["doc_id"], "piece_no": shard["piece_no"], "start_token": shard["start_token"], "n_tokens": shard["size"]})
 
@@ -94,10 +97,29 @@ def packed(
     return alone.select("container_id", "doc_id", "piece_no", F.col("start_token").cast("bigint"), F.col("n_tokens").cast("bigint")).unionByName(cut.where("shard is not null").groupBy("shard").applyInPandas(pack, schema))
 
 
-def utilisation(packing: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Containers, their tokens, the share of used space, and the fewest containers that could hold the tokens."""
-    per = packing.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
+def utilisation(packing: DataFrame, capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, max_attention: float | None = None) -> DataFrame:
+    """Containers, their tokens, the share of used space, the fewest containers that any packing needs (by the scarcest of the
+    three capacities), how many containers are up against each of them, and the fullest."""
+    attention = float(capacity) ** 2 if max_attention is None else float(max_attention)
+    squares = F.col("n_tokens").cast("double") * F.col("n_tokens")
+    per = packing.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.sum(squares).alias("attention"))
+    least = F.greatest(F.ceil(F.sum("tokens") / capacity), F.ceil(F.count_if(F.col("documents") > 0) * F.avg("documents") / max_documents), F.ceil(F.sum(F.least("attention", F.lit(attention))) / attention))
     return per.agg(
-        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * capacity)).alias("utilisation"), F.ceil(F.sum("tokens") / capacity).alias("least_containers"),
-        F.max("tokens").alias("most_tokens"), F.max("documents").alias("most_documents"),
+        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * capacity)).alias("utilisation"), least.alias("least_containers"),
+        F.max("tokens").alias("most_tokens"), F.max("documents").alias("most_documents"), F.count_if(F.col("documents") >= max_documents).alias("full_by_documents"),
+        F.count_if(F.col("attention") >= 0.95 * attention).alias("full_by_attention"), F.count_if(F.col("tokens") >= 0.95 * capacity).alias("full_by_tokens"),
     )
+
+
+def violations(packing: DataFrame, documents: DataFrame, capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, max_attention: float | None = None) -> DataFrame:
+    """One row: texts packed, texts missing or packed twice, texts cut though they fit, and containers beyond each capacity
+    (a single piece beyond the attention bound has its own container and is none)."""
+    attention = float(capacity) ** 2 if max_attention is None else float(max_attention)
+    per = packing.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("attention"))
+    bins = per.agg(F.count_if(F.col("tokens") > capacity).alias("over_tokens"), F.count_if(F.col("pieces") > max_documents).alias("over_documents"), F.count_if((F.col("attention") > attention) & (F.col("pieces") > 1)).alias("over_attention"))
+    texts = packing.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.countDistinct("start_token").alias("starts"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    whole = (F.col("starts") == F.col("pieces")) & (F.col("end") == F.col("tokens"))
+    all_ = documents.select("doc_id").join(texts, "doc_id", "left").agg(
+        F.count("pieces").alias("texts"), F.count_if(F.col("pieces").isNull() | ~whole).alias("not_whole"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("cut_without_need")
+    )
+    return all_.crossJoin(bins)  # one row each

@@ -23,6 +23,21 @@ def _shares_of_all(s, d):
     return mixing.shares(read_table(s, d, "documents"), read_table(s, d, "mix_targets"), of_all=True)
 
 
+#: limits that bind: at most six texts a container, and half the attention cost of one full text
+_BOUNDS = {"max_documents": 6, "max_attention": packing.CAPACITY**2 / 2}
+
+
+def _bounded(s, d):
+    return packing.packed(read_table(s, d, "documents"), rule="dot", weights=(1.0, 1.0, 1.0), **_BOUNDS)
+
+
+def _repeats(s, d):
+    """Per listed source: whether a text is used more often than allowed, and that each text comes once."""
+    mix = mixing.mixed(read_table(s, d, "documents"), read_table(s, d, "mix_targets"), of_all=True)
+    used = mix.groupBy("source").agg(F.max("repeats").alias("most"), (F.count("*") - F.countDistinct("doc_id")).alias("twice"))
+    return read_table(s, d, "mix_targets").join(used, "source", "full").select("source", F.coalesce(F.col("most") > F.col("max_repeats"), F.lit(False)).alias("over_repeats"), F.coalesce("twice", F.lit(0)).alias("twice"), F.col("target_share").isNull().alias("unlisted"))
+
+
 QUERIES = {
     "p3_found": lambda s, d: _personal_data(s, d).select("source_table", "row_key", F.explode("found").alias("f")).select("source_table", "row_key", "f.kind", "f.pii_text").distinct(),
     "p3_redacted": lambda s, d: _personal_data(s, d).select("source_table", "row_key", "redacted").distinct(),
@@ -32,6 +47,11 @@ QUERIES = {
     "p5_found": lambda s, d: secrets.find_credentials(read_table(s, d, "manifest_files")).select("file_id", "line_no").distinct(),
     "p7_pack": lambda s, d: packing.packed(read_table(s, d, "documents")),
     "p7_utilisation": lambda s, d: packing.utilisation(packing.packed(read_table(s, d, "documents"))),
+    "p7_pack_bounded": _bounded,
+    "p7_utilisation_bounded": lambda s, d: packing.utilisation(_bounded(s, d), **_BOUNDS),
+    "p7_violations": lambda s, d: packing.violations(packing.packed(read_table(s, d, "documents")), read_table(s, d, "documents")),
+    "p7_violations_bounded": lambda s, d: packing.violations(_bounded(s, d), read_table(s, d, "documents"), **_BOUNDS),
+    "p8_violations": _repeats,
     "p8_mix": lambda s, d: mixing.mixed(read_table(s, d, "documents"), read_table(s, d, "mix_targets"), of_all=True),
     "p8_shares": _shares_of_all,
     "p8_shares_of_all": _shares_of_all,
@@ -91,7 +111,12 @@ f as (select * from r qualify row_number() over (partition by use, g order by pr
 select g.a as assessment_id, g.t as entity_type, g.k as entity_key, g.n as attribute, coalesce(max(f.claim_id) filter (use = 'v'), '') as value_claim_id, coalesce(max(f.claim_id) filter (use = 'q'), '') as quote_claim_id
 from (select g from c group by 1 having count(distinct claim_id) > 1) left join f using (g) group by g"""
 
+_NO_VIOLATIONS = "select count(*) as texts, 0 as not_whole, 0 as cut_without_need, 0 as over_tokens, 0 as over_documents, 0 as over_attention from documents"
+
 ORACLES = {
+    "p7_violations": _NO_VIOLATIONS,
+    "p7_violations_bounded": _NO_VIOLATIONS,
+    "p8_violations": "select source, false as over_repeats, 0 as twice, false as unlisted from mix_targets",
     "p4_untimed": _P4_UNTIMED_SQL,
     "p4_found": _P4_SQL + "select assessment_id, entity_type, entity_key, attribute, coalesce(v.claim_id, '') as value_claim_id, coalesce(q.claim_id, '') as quote_claim_id" + _P4_JOIN,
     "p4_survivors": _P4_SQL

@@ -49,3 +49,17 @@ def test_utilisation(spark, capacity):
     df = spark.createDataFrame([(i, "some text here " * (1 + i % 9)) for i in range(400)], "doc_id bigint, text string")
     u = P.utilisation(P.packed(df, capacity=capacity), capacity).first()
     assert u.containers <= u.least_containers * 1.1 + 1 and u.most_tokens <= capacity
+
+
+def test_limits_that_bind_hold(spark):
+    import random
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, "word " * rng.choice([3, 40, 200, 900, 1500, 5000])) for i in range(300)] + [(300, None), (301, "")], "doc_id bigint, text string")
+    bounds = {"max_documents": 4, "max_attention": 2048**2 / 2}
+    for rule in ("norm", "dot"):
+        made = P.packed(df, rule=rule, weights=(1.0, 1.0, 1.0), **bounds)
+        assert tuple(P.violations(made, df, **bounds).first()) == (302, 0, 0, 0, 0, 0)
+        u = P.utilisation(made, **bounds).first()
+        assert u.full_by_documents > 0 and u.full_by_attention > 0 and u.containers >= u.least_containers
+    assert P.violations(P.packed(df), df, **bounds).first().over_attention + P.violations(P.packed(df), df, **bounds).first().over_documents > 0
