@@ -1,9 +1,11 @@
 """Credentials in source code and configuration: literals in assignment contexts, judged by what no dictionary explains.
 
 A literal is segmented into dictionary words by Viterbi (unigram costs from a public word vocabulary); the characters that
-no word explains are its residual. A literal is a credential if its context and its residual together say so: under a
-name that holds secrets even a weak password counts, elsewhere only a long residual does. References, placeholders, empty
-values, known hash and identifier formats, certificates and public keys are excluded.
+no word explains are its residual. A literal is a credential if its context and its residual together say so: the less a
+name says, the more must be left over; under a name of a password a literal that words explain wholly is a weak password,
+unless it is written as a reference. References, placeholders, empty values, identifiers, certificates and public keys are
+excluded, and hash formats where the name does not say that a secret stands there (keys and tokens of 32 or 40 hexadecimal
+digits look like hashes and are secrets under such names).
 
 Spark partitions the files; the scan is a helper run over Arrow batches. Files are independent, so no key can be hot; a
 file's whole text is scanned in time linear in its length.
@@ -41,8 +43,9 @@ _PLACEHOLDER = re.compile(
 )
 _HASH = re.compile(r"(?:sha\d*[-:])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+", re.I)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
-#: bounded, so that a line without blanks, of any length, is scanned in linear time
-_NAME = r"[A-Za-zÀ-ÿ_$][\wÀ-ÿ$.-]{0,80}"
+#: a run of word characters of any length (possessive, and never started inside one), then a bounded rest with dots and
+#: hyphens, behind each of which a match may start anew: a line of any length is scanned in linear time and no name is cut
+_NAME = r"[A-Za-zÀ-ÿ_$][\wÀ-ÿ$]*+(?:[.-][\wÀ-ÿ$.-]{0,80})?"
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: name, separator, value: quoted or up to white space and closing marks
 _ASSIGN = re.compile(
@@ -52,7 +55,7 @@ _XML = re.compile(rf"<(?P<name>{_NAME})(?:\s[^<>]*)?>(?P<value>[^<>]*)</(?P=name
 _XML_OPEN = re.compile(rf"^\s*<(?P<name>{_NAME})(?:\s[^<>/]*)?>\s*$")
 _USERINFO = re.compile(r"(?:(?<![a-z0-9])[a-z][a-z0-9+.-]{0,20}://|(?:^|[/\s\"'=]))(?P<user>[\w.%+-]*):(?P<value>[^\s/@:\"'<>]+)@(?=[\w.-]+)", re.I)
 _JDBC_THIN = re.compile(r"jdbc:\w+:\w+:(?P<user>[\w.]+)/(?P<value>[^\s/@\"']+)@")
-_FLAG = re.compile(rf"(?<![\w-])--?(?P<name>[A-Za-z][\w-]{{0,80}})(?:\s+|=)(?P<q>[\"']?)(?P<value>[^\s\"']+)(?P=q)")
+_FLAG = re.compile(rf"(?<![\w-])--?(?P<name>[A-Za-z][\w-]*+)(?:\s+|=)(?P<q>[\"']?)(?P<value>[^\s\"']+)(?P=q)")
 _CURL_USER = re.compile(r"(?:-u|--user)\s+(?P<q>[\"']?)(?P<user>[^\s\"':]+):(?P<value>[^\s\"']+)(?P=q)")
 _SCHEME = re.compile(r"\b(?:Bearer|Basic|Token|Digest)\s+(?P<value>[A-Za-z0-9._~+/=-]{8,})")
 _LOGIN_CALL = re.compile(r"\b\w*(?:login|log_in|sign_?in|auth(?:enticate)?|connect)\w*\(\s*[\"'][^\"']*[\"']\s*,\s*[\"'](?P<value>[^\"']+)[\"']", re.I)
@@ -87,16 +90,29 @@ def dictionary(words_file: str) -> dict[str, float]:
 _CHAR = math.log(62)
 
 
+_ENDINGS: dict[tuple[int, int], dict[str, int]] = {}
+
+
+def _endings(words: dict[str, float]) -> dict[str, int]:
+    """The longest word by its last three letters, found once per dictionary; most places of a random string end no word."""
+    key = (id(words), len(words))
+    if (ends := _ENDINGS.get(key)) is None:
+        ends = _ENDINGS[key] = {}
+        for w in words:
+            ends[w[-3:]] = max(len(w), ends.get(w[-3:], 0))
+    return ends
+
+
 def residual(literal: str, words: dict[str, float]) -> int:
     """Letters and digits of ``literal`` that the cheapest segmentation into dictionary words leaves unexplained."""
-    left = 0
+    left, endings = 0, _endings(words)
     for run in re.findall(r"[^\W_]+", literal):
         low = run.lower()
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(low) + 1):
             cost, bare = best[end - 1]
             choice = (cost + _CHAR, bare + 1)
-            for start in range(max(0, end - 14), end - 2):
+            for start in range(max(0, end - endings.get(low[max(0, end - 3) : end], 0)), end - 2):
                 if (w := words.get(low[start:end])) is not None:
                     # a word whose case changes inside is chance, as in random strings
                     part = run[start:end]
@@ -134,16 +150,27 @@ def judge(value: str, weight: int, quoted: bool, words: dict[str, float]) -> boo
     value = value.strip()
     if not is_literal(value) or value.startswith(("data:", "http://", "https://", "/", "./", "-----BEGIN")) or re.search(r"\s", value):
         return False
+    if weight < 3 and _UUID.fullmatch(value) or (weight < 2 and _HASH.fullmatch(value)):
+        return False
+    left, digits, upper = residual(value, words), sum(c.isdigit() for c in value), sum(c.isupper() for c in value)
     if weight == 3:
-        reference = not quoted and re.fullmatch(_NAME, value) and residual(value, words) == 0 and ("." in value or "_" in value or name_weight(value) > 0)
+        # words alone: a weak password, unless it reads as a reference to where the password is
+        reference = not left and not quoted and re.fullmatch(_NAME, value) and ("." in value or "_" in value or name_weight(value) > 0)
         return len(value) >= 4 and not reference
-    if _UUID.fullmatch(value) or (weight < 2 and _HASH.fullmatch(value)):
-        return False
-    left, digits = residual(value, words), sum(c.isdigit() for c in value)
     if weight == 2:
-        mixed = left and digits and any(c.isupper() for c in value) and any(c.islower() for c in value) and len(value) >= 8
-        return len(value) >= 6 and (left >= 3 or digits >= 2 or mixed) and not re.fullmatch(r"[\d.,:%]{1,11}\w?", value)
-    return left >= 12 and digits + sum(c.isupper() for c in value) >= 3
+        mixed = left and digits and upper and any(c.islower() for c in value) and len(value) >= 8
+        return len(value) >= 6 and (left >= 3 or bool(mixed)) and not re.fullmatch(r"[\d.,:%]{1,11}\w?", value)
+    if weight == 1:
+        return left >= 12 and digits + upper >= 3
+    # a name that says nothing: hardly a word in it, and all kinds of characters, as only random strings have
+    return bool(_RANDOM.fullmatch(value)) and left >= 24 and digits >= 3 and upper >= 3 and sum(c.islower() for c in value) >= 3
+
+
+#: quoted literals under any name that may be random strings: one run of 24 characters or more, no path, address or file
+_NEUTRAL = re.compile(rf"""(?<![\w$])(?P<q>["']?)(?P<name>{_NAME})(?P=q)\]?\s*(?:=>|:=|[:=](?!=))\s*(?P<vq>["'`])(?P<value>[A-Za-z0-9_+=-]{{24,}})(?P=vq)""")
+_RANDOM = re.compile(r"[A-Za-z0-9_+=-]{24,}")
+#: names and lines that hold digests, identifiers, certificates or public keys
+_PUBLIC = re.compile(r"integrity|checksum|digest|sha|hash|md5|sum|etag|cert|public|pub|finger|uuid|guid|nonce|commit|revision|rev|version|image|blob|data|icon|font|build|id$|ref$", re.I)
 
 
 Span = tuple[int, int, str]
@@ -158,6 +185,10 @@ def _line_spans(line: str, words: dict[str, float]) -> list[Span]:
             found.append((*m.span(group), kind))
 
     low = line.lower()
+    if len(line) > 27 and ("=" in line or ":" in line):
+        for m in _NEUTRAL.finditer(line):
+            if not name_weight(m.group("name")) and not _PUBLIC.search(m.group("name")):
+                add(m, "value", 0, True, "assignment")
     if not any(h in low for h in _HINTS):
         return found
     if "-----begin" in low:

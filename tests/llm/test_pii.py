@@ -55,3 +55,23 @@ def test_every_form_of_address_passes_the_gate():
     texts += [f"103 {w} des Tilleuls, 88711 Saint-Orvin" for x in P._FR_TYPES[3:-1].split("|") for w in {x.replace(r"\.?", ""), x.replace(r"\.?", ".")}]
     assert [t for t in texts if not any(True for _ in P._addresses(t))] == []
     assert [t for t in texts if ("address", t) not in found(t)] == []
+
+
+def test_a_failed_checksum_refutes_account_and_card_numbers():
+    from estateloom.llm.pii import Lexicon, find
+
+    kinds = lambda t: [k for _, _, k in find(t, Lexicon([]))]
+    assert kinds("credit card 4111 1111 1111 1111") == ["id_number"] and kinds("credit card 4111 1111 1111 1112") == []
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00") == ["id_number"] and kinds("IBAN DE88 3704 0044 0532 0130 00") == []
+    assert kinds("passport no. Z91739683") == ["id_number"]
+
+
+def test_notes_come_from_the_grammar():
+    from estateloom.llm.pii import notes_of
+
+    head = "hostname,os,vcpu,notes"
+    assert notes_of('"web, main",RHEL 8,4,call Anna', head) == "call Anna"
+    assert notes_of('web,RHEL,4,"call ""Anna"", please"\r', head) == 'call ""Anna"", please'
+    assert notes_of("web,RHEL,4,call, Anna", head) == "call, Anna"  # a field too many
+    assert notes_of('web,RHEL,4,19" rack, Anna', head) == '19" rack, Anna' and notes_of('web,"RHEL,4,call Anna', head) == '"RHEL,4,call Anna'
+    assert notes_of("web;RHEL;4;call, Anna", "hostname;os;vcpu;notes") == "call, Anna" and notes_of("short", head) == "short" and notes_of("", None) == ""
