@@ -99,11 +99,27 @@ def _vectors(embeddings: DataFrame) -> DataFrame:
 
 def _label_agreement(embeddings: DataFrame) -> DataFrame:
     """How well the nearest vectors share the label of the query: ranking scores per query."""
-    found = retrieval.nearest_vectors(embeddings, embeddings.where("vec_id % 100 = 0")).select("query_id", F.col("vec_id").alias("item"), "place").where("query_id <> item")
+    found = retrieval.nearest_vectors(embeddings, embeddings.where("vec_id % 100 = 0")).select("query_id", "vec_id", "place").where("query_id <> vec_id")
     labels = embeddings.select("vec_id", "label")
-    wanted = labels.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id").join(labels.withColumnRenamed("vec_id", "item"), "label").where("query_id <> item").select("query_id", "item")
-    scores = evaluation.ranking_scores(found, wanted, 8)
-    return scores.select("query_id", *(F.round(c, 4).alias(c) for c in ("recall_at_k", "precision_at_k", "reciprocal_rank")))
+    others = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    asked = salted_join(labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label"), others, ["label"], ["query_id"], "left")
+    hits = found.join(labels.select("vec_id", F.col("label").alias("found")), "vec_id").join(asked.select("query_id", "label"), "query_id")
+    right = F.col("found") == F.col("label")
+    scores = hits.groupBy("query_id").agg(F.count("*").alias("n_top"), F.count_if(right).alias("n_hit"), F.min(F.when(right, F.col("place"))).alias("first"))
+    n_hit, n_top, n = F.coalesce("n_hit", F.lit(0)), F.coalesce("n_top", F.lit(0)), F.coalesce("n_relevant", F.lit(0))
+    rounded = lambda c, name: F.round(c, 4).alias(name)
+    return asked.join(scores, "query_id", "left").select(
+        "query_id", rounded(F.when(n == 0, 1.0).otherwise(n_hit / n), "recall_at_k"), rounded(F.when(n_top == 0, 0.0).otherwise(n_hit / n_top), "precision_at_k"), rounded(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), "reciprocal_rank")
+    )
+
+
+def _indexed(embeddings: DataFrame) -> DataFrame:
+    """How many of the exact neighbours the index finds, over all queries."""
+    asked = embeddings.where("vec_id % 100 = 0")
+    exact = retrieval.nearest_vectors(embeddings, asked).select("query_id", "vec_id")
+    found = retrieval.nearest_by_index(embeddings, asked).select("query_id", "vec_id").withColumn("hit", F.lit(1))
+    both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("n_exact"), (F.count("hit") / F.count("*")).alias("recall"))
+    return both.select("n_exact", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
 def _supply(lineitem: DataFrame) -> DataFrame:
@@ -229,6 +245,8 @@ QUERIES: dict[str, Query] = {
     "nearest_vectors": over("embeddings", _vectors),
     "label_agreement": over("embeddings", _label_agreement),
     "bm25_search": over("documents", lambda docs: retrieval.bm25(docs, _every_hundredth(docs)).select("query_id", "doc_id", F.round("score", 3).alias("score"), "place")),
+    "bm25_any_script": over("documents", lambda docs: retrieval.bm25(docs, _every_hundredth(docs), words=retrieval.ANY_WORDS).select("query_id", "doc_id", F.round("score", 3).alias("score"), "place")),
+    "index_recall": over("embeddings", _indexed),
     "hybrid_search": over("documents", _fused_search),
     "query_expansions": over("documents", retrieval.expansions),
     "pagerank": over("lineitem", _rank),
@@ -350,20 +368,30 @@ _KIND_SQL = r"""case when f = 'package.json' then 'npm' when f = 'package-lock.j
   when f like '%.sh' then 'shell' when f like '%.js' then 'code' when f = 'requirements.txt' then 'pip' else 'other' end"""
 _COMPONENT_SQL = f"""coalesce(list_filter(string_split(relative_path, '/')[1:len(string_split(relative_path, '/')) - 1],
   lambda p: p not in ({", ".join(f"'{g}'" for g in extraction.GENERIC_DIRECTORIES)}) and regexp_matches(p, '^[a-z][a-z-]*$'))[1], 'root')"""
+def _bm25_sql(words: str) -> str:
+    return rf"""
+with t as (select doc_id, unnest(regexp_extract_all(lower(text), '{words}')) as word from documents where text is not null), tf as (select doc_id, word, count(*) as tf from t group by 1, 2),
+dl as (select doc_id, count(*) as dl from t group by 1), n as (select count(*) as n, (select count(*) from t) * 1.0 / count(*) as avgdl from documents),
+i0 as (select word, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, n group by word, n), m as (select avg(idf) as m from i0), i as (select word, case when idf < 0 then 0.25 * m else idf end as idf from i0, m),
+q as (select distinct doc_id as query_id, word from t where doc_id % 100 = 0),
+s as (select query_id, tf.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) as score from q join i using (word) join tf using (word) join dl on dl.doc_id = tf.doc_id, n group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from s where score > 0)
+select query_id, doc_id, round(score, 3) as score, place from r where place <= 8"""
+
+
 SEARCH_ORACLES: dict[str, str] = {
     "nearest_vectors": """
 with q as (select vec_id as query_id, cast(embedding as double[64]) as a from embeddings where vec_id % 100 = 0),
 s as (select query_id, vec_id, round(array_cosine_similarity(a, cast(embedding as double[64])), 6) as score from q cross join embeddings),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s where score > 0.02)
 select query_id, vec_id, round(score, 4) as score, place from r where place <= 8""",
-    "bm25_search": """
-with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents where text is not null), tf as (select doc_id, word, count(*) as tf from t group by 1, 2),
-dl as (select doc_id, count(*) as dl from t group by 1), n as (select count(*) as n, (select count(*) from t) * 1.0 / count(*) as avgdl from documents),
-i0 as (select word, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, n group by word, n), m as (select avg(idf) as m from i0), i as (select word, case when idf < 0 then 0.25 * m else idf end as idf from i0, m),
-q as (select distinct doc_id as query_id, word from t where doc_id % 100 = 0),
-s as (select query_id, tf.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) as score from q join i using (word) join tf using (word) join dl on dl.doc_id = tf.doc_id, n group by 1, 2),
-r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from s where score > 0)
-select query_id, doc_id, round(score, 3) as score, place from r where place <= 8""",
+    "bm25_search": _bm25_sql(retrieval.LATIN_WORDS),
+    "bm25_any_script": _bm25_sql(retrieval.ANY_WORDS),
+    "index_recall": """
+with q as (select vec_id as query_id, cast(embedding as double[64]) as a from embeddings where vec_id % 100 = 0),
+s as (select query_id, vec_id, round(array_cosine_similarity(a, cast(embedding as double[64])), 6) as score from q cross join embeddings),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s where score > 0.02)
+select count(*) as n_exact, true as recall_reached from r where place <= 8""",
     "label_agreement": """
 with q as (select vec_id as query_id, label as wanted, cast(embedding as double[64]) as a from embeddings where vec_id % 100 = 0),
 s as (select query_id, wanted, vec_id, label, round(array_cosine_similarity(a, cast(embedding as double[64])), 6) as score from q cross join embeddings),

@@ -170,6 +170,34 @@ def test_nearest_vectors_equal_brute_force_in_several_blocks(spark):
         assert got[q][0] == q and set(got[q]) == set(np.argsort(-s, kind="stable")[:5])
 
 
+def test_index_finds_most_of_the_exact_neighbours(spark):
+    """Vectors around 40 middles: recall of the inverted file against the exact way."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(40, 16))
+    v = middles[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(9000, None)], "vec_id bigint, embedding array<float>")
+    asked = df.where("vec_id % 100 = 0")
+    key = lambda d: {(r.query_id, r.vec_id) for r in d.collect()}
+    exact, found = key(retrieval.nearest_vectors(df, asked)), key(retrieval.nearest_by_index(df, asked))
+    assert len(exact & found) / len(exact) >= 0.9
+    assert key(retrieval.nearest_by_index(df, asked, cells=1)) == exact  # one cell holds all
+    assert retrieval.nearest_by_index(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_keyword_search_equals_brute_force(spark):
+    rng = random.Random(9)
+    words = ["alpha", "betamax", "beta", "xy", "gam"]
+    docs = [(i, None if i == 5 else " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(60)]
+    asked = [("q1", "Alpha beta"), ("q2", "xy"), ("q3", "gam max gam"), ("q4", None)]
+    df, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(asked, "query_id string, text string")
+    want = set()
+    for name, said in asked:
+        w = {x for x in (said or "").lower().split() if len(x) > 2}
+        scored = sorted((-sum(x in t for x in w), i) for i, t in docs if t is not None and any(x in t for x in w))
+        want |= {(name, i, -s, k) for k, (s, i) in enumerate(scored[:4], 1)}
+    assert {tuple(r) for r in retrieval.keyword_search(df, q, 4, block=2).select("query_id", "doc_id", "score", "place").collect()} == want
+
+
 def test_bm25_equals_brute_force(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(30)]
