@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,20 @@ def char_windows(documents: DataFrame, size: int = 1200, overlap: int = 150) ->
     return documents.where(n > 0).select("doc_id", F.inline(rows))
 
 
-def packed_chunks(documents: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
-    """(doc_id, chunk_no, n_paragraphs, tokens, chunk): paragraphs packed in order until the budget is reached; a longer one stands alone."""
-    p = documents.select("doc_id", paragraph_array("text").alias("p"))
+def windowed(parts: Column, budget: int, overlap: int) -> Column:
+    """Parts longer than ``budget`` tokens cut into windows of that size that overlap; the others as they are."""
+    size, step = budget * 4, max(1, (budget - overlap) * 4)
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.length(x) - overlap * 4 - 1, F.lit(0)), F.lit(step)), lambda at: F.substring(x, at + 1, F.lit(size)))
+    return F.flatten(F.transform(parts, lambda x: F.when(F.length(x) > size, cut(x)).otherwise(F.array(x))))
+
+
+def packed_chunks(documents: DataFrame, budget: int = CHUNK_TOKENS, cut_long: bool = False) -> DataFrame:
+    """(doc_id, chunk_no, n_paragraphs, tokens, chunk): paragraphs packed in order until the budget is reached.
+
+    A longer paragraph stands alone, with ``cut_long`` in overlapping windows of the budget's size.
+    """
+    paragraphs_ = paragraph_array("text")
+    p = documents.select("doc_id", (windowed(paragraphs_, budget, OVERLAP_TOKENS) if cut_long else paragraphs_).alias("p"))
     kind = "array<struct<n:int,t:int,x:string>>"
     initial = F.array().cast(kind)
 
@@ -80,6 +93,36 @@ def sections(documents: DataFrame) -> DataFrame:
     return rows.where((F.col("i") > 0) | (F.trim("body") != "")).select("doc_id", (F.col("i") - 1).cast("int").alias("section_no"), F.trim(title).alias("title"), F.length("body").alias("body_chars"))
 
 
+_QUESTION_LINE = r"(^|\n)([ \t]*[Qq][0-9]{0,3}[.:)])"
+
+
+def question_chunks(documents: DataFrame) -> DataFrame:
+    """(doc_id, qa_index, chunk): a question line and what follows it up to the next; what stands before the first has index -1, and
+    so has a text without questions. Blank pieces are left out."""
+    pieces = F.split(F.regexp_replace("text", _QUESTION_LINE, "$1\u0001$2"), "\u0001")
+    rows = documents.where("text is not null").select("doc_id", F.posexplode(pieces).alias("i", "piece"))
+    return rows.select("doc_id", (F.col("i") - 1).cast("int").alias("qa_index"), F.regexp_replace("piece", r"^\s+|\s+$", "").alias("chunk")).where("chunk <> ''")
+
+
+def manifest_chunks(files: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
+    """(file_id, part, chunk): a file's paragraphs packed within the budget, its path before the first piece; an empty file is that line alone."""
+    chunks = packed_chunks(files.select(F.col("file_id").alias("doc_id"), "text"), budget, cut_long=True).select(F.col("doc_id").alias("file_id"), F.col("chunk_no").alias("part"), "chunk")
+    heads = files.select("file_id", F.concat(F.lit("# FILE: "), F.coalesce("relative_path", F.lit("")), F.lit("\n")).alias("head"))
+    joined = heads.join(chunks, "file_id", "left").select("file_id", F.coalesce("part", F.lit(0)).alias("part"), "head", F.coalesce("chunk", F.lit("")).alias("chunk"))
+    return joined.select("file_id", "part", F.when(F.col("part") == 0, F.concat("head", "chunk")).otherwise(F.col("chunk")).alias("chunk"))
+
+
+def routed_chunks(documents: DataFrame, tables: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, route, chunk_no, size): questionnaires by questions, inventories by the rows of their tables (``tables`` gives doc_id and
+    n_rows of each chunk), all others by paragraphs; size is in characters, of tables in rows."""
+    kind = F.coalesce("source", F.lit(""))
+    asked = question_chunks(documents.where(kind == "questionnaire")).select("doc_id", F.lit("questionnaire").alias("route"), F.col("qa_index").alias("chunk_no"), F.length("chunk").alias("size"))
+    listed = tables(documents.where(kind == "inventory_notes"))
+    numbered = listed.select("doc_id", F.lit("inventory").alias("route"), F.col("part").alias("chunk_no"), F.col("n_rows").alias("size"))
+    prose = packed_chunks(documents.where(~kind.isin("questionnaire", "inventory_notes")), cut_long=True).select("doc_id", F.lit("prose").alias("route"), "chunk_no", F.length("chunk").alias("size"))
+    return asked.unionByName(numbered).unionByName(prose)
+
+
 def plain_text(c: Column | str) -> Column:
     """Markdown without its marks: fences, rules, headings, bullets, links, code, emphasis; blank lines squeezed."""
     t = col(c)

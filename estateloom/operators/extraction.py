@@ -20,22 +20,35 @@ INJECTION = [
     r"system\s*prompt\s*:",
     r"<\s*/?\s*system\s*>",
     r"\[\s*INST\s*\]",
+    r"do\s+not\s+follow\s+your\s+(?:system|safety)\s+rules",
     r"override\s+(?:safety|guardrails?|content\s+policy)",
     r"reveal\s+(?:your\s+)?(?:system\s+)?prompt",
     r"exfiltrat(?:e|ion)",
+    r"#\s*(?:ai|llm|assistant)\s*[:,]\s*ignore",
+    r"//\s*(?:ai|llm|assistant)\s*[:,]\s*ignore",
+    r'"description"\s*:\s*"[^"]*ignore\s+(?:previous|prior|above)\s+instructions',
 ]
+HARM = r"\b(?:how\s+to\s+(?:make|build)\s+a\s+bomb|kill\s+all)\b|\b(?:suicide\s+methods?|how\s+to\s+harm\s+myself)\b"
 CREDENTIAL = r"\b(?:password|api[_-]?key|secret[_-]?key|private[_-]?key|connectionstring)\b.{0,40}(?:['\"][^'\"]{8,}['\"]|[:=]\s*\S{8,})"
 NAME = r"[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)?"
 RELATION = rf"({NAME}) (depends on|calls|integrates with|talks to) ({NAME})"
 RUNS = r"([a-z0-9][a-z0-9_-]*-[a-z0-9_-]+) runs ([A-Z][A-Za-z0-9]+) ([0-9][0-9.]*[0-9]) on ([A-Z]+ [0-9]+)"
-REQUIREMENTS = {
-    "availability": r"(?i)availability[^.\n]{0,40}?(\d{2,3}\.?\d*%|99\.9+%)",
-    "rto": r"(?i)RTO[:\s]+([^\n,]{2,40})",
-    "rpo": r"(?i)RPO[:\s]+([^\n,]{2,40})",
-    "latency": r"(?i)latency[^.\n]{0,40}?(\d+\s*ms)",
-    "compliance": r"(?i)(PCI(?:-DSS)?|HIPAA|SOC\s*2|ISO\s*27001)",
-    "encryption": r"(?i)encrypt(?:ion|ed)[:\s]+([^\n.]{2,60})",
-}
+REQUIREMENTS = [
+    ("nfr", r"(?i)NFR:\s*([^\n]+)"),
+    ("sla", r"(?i)SLA:\s*([^\n]+)"),
+    ("availability", r"(?i)availability[^.\n]{0,40}?(\d{2,3}\.?\d*%|99\.9+%)"),
+    ("rto", r"(?i)RTO[:\s]+([^\n,]{2,40})"),
+    ("rpo", r"(?i)RPO[:\s]+([^\n,]{2,40})"),
+    ("latency", r"(?i)latency[^.\n]{0,40}?(\d+\s*ms)"),
+    ("data_residency", r"(?i)data residency[:\s]+([^\n.]{2,60})"),
+    ("nfr", r"(?i)must support[:\s]+([^\n.]{2,80})"),
+    ("compliance", r"(?i)(PCI(?:-DSS)?|HIPAA|SOC\s*2|ISO\s*27001)"),
+    ("encryption", r"(?i)encrypt(?:ion|ed)[:\s]+([^\n.]{2,60})"),
+    ("scalability", r"(?i)peak load[:\s]+([^\n.]{2,60})"),
+    ("scalability", r"(?i)concurrent users[:\s]+([^\n.]{2,40})"),
+]
+#: one cell that states both recovery targets; it is read first, and the patterns above do not see it
+BOTH_TARGETS = r"(?i)RTO\s*/\s*RPO[:\s|]+([^/\n]{2,40}?)\s*/\s*([^\n,.;|]{2,40})"
 
 
 def _all(text: Column | str, pattern: str, group: int) -> Column:
@@ -56,13 +69,14 @@ def runtime_facts(documents: DataFrame) -> DataFrame:
 
 
 def requirement_facts(documents: DataFrame) -> DataFrame:
-    """(requirement, value, n) of every pattern, all in one scan."""
+    """(requirement, value, n, n_documents) of every pattern, all in one scan; a cell of both recovery targets is taken apart first."""
 
-    def named(name: str, pattern: str) -> Column:
-        return F.transform(_all("text", pattern, 1), lambda v: F.struct(F.lit(name).alias("requirement"), F.trim(v).alias("value")))
+    def named(name: str, text: str, pattern: str, group: int = 1) -> Column:
+        return F.transform(_all(text, pattern, group), lambda v: F.struct(F.lit(name).alias("requirement"), F.trim(v).alias("value")))
 
-    found = F.flatten(F.array(*(named(a, p) for a, p in REQUIREMENTS.items())))
-    return documents.where("text is not null").select("doc_id", F.inline(found)).where(F.length("value") >= 2).groupBy("requirement", "value").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+    rest = documents.where("text is not null").select("doc_id", "text", F.regexp_replace("text", BOTH_TARGETS, " ").alias("rest"))
+    found = F.flatten(F.array(named("rto", "text", BOTH_TARGETS, 1), named("rpo", "text", BOTH_TARGETS, 2), *(named(a, "rest", p) for a, p in REQUIREMENTS)))
+    return rest.select("doc_id", F.inline(found)).where(F.length("value") >= 2).groupBy("requirement", "value").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
 def contact_counts(documents: DataFrame) -> DataFrame:
@@ -73,9 +87,9 @@ def contact_counts(documents: DataFrame) -> DataFrame:
 
 
 def guarded(texts: DataFrame) -> DataFrame:
-    """(origin, n, n_injection, n_credential) over (origin, text): what a gate in front of a model would see."""
+    """(origin, n, n_injection, n_credential, n_harm) over (origin, text): what a gate in front of a model would see."""
     injected = F.exists(F.array(*(F.lit(f"(?i){p}") for p in INJECTION)), lambda p: F.regexp_like("text", p))
-    return texts.where("text is not null").groupBy("origin").agg(F.count("*").alias("n"), F.count_if(injected).alias("n_injection"), F.count_if(F.col("text").rlike(f"(?i){CREDENTIAL}")).alias("n_credential"))
+    return texts.where("text is not null").groupBy("origin").agg(F.count("*").alias("n"), F.count_if(injected).alias("n_injection"), F.count_if(F.col("text").rlike(f"(?i){CREDENTIAL}")).alias("n_credential"), F.count_if(F.col("text").rlike(f"(?i){HARM}")).alias("n_harm"))
 
 
 def token_stats(documents: DataFrame) -> DataFrame:
@@ -94,20 +108,11 @@ def open_questions(documents: DataFrame) -> DataFrame:
 GENERIC_DIRECTORIES = ["apps", "services", "cache", "releases", "objects", "snap", "bak", "clone", "src", "lib", "config", "deploy", "infra", "k8s", "helm", "docker", "scripts", "ci", "test", "fixtures", "password-reset"]
 
 
-# How manifests name what they depend on: name and version.
-DEPENDENCY_FORMS = {
-    "npm": r'"([a-z@][a-z0-9@/._-]*)": "\^([0-9][0-9.]*)"',
-    "image": r"image: ([a-z0-9./-]+)@sha256:([0-9a-f]{12})",
-    "base": r"FROM ([a-z0-9./-]+):([0-9][0-9.]*)",
-    "system": r"apt-get install -y ([a-z0-9-]+)()",
-}
-
-
 def manifest_kind(path: Column | str) -> Column:
     name = F.lower(F.substring_index(col(path), "/", -1))
     return (
         F.when(name == "package.json", "npm").when(name == "package-lock.json", "npm-lock").when(name.startswith("dockerfile"), "docker").when(name.startswith("docker-compose"), "compose").when(name.startswith(".env"), "env")
-        .when(name.rlike(r"\.(properties|ini|npmrc|tfvars)$"), "settings").when(name.rlike(r"^appsettings.*\.json$"), "dotnet").when(name.rlike(r"\.(csproj|xml|config)$"), "xml").when(name.rlike(r"\.ya?ml$"), "yaml")
+        .when(name.rlike(r"\.(properties|ini|npmrc|tfvars)$"), "settings").when(name.rlike(r"^appsettings.*\.json$"), "dotnet").when(name == "pom.xml", "maven").when(name.rlike(r"\.csproj$"), "csproj").when(name.rlike(r"^build\.gradle"), "gradle").when(name == "pyproject.toml", "pyproject").when(name.rlike(r"\.(xml|config)$"), "xml").when(name.rlike(r"\.ya?ml$"), "yaml")
         .when(name.rlike(r"\.sh$"), "shell").when(name.rlike(r"\.js$"), "code").when(name == "requirements.txt", "pip").otherwise("other")
     )
 
@@ -123,18 +128,6 @@ def manifest_inventory(files: DataFrame) -> DataFrame:
     return files.groupBy(manifest_kind("relative_path").alias("kind"), component("relative_path").alias("component")).agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
 
 
-def manifest_dependencies(files: DataFrame) -> DataFrame:
-    """(component, source, name, version, n_files): packages, base images, images and system libraries that manifests name. Values of settings are not read."""
-
-    def named(source: str, pattern: str) -> Column:
-        zipped = F.arrays_zip(_all("text", pattern, 1).alias("name"), _all("text", pattern, 2).alias("version"))
-        return F.transform(zipped, lambda x: F.struct(F.lit(source).alias("source"), x["name"].alias("name"), x["version"].alias("version")))
-
-    rows = F.flatten(F.array(*(named(s, p) for s, p in DEPENDENCY_FORMS.items())))
-    found = files.where("text is not null").select("file_id", component("relative_path").alias("component"), F.inline(F.array_distinct(rows)))
-    return found.groupBy("component", "source", "name", "version").agg(F.count("*").alias("n_files"))
-
-
 # Words that point to gaps in what is known.
 GAP_SIGNALS = {"card data": "pci", "health data": "hipaa", "undocumented": "not documented|known gaps", "no backup": "no backup|lack a backup", "unknown owner": "owner is unknown|nobody"}
 

@@ -50,8 +50,8 @@ def _column_variants(inventory: DataFrame) -> DataFrame:
 
 
 def _documents_of_kind(claims: DataFrame, documents: DataFrame) -> DataFrame:
-    """Facts whose document is of an inventory or code kind, per kind: an equi join with a filter that reaches the scan."""
-    kinds = documents.where(F.col("doc_type").isin("inventory", "code_snapshot")).select(F.col("document_id").alias("source_document_id"), "doc_type").distinct()
+    """Facts whose document is an inventory, code or a questionnaire, per kind: an equi join with a filter that reaches the scan."""
+    kinds = documents.where(F.col("doc_type").isin("inventory", "code_snapshot", "questionnaire")).select(F.col("document_id").alias("source_document_id"), "doc_type").distinct()
     return claims.select("claim_id", "source_document_id").distinct().join(kinds, "source_document_id").groupBy("doc_type").agg(F.count("*").alias("n_claims"), F.countDistinct("source_document_id").alias("n_documents"))
 
 
@@ -261,7 +261,6 @@ QUERIES: dict[str, Query] = {
     "token_stats": over("documents", extraction.token_stats),
     "open_questions": over("documents", extraction.open_questions),
     "manifest_inventory": over("manifest_files", extraction.manifest_inventory),
-    "manifest_dependencies": over("manifest_files", extraction.manifest_dependencies),
     "language_scores": over("documents", lambda docs: evaluation.label_scores(evaluation.script_of(docs))),
     "event_windows_stream": incremental.event_windows,
     "latest_claims_stream": incremental.latest_claims,
@@ -364,7 +363,7 @@ def _pagerank_sql(iterations: int) -> str:
 _SUPPLY = "e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem), both_ways as materialized (select src, dst from e union select dst, src from e)"
 _RE = lambda p: p.replace("'", "''").replace(r"(?<![A-Za-z0-9_])", r"\b").replace(r"(?![A-Za-z0-9_])", r"\b")
 _KIND_SQL = r"""case when f = 'package.json' then 'npm' when f = 'package-lock.json' then 'npm-lock' when f like 'dockerfile%' then 'docker' when f like 'docker-compose%' then 'compose' when f like '.env%' then 'env'
-  when regexp_matches(f, '\.(properties|ini|npmrc|tfvars)$') then 'settings' when regexp_matches(f, '^appsettings.*\.json$') then 'dotnet' when regexp_matches(f, '\.(csproj|xml|config)$') then 'xml' when regexp_matches(f, '\.ya?ml$') then 'yaml'
+  when regexp_matches(f, '\.(properties|ini|npmrc|tfvars)$') then 'settings' when regexp_matches(f, '^appsettings.*\.json$') then 'dotnet' when f = 'pom.xml' then 'maven' when f like '%.csproj' then 'csproj' when f like 'build.gradle%' then 'gradle' when f = 'pyproject.toml' then 'pyproject' when regexp_matches(f, '\.(xml|config)$') then 'xml' when regexp_matches(f, '\.ya?ml$') then 'yaml'
   when f like '%.sh' then 'shell' when f like '%.js' then 'code' when f = 'requirements.txt' then 'pip' else 'other' end"""
 _COMPONENT_SQL = f"""coalesce(list_filter(string_split(relative_path, '/')[1:len(string_split(relative_path, '/')) - 1],
   lambda p: p not in ({", ".join(f"'{g}'" for g in extraction.GENERIC_DIRECTORIES)}) and regexp_matches(p, '^[a-z][a-z-]*$'))[1], 'root')"""
@@ -437,15 +436,15 @@ select {_sql_slug("a")} as source, case when contains(r, 'depend') then 'depends
 with f as (select doc_id, unnest(regexp_extract_all(text, '{extraction.RUNS}', 1)) as host, unnest(regexp_extract_all(text, '{extraction.RUNS}', 2)) as software, unnest(regexp_extract_all(text, '{extraction.RUNS}', 3)) as version,
   unnest(regexp_extract_all(text, '{extraction.RUNS}', 4)) as platform from documents)
 select host, software, version, platform, count(*) as n, count(distinct doc_id) as n_documents from f group by 1, 2, 3, 4""",
-    "requirement_facts": "with f as ("
-    + " union all ".join(f"select doc_id, '{a}' as requirement, trim(unnest(regexp_extract_all(text, '{_RE(p)}', 1))) as value from documents" for a, p in extraction.REQUIREMENTS.items())
+    "requirement_facts": f"with d as (select doc_id, text, regexp_replace(text, '{_RE(extraction.BOTH_TARGETS)}', ' ', 'g') as rest from documents), f as ("
+    + " union all ".join(f"select doc_id, '{a}' as requirement, trim(unnest(regexp_extract_all({t}, '{_RE(p)}', {g}))) as value from d" for a, t, p, g in [("rto", "text", extraction.BOTH_TARGETS, 1), ("rpo", "text", extraction.BOTH_TARGETS, 2), *((a, "rest", p, 1) for a, p in extraction.REQUIREMENTS)])
     + ") select requirement, value, count(*) as n, count(distinct doc_id) as n_documents from f where length(value) >= 2 group by 1, 2",
     "contact_counts": rf"""
 select doc_id, len(regexp_extract_all(text, '{_RE(extraction.EMAIL)}')) as n_email, len(regexp_extract_all(text, '{_RE(extraction.IPV4)}')) as n_ipv4, len(regexp_extract_all(text, '{_RE(extraction.PHONE)}')) as n_phone,
   md5(regexp_replace(regexp_replace(regexp_replace(text, '{_RE(extraction.EMAIL)}', '[REDACTED_EMAIL]', 'g'), '{_RE(extraction.IPV4)}', '[REDACTED_IPV4]', 'g'), '{_RE(extraction.PHONE)}', '[REDACTED_PHONE]', 'g')) as redacted from documents where text is not null""",
     "guarded_texts": rf"""
 with t as (select 'documents' as origin, text from documents union all select 'claims', evidence_quote from claims union all select 'manifest_files', text from manifest_files)
-select origin, count(*) as n, count(*) filter (regexp_matches(text, '(?i){"|".join(f"(?:{p})" for p in extraction.INJECTION)}')) as n_injection, count(*) filter (regexp_matches(text, '(?i){_RE(extraction.CREDENTIAL)}')) as n_credential from t where text is not null group by 1""",
+select origin, count(*) as n, count(*) filter (regexp_matches(text, '(?i){_RE("|".join(f"(?:{p})" for p in extraction.INJECTION))}')) as n_injection, count(*) filter (regexp_matches(text, '(?i){_RE(extraction.CREDENTIAL)}')) as n_credential, count(*) filter (regexp_matches(text, '(?i){_RE(extraction.HARM)}')) as n_harm from t where text is not null group by 1""",
     "token_stats": "with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents where text is not null) select doc_id, len(t) as n_tokens, len(list_distinct(t)) as n_distinct, coalesce(list_max(list_transform(t, lambda x: length(x))), 0) as longest from t",
     "open_questions": r"""
 with q as (select doc_id, unnest(regexp_extract_all(text, '[^.!?
@@ -454,11 +453,6 @@ select key, min(doc_id) as first_doc, count(*) as n from k where length(key) >=
     "manifest_inventory": f"""
 with m as (select *, lower(split_part(relative_path, '/', -1)) as f from manifest_files)
 select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files, sum(n_bytes)::bigint as n_bytes from m group by 1, 2""",
-    "manifest_dependencies": "with f as ("
-    + " union all ".join(
-        f"select file_id, {_COMPONENT_SQL} as component, '{a}' as source, unnest(regexp_extract_all(text, '{_RE(p)}', 1)) as name, unnest(regexp_extract_all(text, '{_RE(p)}', 2)) as version from manifest_files" for a, p in extraction.DEPENDENCY_FORMS.items()
-    )
-    + ") select component, source, name, version, count(distinct file_id) as n_files from f group by 1, 2, 3, 4",
     "gap_signals": "with f as ("
     + " union all ".join(f"select doc_id, '{a}' as signal from documents where regexp_matches(lower(text), '{p}')" for a, p in extraction.GAP_SIGNALS.items())
     + ") select signal, count(*) as n_documents, min(doc_id) as first_doc from f group by 1",
@@ -586,7 +580,7 @@ select attribute, count(*) as n, count(*) filter (len(list_filter([raw, raw[:40]
 with c as (select distinct on (claim_id) * from claims), r as (select claim_id, unnest(evidence_refs) as chunk_id from c)
 select claim_id, min(try_cast(regexp_extract(chunk_id, '-c(\d+)$', 1) as int)) as first_chunk, max(try_cast(regexp_extract(chunk_id, '-c(\d+)$', 1) as int)) as last_chunk, count(distinct chunk_id) as n_chunks from r group by 1""",
     "facts_by_document_kind": """
-select doc_type, count(distinct claim_id) as n_claims, count(distinct source_document_id) as n_documents from claims join source_documents on source_document_id = document_id where doc_type in ('inventory', 'code_snapshot') group by 1""",
+select doc_type, count(distinct claim_id) as n_claims, count(distinct source_document_id) as n_documents from claims join source_documents on source_document_id = document_id where doc_type in ('inventory', 'code_snapshot', 'questionnaire') group by 1""",
     "ranked_documents": """
 with p as (select assessment_id, source_document_id, count(distinct claim_id) as n from claims where source_document_id is not null group by 1, 2),
 r as (select *, row_number() over (partition by assessment_id order by n desc, source_document_id desc) - 1 as place from p)

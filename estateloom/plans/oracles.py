@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from estateloom.plans import estate_queries
+from estateloom.plans import estate_queries, fact_queries
 
 _W = r"E' \t\n\r'"
 _FIELD = {sep: rf'(?:"(?:[^"]|"")*"|[^"{sep}]*)' for sep in (",", ";", r"\t")}
@@ -85,4 +85,5 @@ n as (select feed_id, col as "column", case when t = 'BOOLEAN' then 'boolean' wh
         count(*) as n_rows from t where t <> 'NULL' group by 1, 2, 3)
 select *, first_seq > min(first_seq) over (partition by feed_id, "column") as appeared_later from n""",
     **estate_queries.ORACLES,
+    **fact_queries.ORACLES,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estateloom.plans import estate_queries
+from estateloom.plans import estate_queries, fact_queries
 from estateloom.operators import parse_recovery, schema_drift, wide_entities
 from estateloom.session import read_table
 
@@ -27,4 +27,5 @@ QUERIES: dict[str, Query] = {
     "p6_found": lambda s, d: wide_entities.cells(wide_entities.wide_entities(read_table(s, d, "claims"))),
     "p6_wide": lambda s, d: wide_entities.wide_entities(read_table(s, d, "claims")),
     **estate_queries.QUERIES,
+    **fact_queries.QUERIES,
 }

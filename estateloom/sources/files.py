@@ -29,6 +29,35 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 Row = tuple[str, int, list[str]]
 
 
+def read_delimited(spark: SparkSession, path: str, schema: str, separator: str = ",") -> DataFrame:
+    """Delimited text with a header by Spark's own reader: quoted line feeds are kept, cells stripped, and a record that does not fit
+    the schema is kept whole in ``_gap`` (null for the others)."""
+    reader = spark.read.schema(f"{schema}, _gap string").option("header", True).option("sep", separator).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_gap")
+    return reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("encoding", "UTF-8").csv(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON records, one a line or as lists, by Spark's own reader; what is no record is kept in ``_gap``."""
+    return spark.read.schema(f"{schema}, _gap string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_gap").json(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): every text file below a folder as one row."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def dispatched(spark: SparkSession, path: str) -> DataFrame:
+    """(path, format, n_bytes): files below a folder by the reader that is due to them: by what their first bytes say, else by their ending."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    magic, name = F.hex(F.substring("content", 1, 4)), F.lower("path")
+    ending = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
+    kind = (
+        F.when(magic == "D0CF11E0", "old office").when(magic == "25504446", "pdf").when((magic == "504B0304") & ending.isin("xlsx", "docx"), ending).when(magic == "504B0304", "archive")
+        .when(ending.isin("csv", "tsv"), "delimited").when(ending.isin("json", "jsonl"), "records").otherwise("text")
+    )
+    return files.select("path", kind.alias("format"), F.col("length").alias("n_bytes"))
+
+
 def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, content) of every file under ``path``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
@@ -211,6 +240,6 @@ def grid(files: DataFrame) -> DataFrame:
     return unfolded(files).mapInArrow(batches, "path string, sheet string, row_no int, cells array<string>, gap string")
 
 
-def capped(rows: DataFrame, most: int) -> DataFrame:
-    """Rows beyond ``most`` of a sheet marked instead of read on; the cap is a parameter of the caller."""
-    return rows.withColumn("beyond", F.col("row_no") >= most)
+def gaps_beyond(rows: DataFrame, group: str, number: str, most: int) -> DataFrame:
+    """(group, n_rows, n_beyond): rows of each file or sheet, and those past the limit that a reader with a cap would not give; nothing is dropped."""
+    return rows.groupBy(group).agg(F.count("*").alias("n_rows"), F.count_if(F.col(number) > most).alias("n_beyond")).where("n_beyond > 0")
