@@ -228,9 +228,17 @@ _CUE_HEADS = tuple({c.split()[0] for c in _CUES_BEFORE})
 _TITLE = re.compile(r"(?i)(?<![\w.@-])(?P<title>" + "|".join(sorted(map(re.escape, _TITLES - {"don", "fr", "sir"}), key=len, reverse=True)) + r"|Fr)\.?\s+(?=[^\W\d_])")
 #: words that are capitalised beside a cue but name no person
 _KNOWN: dict[str, set[str]] = {
-    "words": set(
-        "team ops the this that who what when where it its operations support desk service helpdesk wintel fleet network data platform finance payments cab vendor admin it-service nobody someone everyone him her them us me dba may june july september october november december january february march april august monday tuesday wednesday thursday friday saturday sunday nord süd row export runbook workshop sheet confirmed according stand prüfung server cluster gateway front end rack group wave phase port ports mail tel phone mobile fax email lead leads office site hall annex colo vale dc datacenter centre center legacy patch build serial ticket product licence license asset backup winter-freeze betrieb durch old new file files note notes line see name id column po mac cidr eol fsmo roles unknown none yes no see pending prod test dev uat gib mib tib ansprechpartner contact kontakt owner".split()
-    )
+    "words": {
+        "team", "ops", "the", "this", "that", "who", "what", "when", "where", "it", "its", "operations", "support", "desk", "service", "helpdesk", "wintel",
+        "fleet", "network", "data", "platform", "finance", "payments", "cab", "vendor", "admin", "it-service", "nobody", "someone", "everyone", "him", "her",
+        "them", "us", "me", "dba", "may", "june", "july", "september", "october", "november", "december", "january", "february", "march", "april", "august",
+        "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "nord", "süd", "row", "export", "runbook", "workshop", "sheet",
+        "confirmed", "according", "stand", "prüfung", "server", "cluster", "gateway", "front", "end", "rack", "group", "wave", "phase", "port", "ports",
+        "mail", "tel", "phone", "mobile", "fax", "email", "lead", "leads", "office", "site", "hall", "annex", "colo", "vale", "dc", "datacenter", "centre",
+        "center", "legacy", "patch", "build", "serial", "ticket", "product", "licence", "license", "asset", "backup", "winter-freeze", "betrieb", "durch",
+        "old", "new", "file", "files", "note", "notes", "line", "see", "name", "id", "column", "po", "mac", "cidr", "eol", "fsmo", "roles", "unknown", "none",
+        "yes", "no", "pending", "prod", "test", "dev", "uat", "gib", "mib", "tib", "ansprechpartner", "contact", "kontakt", "owner",
+    }
 }
 
 
