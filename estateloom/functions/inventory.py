@@ -10,19 +10,22 @@ from estateloom.functions.typed_text import let
 
 # Header spellings, in snake case, of each inventory field.
 COLUMN_ALIASES = {
-    "server": "server hostname host host_name server_name vm vm_name instance instance_id instance_name machine machine_name computer_name node node_name device device_name fqdn name",
-    "vcpus": "vcpus vcpu cpu_cores cores cpu cpu_count processors num_cpus",
-    "memory_gb": "memory_gb memory ram_gb ram mem mem_gb memory_mb ram_mb",
-    "cpu_utilization_pct": "cpu_utilization_pct cpu_utilization avg_cpu_pct cpu_pct cpu_usage cpu_usage_pct",
-    "memory_utilization_pct": "memory_utilization_pct memory_utilization avg_memory_pct memory_pct mem_utilization memory_usage_pct",
-    "disk_gb": "disk_gb storage_gb disk_capacity_gb storage disk disk_size disk_size_gb capacity_gb",
-    "disk_iops": "disk_iops iops provisioned_iops",
-    "disk_throughput_mbps": "disk_throughput_mbps throughput_mbps disk_throughput throughput",
-    "os": "os operating_system os_name platform os_version",
-    "environment": "environment env stage tier_env",
-    "region": "region location datacenter data_center az availability_zone",
-    "architecture": "architecture arch cpu_architecture isa",
-}
+    "server": [
+        "server", "hostname", "host", "host_name", "server_name", "vm", "vm_name", "instance", "instance_id", "instance_name", "machine",
+        "machine_name", "computer_name", "node", "node_name", "device", "device_name", "fqdn", "name",
+    ],
+    "vcpus": ["vcpus", "vcpu", "cpu_cores", "cores", "cpu", "cpu_count", "processors", "num_cpus"],
+    "memory_gb": ["memory_gb", "memory", "ram_gb", "ram", "mem", "mem_gb", "memory_mb", "ram_mb"],
+    "cpu_utilization_pct": ["cpu_utilization_pct", "cpu_utilization", "avg_cpu_pct", "cpu_pct", "cpu_usage", "cpu_usage_pct"],
+    "memory_utilization_pct": ["memory_utilization_pct", "memory_utilization", "avg_memory_pct", "memory_pct", "mem_utilization", "memory_usage_pct"],
+    "disk_gb": ["disk_gb", "storage_gb", "disk_capacity_gb", "storage", "disk", "disk_size", "disk_size_gb", "capacity_gb"],
+    "disk_iops": ["disk_iops", "iops", "provisioned_iops"],
+    "disk_throughput_mbps": ["disk_throughput_mbps", "throughput_mbps", "disk_throughput", "throughput"],
+    "os": ["os", "operating_system", "os_name", "platform", "os_version"],
+    "environment": ["environment", "env", "stage", "tier_env"],
+    "region": ["region", "location", "datacenter", "data_center", "az", "availability_zone"],
+    "architecture": ["architecture", "arch", "cpu_architecture", "isa"],
+}
 # Fields that hold a measurement, and their plausible ranges.
 BOUNDS = {
     "vcpus": (1.0, 1024.0),
@@ -42,26 +45,30 @@ ATTRIBUTE_SYNONYMS = {
     "app_tier": "tier", "business_owner": "owner", "team": "owner",
 }
 # Keys that name no entity.
-GENERIC_KEYS = (
-    "unknown none null n-a na not-applicable tbd tba not-specified not-documented not-available other misc various multiple application applications the-application the-app service services "
-    "the-service system systems the-system server servers the-server database databases the-database interface interfaces integration integrations platform the-platform"
-).split()
+GENERIC_KEYS = [
+    "unknown", "none", "null", "n-a", "na", "not-applicable", "tbd", "tba", "not-specified", "not-documented", "not-available", "other", "misc",
+    "various", "multiple", "application", "applications", "the-application", "the-app", "service", "services", "the-service", "system", "systems", "the-system", "server", "servers", "the-server", "database", "databases", "the-database", "interface", "interfaces", "integration", "integrations",
+    "platform", "the-platform",
+]
 # Spellings of the entity types.
 TYPE_SYNONYMS = {
-    "application": "application applications app apps service services microservice system web-app webapp component workload business-application",
-    "server": "server servers host hosts vm vms virtual-machine instance node machine compute hostname",
-    "database": "database databases db dbs datastore data-store schema",
-    "interface": "interface interfaces integration endpoint api api-endpoint queue topic message-queue feed",
-    "business": "business requirement requirements nfr non-functional-requirement compliance constraint",
-}
+    "application": [
+        "application", "applications", "app", "apps", "service", "services", "microservice", "system", "web-app", "webapp", "component", "workload",
+        "business-application",
+    ],
+    "server": ["server", "servers", "host", "hosts", "vm", "vms", "virtual-machine", "instance", "node", "machine", "compute", "hostname"],
+    "database": ["database", "databases", "db", "dbs", "datastore", "data-store", "schema"],
+    "interface": ["interface", "interfaces", "integration", "endpoint", "api", "api-endpoint", "queue", "topic", "message-queue", "feed"],
+    "business": ["business", "requirement", "requirements", "nfr", "non-functional-requirement", "compliance", "constraint"],
+}
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
-def inverted(table: dict[str, str]) -> dict[str, str]:
-    return {alias: name for name, aliases in table.items() for alias in aliases.split()}
+def inverted(table: dict[str, list[str]]) -> dict[str, str]:
+    return {alias: name for name, aliases in table.items() for alias in aliases}
 
 
 def snake(c: Column | str) -> Column:

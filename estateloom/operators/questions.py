@@ -10,10 +10,11 @@ from estateloom.functions.skew import salted_join
 from estateloom.operators import extraction, retrieval
 
 # Words too common to show what a passage is about.
-NOISE = (
-    "the and for with from are is was what which who how does that this any all into must should will can not migration migrate service services application applications system systems "
-    "use used uses using current requirements requirement"
-).split()
+NOISE = [
+    "the", "and", "for", "with", "from", "are", "is", "was", "what", "which", "who", "how", "does", "that", "this", "any", "all", "into", "must",
+    "should", "will", "can", "not", "migration", "migrate", "service", "services", "application", "applications", "system", "systems", "use", "used",
+    "uses", "using", "current", "requirements", "requirement",
+]
 
 
 def terms(text: Column) -> Column:

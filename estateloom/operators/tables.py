@@ -23,7 +23,7 @@ def pipe_tables(documents: DataFrame) -> DataFrame:
     cells = F.transform(lines, lambda x: F.transform(F.split(x, r"\|"), lambda c: F.trim(c)))
     t = documents.where("text like '%|%'").select("doc_id", F.posexplode(runs).alias("table_no", "run")).select("doc_id", "table_no", cells.alias("cells"))
     ruled = (F.size("cells") >= 2) & F.forall(F.get("cells", F.lit(1)), lambda c: c.rlike("^:?-+:?$"))
-    return t.where(ruled).select("doc_id", "table_no", F.get("cells", F.lit(0)).alias("header"), F.slice("cells", 3, 1_000_000).alias("rows"))
+    return t.where(ruled).select("doc_id", "table_no", F.get("cells", F.lit(0)).alias("header"), F.slice("cells", F.lit(3), F.size("cells")).alias("rows"))
 
 
 def table_shapes(tables: DataFrame) -> DataFrame:
@@ -81,6 +81,7 @@ def filled_headers(tables: DataFrame) -> DataFrame:
     return tables.select("doc_id", "table_no", F.posexplode(filled).alias("col_no", "label"))
 
 
+# How total rows start.
 _TOTAL = r"(?i)^\s*((grand\s+)?(sub[\s-]?)?totals?\b.*|(sum|overall)\s*)$"
 
 
@@ -119,7 +120,7 @@ def row_groups(tables: DataFrame, most_rows: int = 20, budget: int = 600) -> Dat
 def segments(documents: DataFrame) -> DataFrame:
     """(doc_id, segment_no, kind, n_chars): tables and the prose around them in document order; blank prose is left out."""
     marked = F.regexp_replace(F.concat("text", F.lit("\n")), r"((?:(?<=\n)|^)(?:[ \t]*\|[^\n]*\n)++)", "\u0001T$1\u0001P")
-    parts = F.transform(F.split(F.concat(F.lit("P"), marked), "\u0001"), lambda p: F.struct(F.when(F.left(p, F.lit(1)) == "T", "table").otherwise("prose").alias("kind"), F.trim(F.regexp_replace(F.substring(p, 2, 1_000_000_000), r"^\s+|\s+$", "")).alias("body")))
+    parts = F.transform(F.split(F.concat(F.lit("P"), marked), "\u0001"), lambda p: F.struct(F.when(F.left(p, F.lit(1)) == "T", "table").otherwise("prose").alias("kind"), F.trim(F.regexp_replace(F.substring(p, F.lit(2), F.length(p)), r"^\s+|\s+$", "")).alias("body")))
     kept = F.filter(parts, lambda p: p["body"] != "")
     rows = F.transform(kept, lambda p, i: F.struct(i.cast("int").alias("segment_no"), p["kind"].alias("kind"), F.length(p["body"]).alias("n_chars")))
     return documents.where("text is not null").select("doc_id", F.inline(rows))

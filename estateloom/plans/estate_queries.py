@@ -239,7 +239,7 @@ QUERIES: dict[str, Query] = {
     "answer_passages": over("documents", lambda docs: questions.passages(docs, _every_hundredth(docs))),
     "overlapped_chunks": over("documents", chunking.overlapped_chunks),
     "plain_documents": over("documents", lambda docs: docs.where("text is not null").select("doc_id", F.md5(chunking.plain_text("text")).alias("plain"), F.length(chunking.plain_text("text")).alias("n_chars"))),
-    "cleaned_tables": _tables(lambda t: tables.cleaned_tables(t).select("doc_id", "table_no", F.size("rows").alias("n_rows"), "n_totals", "n_repeats", "n_notes")),
+    "cleaned_tables": _tables(lambda t: tables.cleaned_tables(t).select("doc_id", "table_no", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"), "n_totals", "n_repeats", "n_notes")),
     "row_groups": _tables(tables.row_groups),
     "assessment_reports": over("claims", sinks.assessment_reports),
     "nearest_vectors": over("embeddings", _vectors),
@@ -453,6 +453,17 @@ select key, min(doc_id) as first_doc, count(*) as n from k where length(key) >=
     "manifest_inventory": f"""
 with m as (select *, lower(split_part(relative_path, '/', -1)) as f from manifest_files)
 select {_KIND_SQL} as kind, {_COMPONENT_SQL} as component, count(*) as n_files, sum(n_bytes)::bigint as n_bytes from m group by 1, 2""",
+    "cleaned_tables": rf"""
+with {_TABLES_SQL}, n as (select *, list_transform(header, lambda c: regexp_replace(lower(c), '[^a-z0-9]+', '', 'g')) as nh from tabs),
+m as (select *, list_transform(rows, lambda r: struct_pack(r := r, rep := list_transform(r, lambda c: regexp_replace(lower(c), '[^a-z0-9]+', '', 'g')) = nh, f := coalesce(list_filter(r, lambda c: c <> '')[1], ''), k := len(list_filter(r, lambda c: c <> '')))) as x from n),
+t as (select *, list_transform(x, lambda y: struct_pack(r := y.r, rep := y.rep, tot := not y.rep and regexp_matches(y.f, '{_RE(tables._TOTAL)}'), note := y.k = 1 and len(regexp_split_to_array(y.f, '\s+')) >= 4 and try_cast(regexp_replace(replace(trim(y.f), ',', ''), '%$', '') as double) is null)) as z from m),
+b as (select doc_id, table_no, z, list_filter(z, lambda y: not y.rep and not y.tot) as body from t),
+l as (select *, coalesce(list_max(list_transform(range(1, len(body) + 1), lambda i: case when body[i].note then 0 else i end)), 0) as last from b)
+select doc_id, table_no, array_to_string(list_transform(body[1:last], lambda y: array_to_string(y.r, '|')), chr(10)) as rows, len(list_filter(z, lambda y: y.tot)) as n_totals, len(list_filter(z, lambda y: y.rep)) as n_repeats, len(body) - last as n_notes from l""",
+    "segments": r"""
+with m as (select doc_id, 'P' || regexp_replace(chr(10) || text || chr(10), '\n((?:[ \t]*\|[^\n]*\n)+)', chr(10) || chr(1) || 'T\1' || chr(1) || 'P' || chr(10), 'g') as t from documents where text is not null),
+s as (select doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda p: struct_pack(kind := case when p[1] = 'T' then 'table' else 'prose' end, body := regexp_replace(p[2:], '^\s+|\s+$', '', 'g'))), lambda p: p.body <> '') as p from m)
+select doc_id, generate_subscripts(p, 1) - 1 as segment_no, (unnest(p)).kind as kind, length((unnest(p)).body) as n_chars from s""",
     "gap_signals": "with f as ("
     + " union all ".join(f"select doc_id, '{a}' as signal from documents where regexp_matches(lower(text), '{p}')" for a, p in extraction.GAP_SIGNALS.items())
     + ") select signal, count(*) as n_documents, min(doc_id) as first_doc from f group by 1",
@@ -543,6 +554,11 @@ from s group by 1, 2, 3""",
 select strftime(ts, '%Y-%m-%d') as run, event_type as stage, count(*) as calls, cast(sum(cast(value as decimal(18,2))) as double) as total, bool_or(event_type = 'error') as has_error
 from events group by grouping sets ((run), (stage), ())""",
     "usage_counters": "select strftime(ts, '%Y-%m') as run, event_type as stage, user_id, cast(json_extract_string(props, '$.k') as int) as k, count(*) as calls, round(sum(value), 2) as total from events group by all",
+    "assessment_reports": """
+with c as (select distinct on (claim_id) *, replace(replace(lower(attribute), ' ', '_'), '-', '_') as a from claims),
+p as (select assessment_id, entity_type, a, count(*) as n, count(*) filter (is_selected) as s from c group by 1, 2, 3),
+t as (select assessment_id, entity_type, sum(n)::bigint as n, list(struct_pack(attribute := a, n := n, selected := s) order by a) as attributes from p group by 1, 2)
+select assessment_id, to_json(struct_pack(n_claims := sum(n)::bigint, types := list(struct_pack(entity_type := entity_type, n := n, attributes := attributes) order by entity_type)))::varchar as report from t group by 1""",
     "report_metrics": """
 with c as (select distinct on (claim_id) * from claims), x as (select *, len(evidence_refs) > 0 and trim(coalesce(evidence_quote, '')) <> '' as cited from c)
 select assessment_id, count(*) as n_claims, count(*) filter (cited) as n_cited, round(count(*) filter (cited) * 100.0 / count(*), 1) as cited_pct, count(*) filter (unsupported) as n_unsupported,
