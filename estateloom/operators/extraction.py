@@ -28,7 +28,7 @@ INJECTION = [
     r"//\s*(?:ai|llm|assistant)\s*[:,]\s*ignore",
     r'"description"\s*:\s*"[^"]*ignore\s+(?:previous|prior|above)\s+instructions',
 ]
-HARM = r"\b(?:how\s+to\s+(?:make|build)\s+a\s+bomb|kill\s+all)\b|\b(?:suicide\s+methods?|how\s+to\s+harm\s+myself)\b"
+HARM = {"violence": r"\b(?:how\s+to\s+(?:make|build)\s+a\s+bomb|kill\s+all)\b", "self_harm": r"\b(?:suicide\s+methods?|how\s+to\s+harm\s+myself)\b"}
 CREDENTIAL = r"\b(?:password|api[_-]?key|secret[_-]?key|private[_-]?key|connectionstring)\b.{0,40}(?:['\"][^'\"]{8,}['\"]|[:=]\s*\S{8,})"
 NAME = r"[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)?"
 RELATION = rf"({NAME}) (depends on|calls|integrates with|talks to) ({NAME})"
@@ -87,9 +87,15 @@ def contact_counts(documents: DataFrame) -> DataFrame:
 
 
 def guarded(texts: DataFrame) -> DataFrame:
-    """(origin, n, n_injection, n_credential, n_harm) over (origin, text): what a gate in front of a model would see."""
+    """(origin, n, n_injection, n_credential) over (origin, text): what a gate in front of a model would see."""
     injected = F.exists(F.array(*(F.lit(f"(?i){p}") for p in INJECTION)), lambda p: F.regexp_like("text", p))
-    return texts.where("text is not null").groupBy("origin").agg(F.count("*").alias("n"), F.count_if(injected).alias("n_injection"), F.count_if(F.col("text").rlike(f"(?i){CREDENTIAL}")).alias("n_credential"), F.count_if(F.col("text").rlike(f"(?i){HARM}")).alias("n_harm"))
+    return texts.where("text is not null").groupBy("origin").agg(F.count("*").alias("n"), F.count_if(injected).alias("n_injection"), F.count_if(F.col("text").rlike(f"(?i){CREDENTIAL}")).alias("n_credential"))
+
+
+def harmful(texts: DataFrame) -> DataFrame:
+    """(origin, category, n) over (origin, text): texts that speak of harm to others or to oneself, by category; categories without one count 0."""
+    counts = texts.where("text is not null").groupBy("origin").agg(*(F.count_if(F.col("text").rlike(f"(?i){p}")).alias(c) for c, p in HARM.items()))
+    return counts.select("origin", F.inline(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("n")) for c in HARM))))
 
 
 def token_stats(documents: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def bm25(
     """(query_id, doc_id, score, place): Okapi BM25 of each query's distinct words (``counted``: each as often as it occurs); scores above 0.
 
     ``queries`` has query_id and text. Documents are cut into words once, into a table of postings that can be given as
-    ``index``; those of asked words meet the queries in tiles. Negative inverse frequencies become ``epsilon`` times the mean.
+    ``index``; those of asked words meet the queries in tiles, where words are 64-bit hashes. Negative inverse frequencies become ``epsilon`` times the mean.
     """
     index = written(postings(documents, words)) if index is None else index
     n = documents.count()
@@ -134,23 +134,23 @@ def bm25(
     mean, total = idf.agg(F.avg("idf"), F.sum("occurrences")).first()
     mean, avgdl = mean or 0.0, max((total or 0) / max(n, 1), 1e-9)
     asked = queries.select("query_id", F.explode(tokens("text", words) if counted else F.array_distinct(tokens("text", words))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    wanted = asked.join(idf.select("word", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")).alias("idf")), "word").select("query_id", "word", (F.col("idf") * F.col("times")).alias("gain"))
+    wanted = asked.join(idf.select("word", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")).alias("idf")), "word").select("query_id", "word", F.xxhash64("word").alias("wid"), (F.col("idf") * F.col("times")).alias("gain"))
     wanted = written(wanted)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    needed = index.join(wanted.select("word").distinct(), "word", "left_semi").select("doc_id", "word", weight.alias("weight"))
+    needed = index.join(wanted.select("word").distinct(), "word", "left_semi").select("doc_id", F.xxhash64("word").alias("wid"), weight.alias("weight"))
     query_type, doc_type = dict(wanted.dtypes)["query_id"], dict(needed.dtypes)["doc_id"]
 
     def best(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "doc_id": [], "score": []}
         if len(found) and len(asked):
             ids, at = np.unique(found["doc_id"].to_numpy(), return_inverse=True)
-            order = np.argsort(found["word"].to_numpy(), kind="stable")
-            names, first = np.unique(found["word"].to_numpy()[order], return_index=True)
-            spans = {w: order[i:j] for w, i, j in zip(names, first, [*first[1:], len(order)], strict=True)}
+            order = np.argsort(found["wid"].to_numpy(), kind="stable")
+            names, first = np.unique(found["wid"].to_numpy()[order], return_index=True)
+            spans = {w: order[i:j] for w, i, j in zip(names.tolist(), first, [*first[1:], len(order)], strict=True)}
             weights = found["weight"].to_numpy()
             for query, rows in asked.groupby("query_id", sort=False):
                 scores = np.zeros(len(ids))
-                for w, gain in zip(rows["word"], rows["gain"], strict=True):
+                for w, gain in zip(rows["wid"].tolist(), rows["gain"].tolist(), strict=True):
                     if (span := spans.get(w)) is not None:
                         scores[at[span]] += gain * weights[span]  # a document has a word once
                 scores = np.round(scores, 4)
@@ -162,7 +162,7 @@ def bm25(
         return pd.DataFrame(out).astype({"score": "float64"})
 
     n_queries = wanted.select("query_id").distinct().count()
-    hits = in_tiles(needed, wanted, "doc_id", "query_id", n, n_queries, best, f"query_id {query_type}, doc_id {doc_type}, score double", bucket=20_000, block=1000)
+    hits = in_tiles(needed, wanted.select("query_id", "wid", "gain"), "doc_id", "query_id", n, n_queries, best, f"query_id {query_type}, doc_id {doc_type}, score double", bucket=5000, block=1000)
     return _ranked(hits, k, "query_id", "doc_id")
 
 

@@ -150,9 +150,9 @@ def _colocated(claims: DataFrame) -> DataFrame:
     return graph.colocation(dc.select(place.alias("place"), host_slug("entity_key").alias("member")))
 
 
-def _gates(documents: DataFrame, claims: DataFrame, files: DataFrame) -> DataFrame:
+def _by_origin(documents: DataFrame, claims: DataFrame, files: DataFrame) -> DataFrame:
     part = lambda df, origin, c: df.select(F.lit(origin).alias("origin"), F.col(c).alias("text"))
-    return extraction.guarded(part(documents, "documents", "text").unionByName(part(claims, "claims", "evidence_quote")).unionByName(part(files, "manifest_files", "text")))
+    return part(documents, "documents", "text").unionByName(part(claims, "claims", "evidence_quote")).unionByName(part(files, "manifest_files", "text"))
 
 
 def _keywords(documents: DataFrame, claims: DataFrame) -> DataFrame:
@@ -257,7 +257,8 @@ QUERIES: dict[str, Query] = {
     "runtime_facts": over("documents", extraction.runtime_facts),
     "requirement_facts": over("documents", extraction.requirement_facts),
     "contact_counts": over("documents", extraction.contact_counts),
-    "guarded_texts": lambda s, d: _gates(read_table(s, d, "documents"), read_table(s, d, "claims"), read_table(s, d, "manifest_files")),
+    "guarded_texts": lambda s, d: extraction.guarded(_by_origin(read_table(s, d, "documents"), read_table(s, d, "claims"), read_table(s, d, "manifest_files"))),
+    "harmful_texts": lambda s, d: extraction.harmful(_by_origin(read_table(s, d, "documents"), read_table(s, d, "claims"), read_table(s, d, "manifest_files"))),
     "token_stats": over("documents", extraction.token_stats),
     "open_questions": over("documents", extraction.open_questions),
     "manifest_inventory": over("manifest_files", extraction.manifest_inventory),
@@ -444,7 +445,9 @@ select doc_id, len(regexp_extract_all(text, '{_RE(extraction.EMAIL)}')) as n_ema
   md5(regexp_replace(regexp_replace(regexp_replace(text, '{_RE(extraction.EMAIL)}', '[REDACTED_EMAIL]', 'g'), '{_RE(extraction.IPV4)}', '[REDACTED_IPV4]', 'g'), '{_RE(extraction.PHONE)}', '[REDACTED_PHONE]', 'g')) as redacted from documents where text is not null""",
     "guarded_texts": rf"""
 with t as (select 'documents' as origin, text from documents union all select 'claims', evidence_quote from claims union all select 'manifest_files', text from manifest_files)
-select origin, count(*) as n, count(*) filter (regexp_matches(text, '(?i){_RE("|".join(f"(?:{p})" for p in extraction.INJECTION))}')) as n_injection, count(*) filter (regexp_matches(text, '(?i){_RE(extraction.CREDENTIAL)}')) as n_credential, count(*) filter (regexp_matches(text, '(?i){_RE(extraction.HARM)}')) as n_harm from t where text is not null group by 1""",
+select origin, count(*) as n, count(*) filter (regexp_matches(text, '(?i){_RE("|".join(f"(?:{p})" for p in extraction.INJECTION))}')) as n_injection, count(*) filter (regexp_matches(text, '(?i){_RE(extraction.CREDENTIAL)}')) as n_credential from t where text is not null group by 1""",
+    "harmful_texts": "with t as (select 'documents' as origin, text from documents union all select 'claims', evidence_quote from claims union all select 'manifest_files', text from manifest_files) "
+    + " union all ".join(f"select origin, '{c}' as category, count(*) filter (regexp_matches(text, '(?i){_RE(p)}')) as n from t where text is not null group by 1" for c, p in extraction.HARM.items()),
     "token_stats": "with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents where text is not null) select doc_id, len(t) as n_tokens, len(list_distinct(t)) as n_distinct, coalesce(list_max(list_transform(t, lambda x: length(x))), 0) as longest from t",
     "open_questions": r"""
 with q as (select doc_id, unnest(regexp_extract_all(text, '[^.!?

@@ -177,3 +177,8 @@ def test_readers_keep_what_does_not_fit(spark, tmp_path):
     assert kinds == {"a.csv": "delimited", "b.json": "records"}
     lines = spark.createDataFrame([("f", i) for i in range(1, 6)] + [("g", 1)], "file_id string, line_no int")
     assert [tuple(r) for r in files.gaps_beyond(lines, "file_id", "line_no", 3).collect()] == [("f", 5, 2)]
+
+
+def test_harm_by_category(spark):
+    df = spark.createDataFrame([("a", "how to build a  bomb"), ("a", "KILL ALL sessions"), ("a", "skill allowed"), ("b", "suicide method"), ("c", None)], "origin string, text string")
+    assert {tuple(r) for r in extraction.harmful(df).collect()} == {("a", "violence", 2), ("a", "self_harm", 0), ("b", "violence", 0), ("b", "self_harm", 1)}
