@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from estateloom.functions.keys import attribute_key, entity_key, is_blank, says_something, strip
-from estateloom.functions.skew import salted_join
-from estateloom.session import checkpointed
+from estateloom.functions.skew import fitted_join, salted_join
+from estateloom.session import written
 
 GROUP = ["assessment_id", "entity_type", "entity_key", "attribute"]
 
@@ -59,17 +59,20 @@ def beatpaths(learned: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, fact, votes): of every fact reachable from the facts of ``starts`` (fact) the strength of the strongest chain to it.
 
     Breadth first: a round carries on only chains that the round before made stronger, so it ends after as many rounds as the
-    longest strongest chain has links. Chains are kept per starting fact, not per group, and checkpointed each round.
+    longest strongest chain has links. Chains are kept per starting fact, not per group; a round is one aggregate of what is
+    known and what is reached, written to the shared folder.
     """
-    links = checkpointed(learned)
-    found = frontier = checkpointed(links.join(starts.select(F.col("fact").alias("earlier")).distinct(), "earlier", "left_semi").select(F.col("earlier").alias("start"), F.col("later").alias("fact"), "votes"))
-    while not frontier.isEmpty():
-        onward = salted_join(frontier.withColumnRenamed("fact", "earlier").withColumnRenamed("votes", "so_far"), links, ["earlier"], ["start"], "inner")
-        reached = onward.groupBy("start", F.col("later").alias("fact")).agg(F.max(F.least("so_far", "votes")).alias("votes")).where("start <> fact")
-        known = found.select("start", "fact", F.col("votes").alias("known"))
-        frontier = checkpointed(reached.join(known, ["start", "fact"], "left").where("known is null or votes > known").drop("known"))
-        found = checkpointed(found.unionByName(frontier).groupBy("start", "fact").agg(F.max("votes").alias("votes")))
-    return found
+    links = written(learned)
+    begun = links.join(starts.select(F.col("fact").alias("earlier")).distinct(), "earlier", "left_semi")
+    state = written(begun.select(F.col("earlier").alias("start"), F.col("later").alias("fact"), "votes", F.lit(True).alias("grew")))
+    while not state.where("grew").isEmpty():
+        frontier = state.where("grew").select("start", F.col("fact").alias("earlier"), F.col("votes").alias("so_far"))
+        onward = fitted_join(frontier, links, ["earlier"], ["start"], "inner").where("start <> later")
+        reached = onward.select("start", F.col("later").alias("fact"), F.least("so_far", "votes").alias("votes"), F.lit(None).cast("bigint").alias("known"))
+        both = state.select("start", "fact", "votes", F.col("votes").alias("known")).unionByName(reached)
+        merged = both.groupBy("start", "fact").agg(F.max("votes").alias("votes"), F.max("known").alias("known"))
+        state = written(merged.select("start", "fact", "votes", (F.coalesce("known", F.lit(0)) < F.col("votes")).alias("grew")))
+    return state.select("start", "fact", "votes")
 
 
 def value_order(paths: DataFrame) -> DataFrame:
@@ -100,11 +103,11 @@ def with_currency(ranked: DataFrame, keyed: DataFrame, usable: list[str]) -> Dat
     """
     if keyed.where("extracted_at is null").isEmpty():
         return ranked.select("*", *(F.lit(1).alias(f"currency_{u}") for u in usable))
-    members = {u: checkpointed(_members(ranked, u)) for u in usable}
+    members = {u: written(_members(ranked, u)) for u in usable}
     starts = members[usable[0]].select("fact")
     for u in usable[1:]:
         starts = starts.union(members[u].select("fact"))
-    order = checkpointed(value_order(beatpaths(learned_precedence(keyed), starts.distinct())).select("fact", "later"))
+    order = written(value_order(beatpaths(learned_precedence(keyed), starts.distinct())).select("fact", "later"))
     marked = ranked.withColumn("timed", F.col("at").isNotNull()).withColumn("said", F.when(F.col("at").isNotNull(), F.lit(0)).otherwise(F.col("fact")))
     for u in usable:
         after = salted_join(members[u], order, ["fact"], ["grp"], "inner")
