@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from estateloom.functions.keys import attribute_key, entity_key, is_blank, says_something, strip
 from estateloom.functions.skew import fitted_join, salted_join
-from estateloom.session import written
+from estateloom.session import discard, written
 
 GROUP = ["assessment_id", "entity_type", "entity_key", "attribute"]
 
@@ -60,7 +60,7 @@ def beatpaths(learned: DataFrame, starts: DataFrame) -> DataFrame:
 
     Breadth first: a round carries on only chains that the round before made stronger, so it ends after as many rounds as the
     longest strongest chain has links. Chains are kept per starting fact, not per group; a round is one aggregate of what is
-    known and what is reached, written to the shared folder.
+    known and what is reached, written to the shared folder in place of the round before.
     """
     links = written(learned)
     begun = links.join(starts.select(F.col("fact").alias("earlier")).distinct(), "earlier", "left_semi")
@@ -71,7 +71,8 @@ def beatpaths(learned: DataFrame, starts: DataFrame) -> DataFrame:
         reached = onward.select("start", F.col("later").alias("fact"), F.least("so_far", "votes").alias("votes"), F.lit(None).cast("bigint").alias("known"))
         both = state.select("start", "fact", "votes", F.col("votes").alias("known")).unionByName(reached)
         merged = both.groupBy("start", "fact").agg(F.max("votes").alias("votes"), F.max("known").alias("known"))
-        state = written(merged.select("start", "fact", "votes", (F.coalesce("known", F.lit(0)) < F.col("votes")).alias("grew")))
+        before, state = state, written(merged.select("start", "fact", "votes", (F.coalesce("known", F.lit(0)) < F.col("votes")).alias("grew")))
+        discard(before)
     return state.select("start", "fact", "votes")
 
 
@@ -86,12 +87,17 @@ _RANK = ["precedence", "confidence"]
 
 
 def _members(ranked: DataFrame, usable: str) -> DataFrame:
-    """(grp, fact, timed) of groups in which an untimed claim is among those that rank first: its untimed facts and the latest timed one."""
-    rank = F.struct(*_RANK)
-    tops = ranked.where(usable).groupBy("grp").agg(F.max(rank).alias("top"), F.max(F.when(F.col("at").isNull(), rank)).alias("untimed")).where("top = untimed").select("grp", "top")
-    tied = salted_join(ranked.where(usable), tops, ["grp"], ["claim_id"], "inner").where(rank == F.col("top"))
-    untimed = tied.where("at is null and fact is not null").select("grp", "fact").distinct().withColumn("timed", F.lit(False))
-    latest = tied.where("at is not null").groupBy("grp").agg(F.max(F.struct("at", (-F.col("ord")).alias("order"), "claim_id", "fact"))["fact"].alias("fact")).where("fact is not null")
+    """(gid, fact, timed) of groups in which an untimed claim is among those that rank first: its untimed facts and the latest timed one.
+
+    Groups whose first claims all say one thing are left out, as nothing could overtake it: one aggregate finds the first rank
+    with the least and the greatest fact said there, and only groups where these differ are read again.
+    """
+    flipped = F.bitwise_not("fact")  # the greatest of these belongs to the least fact
+    firsts = ranked.where(usable).groupBy("gid").agg(F.max(F.struct(*_RANK, "fact")).alias("top"), F.max(F.struct(*_RANK, flipped.alias("fact")))["fact"].alias("low"), F.max(F.when(F.col("at").isNull(), F.struct(*_RANK))).alias("untimed"))
+    open_ = firsts.where((F.struct(*(F.col(f"top.{r}") for r in _RANK)) == F.col("untimed")) & (F.col("top.fact") != F.bitwise_not("low")))
+    tied = fitted_join(ranked.where(usable), written(open_.select("gid", "untimed.*")), ["gid", *_RANK], ["claim_id"], "inner")
+    untimed = tied.where("at is null and fact is not null").select("gid", "fact").distinct().withColumn("timed", F.lit(False))
+    latest = tied.where("at is not null").groupBy("gid").agg(F.max(F.struct("at", (-F.col("ord")).alias("order"), "claim_id", "fact"))["fact"].alias("fact")).where("fact is not null")
     return untimed.unionByName(latest.withColumn("timed", F.lit(True)))
 
 
@@ -99,22 +105,25 @@ def with_currency(ranked: DataFrame, keyed: DataFrame, usable: list[str]) -> Dat
     """``currency_*`` of each claim for each kind of use: 0 if its value is overtaken by another of its group, else 1.
 
     An untimed claim is overtaken by a later value among the untimed ones and the latest timed one; timed claims are if their
-    latest is. Where no time is missing nothing is reasoned, as times decide everything.
+    latest is. Where no time is missing nothing is reasoned, as times decide everything. Groups go by a 64-bit hash here.
     """
     if keyed.where("extracted_at is null").isEmpty():
         return ranked.select("*", *(F.lit(1).alias(f"currency_{u}") for u in usable))
+    ranked = written(ranked.withColumn("gid", F.xxhash64("grp")))
     members = {u: written(_members(ranked, u)) for u in usable}
     starts = members[usable[0]].select("fact")
     for u in usable[1:]:
         starts = starts.union(members[u].select("fact"))
-    order = written(value_order(beatpaths(learned_precedence(keyed), starts.distinct())).select("fact", "later"))
+    starts = written(starts.distinct())
+    ends = fitted_join(beatpaths(learned_precedence(keyed), starts), starts, ["fact"], ["start"], "inner")
+    order = written(value_order(ends).select("fact", "later"))
     marked = ranked.withColumn("timed", F.col("at").isNotNull()).withColumn("said", F.when(F.col("at").isNotNull(), F.lit(0)).otherwise(F.col("fact")))
     for u in usable:
-        after = salted_join(members[u], order, ["fact"], ["grp"], "inner")
-        overtaken = after.join(members[u].select("grp", F.col("fact").alias("later")).distinct(), ["grp", "later"], "left_semi")
-        marks = overtaken.select("grp", "timed", F.when(F.col("timed"), F.lit(0)).otherwise(F.col("fact")).alias("said")).distinct().withColumn(f"currency_{u}", F.lit(0))
-        marked = salted_join(marked, marks, ["grp", "timed", "said"], ["claim_id"], "left").withColumn(f"currency_{u}", F.coalesce(f"currency_{u}", F.lit(1)))
-    return marked.drop("timed", "said")
+        after = fitted_join(members[u], order, ["fact"], ["gid"], "inner")
+        overtaken = after.join(members[u].select("gid", F.col("fact").alias("later")).distinct(), ["gid", "later"], "left_semi")
+        marks = written(overtaken.select("gid", "timed", F.when(F.col("timed"), F.lit(0)).otherwise(F.col("fact")).alias("said")).distinct().withColumn(f"currency_{u}", F.lit(0)))
+        marked = fitted_join(marked, marks, ["gid", "timed", "said"], ["claim_id"], "left").withColumn(f"currency_{u}", F.coalesce(f"currency_{u}", F.lit(1)))
+    return marked.drop("gid", "timed", "said")
 
 
 def survivors(claims: DataFrame, documents: DataFrame, with_fields: bool = True) -> DataFrame:
