@@ -8,9 +8,9 @@ token from the event: after a boundary the sentence-start n-grams, otherwise the
 ends are observed boundaries; all other events are hidden, so the n-gram counts are trained by expectation-maximisation,
 and forward-backward posteriors decide in every document.
 
-Spark counts: each pass tokenises the training documents in tasks, sums expected counts per task, and reduces them by key.
-The model is fitted on all documents if they have at most ``TRAIN_CHARS`` characters, else on documents drawn by a hash of
-their id that have about as many, so its size does not grow with the corpus; n-grams seen once back off to classes.
+Spark counts: one pass tokenises all documents, sums in its tasks what is observed and how often each window of tokens
+around slots occurs, and reduces both by key. What is expected in a slot depends on its window alone, so every further pass
+reads the distinct windows with their counts instead of the texts. N-grams seen once back off to classes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estateloom.functions.skew import spread
+from estateloom.session import discard, written
 
-#: characters of the documents that the model is fitted on, about
-TRAIN_CHARS = 20_000_000
 PASSES = 2
+#: distinct keys and tokens of windows that a task sums before it hands them on
+HELD = 500_000
 #: least tokens of a stretch without end marks that may hold several sentences
 UNMARKED_TOKENS = 30
 
@@ -146,10 +147,11 @@ def _shape(core: str) -> str:
 class Tokens:
     """Tokens of a block, made when they are asked for: most are not near a slot."""
 
-    __slots__ = ("matches", "made", "offset")
+    __slots__ = ("matches", "raws", "made", "offset")
 
     def __init__(self, matches: list[re.Match], offset: int):
         self.matches, self.offset = matches, offset
+        self.raws = [m[0] for m in matches]
         self.made: dict[int, Token] = {}
 
     def __len__(self) -> int:
@@ -184,21 +186,30 @@ _ONE_CJK = re.compile(f"[{_CJK}]")
 _HAS_END = re.compile(f"[{re.escape(_ENDS)}]")
 
 
+class _Behind(dict):
+    """What a slot behind a token would go by, from the text of the token: 1 an end mark, 2 a script without spaces, 0 nothing."""
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        word_end = _TOKEN.match(raw).end(2)
+        if word_end == len(raw):
+            kind = 2 if _SPACELESS.match(raw, word_end - 1) else 0
+        else:
+            kind = 1 if _HAS_END.search(raw, word_end) else 0
+        self[raw] = kind
+        return kind
+
+
+_BEHIND = _Behind()
+
+
 def slots(text: str, toks: Tokens, item: bool) -> list[int]:
     """Indexes of tokens behind which a boundary may stand."""
     out = []
-    marked = False
-    for i, m in enumerate(toks.matches):
-        word_end = m.end(2)
-        if m.end() == word_end:
-            if not "\u0e00" <= m.string[word_end - 1] <= "\u17ff" or not _SPACELESS.match(m.string, word_end - 1):
-                continue
-        elif _HAS_END.search(m.string, word_end, m.end()):
-            marked = True
-        else:
-            continue
-        if i + 1 == len(toks):
-            break
+    behind = list(map(_BEHIND.__getitem__, toks.raws))
+    marked = 1 in behind
+    for i in [i for i, kind in enumerate(behind[:-1]) if kind]:
         a, b = toks[i], toks[i + 1]
         tail = a.tail
         if item and i == 0 and _MARKER.fullmatch(a.core):
@@ -337,46 +348,121 @@ def posteriors(model: Model, text: str, toks: Tokens, at: list[int]) -> list[flo
     return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=True)]
 
 
-def expected_counts(model: Model | None, text: str, counts: dict[str, float]) -> None:
-    """Adds the n-gram counts of ``text``; without a model only what is observed, with one also the expected events."""
-    for start, end, whole in blocks(text):
-        if whole:
-            continue
-        toks = tokens(text, start, end)
-        if not len(toks):
-            continue
-        item = bool(_ITEM.match(text[start:end]))
-        skip = 1 if item and len(toks) > 1 else 0
-        at = slots(text, toks, item)
-        core = lambda i: toks[i].core if i < len(toks) else "</s>"
-        history = lambda i: toks[i - 1].core + _tail_kind(toks[i - 1].tail) if i else "<s>"
-        _count_start(counts, toks[skip], core(skip + 1), 1.0)
-        last = len(toks) - 1
-        if any(c in _ENDS for c in toks[last].tail):
-            _count_event(counts, history(last), toks[last], "1", 1.0)
-        behind_slot = {i + 1 for i in at}
-        last_core = len(toks) - 1
-        for i in range(len(toks)):
-            a = toks[i]
-            if not a.first.islower():  # pairs are asked for only where a sentence may start
-                counts["w", a.core, toks[i + 1].core if i < last_core else ""] += 1
-            if i > skip and i not in behind_slot:
-                counts["r", a.core, a.quoted] += 1
-                if not toks[i - 1].tail:
-                    counts["b", toks[i - 1].core, a.core] += 1
-        for i, p in zip(at, posteriors(model, text, toks, at) if model else [None] * len(at), strict=True):
-            a, b = toks[i], toks[i + 1]
-            _count_event(counts, history(i), a, "c", 1.0)
-            if p is None:
+class Observed(dict):
+    """What texts show of the model, summed by numbers of tokens; as a dict, the number of a token by its text.
+
+    Neighbours, block starts and ends, and the windows around slots: from the token before the first of adjacent slots to the
+    second token after the last. Events in a window depend on nothing outside it.
+    """
+
+    START, END = 0, 1
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.kinds: dict[tuple, int] = {("", "", False, "", False): self.START, ("</s>", "", False, "", False): self.END}
+        self.pairs, self.parted, self.begun, self.ended, self.windows = Counter(), Counter(), Counter(), Counter(), Counter()
+        self.texts = self.held = 0
+
+    def __missing__(self, raw: str) -> int:
+        t = tokens(raw, 0, len(raw))[0]
+        kind = (t.core, t.tail, t.quoted, "" if t.tail or not _SPACELESS.match(t.last) else t.last, t.first.islower())
+        n = self[raw] = self.kinds.setdefault(kind, len(self.kinds))
+        return n
+
+    def full(self) -> bool:
+        return max(len(self), len(self.pairs), self.held) > HELD
+
+    def add(self, text: str) -> None:
+        self.texts += 1
+        for start, end, whole in blocks(text):
+            if whole:
+                continue
+            toks = tokens(text, start, end)
+            if not len(toks):
                 continue
-            _count_event(counts, history(i), a, "x", p)
-            _count_start(counts, b, core(i + 2), p)
-            counts["r", b.core, b.quoted] += 1.0 - p
-            kind = _tail_kind(a.tail)
-            for key in (f"n|{kind}", f"n1|{kind}|{b.core}|{b.quoted}", f"n2|{kind}|{a.core}|{b.core}|{b.quoted}", f"n3|{kind}|{a.core}"):
-                counts[key] += 1.0 - p
-    if model:
-        counts["passes|"] += 1.0
+            item = bool(_ITEM.match(text[start:end]))
+            skip = 1 if item and len(toks) > 1 else 0
+            at = slots(text, toks, item)
+            ids = [self.START, *map(self.__getitem__, toks.raws), self.END]  # token i is ids[i + 1]
+            self.pairs.update(zip(ids[1:], ids[2:], strict=False))
+            self.begun[ids[skip + 1], ids[skip + 2]] += 1
+            self.ended[ids[-3], ids[-2]] += 1
+            for i in {0, *at} if skip else at:
+                self.parted[ids[i + 1], ids[i + 2]] += 1
+            first = 0
+            for k, i in enumerate(at):
+                if k + 1 == len(at) or at[k + 1] != i + 1:
+                    window = tuple(ids[at[first] : i + 4])
+                    first = k + 1
+                    self.windows[window] += 1
+                    if self.windows[window] == 1:
+                        self.held += len(window)
+
+    def sums(self) -> dict[str, float]:
+        """All that was added, under text keys: n-grams, and windows behind their mark."""
+        kinds = list(self.kinds)
+        toks = [Token(0, 0, core, tail, quoted, last, "") for core, tail, quoted, last, _ in kinds]
+        counts: dict[str, float] = defaultdict(float)
+        for (i, j), n in self.pairs.items():
+            a, b = toks[i], toks[j]
+            if not kinds[i][4]:  # pairs are asked for only where a sentence may start
+                counts[f"w1|{a.core}"] += n
+                if j != self.END:
+                    counts[f"w2|{a.core}|{b.core}"] += n
+            runs = n - self.parted[i, j] if (i, j) in self.parted else n
+            if runs and j != self.END:
+                _count_running(counts, b, runs)
+                if not a.tail:
+                    counts[f"b1|{a.core}"] += runs
+                    counts[f"b2|{a.core}|{b.core}"] += runs
+        for (i, j), n in self.begun.items():
+            _count_start(counts, toks[i], toks[j].core, n)
+        before = lambda i: toks[i].core + _tail_kind(toks[i].tail) if i != self.START else "<s>"
+        for (i, j), n in self.ended.items():
+            if any(c in _ENDS for c in toks[j].tail):
+                _count_event(counts, before(i), toks[j], "1", n)
+        for window, n in self.windows.items():
+            for i, j in zip(window[:-3], window[1:], strict=False):
+                _count_event(counts, before(i), toks[j], "c", n)
+            counts[_window_key([toks[i] for i in window])] += n
+        counts["passes|"] += self.texts
+        return counts
+
+
+_WINDOW, _NEXT, _PART = "\x1d", "\x1e", "\x1f"  # tokens hold none of them: they count as white space
+
+
+def _window_key(window: list[Token]) -> str:
+    """A window as text, with what the events in it depend on and no more."""
+    before, *inner, after = window
+    parts = [before.core + _tail_kind(before.tail)]  # empty where a block starts
+    for k, t in enumerate(inner):
+        tail, last = (t.tail, t.last) if k + 1 < len(inner) else ("", "")
+        parts.append(_PART.join((t.core, tail, "Q" if k and t.quoted else "", last)))
+    return _WINDOW + _NEXT.join((*parts, after.core))
+
+
+def expected_counts(model: Model, window: str, n: float, counts: dict[str, float]) -> None:
+    """Adds the counts that are expected in the slots of a window seen ``n`` times."""
+    before, *inner, after = window[1:].split(_NEXT)
+    toks = [Token(0, 0, before, "", False, "", "")] if before else []
+    at = range(len(toks), len(toks) + len(inner) - 1)
+    for part in inner:
+        core, tail, quoted, last = part.split(_PART)
+        toks.append(Token(0, 0, core, tail, bool(quoted), last, ""))
+    toks.append(Token(0, 0, after, "", False, "", ""))
+    for i, p in zip(at, posteriors(model, "", toks, at), strict=True):
+        a, b = toks[i], toks[i + 1]
+        _count_event(counts, toks[i - 1].core + _tail_kind(toks[i - 1].tail) if i else "<s>", a, "x", n * p)
+        _count_start(counts, b, toks[i + 2].core, n * p)
+        runs = n * (1.0 - p)
+        _count_running(counts, b, runs)
+        kind = _tail_kind(a.tail)
+        for key in (f"n|{kind}", f"n1|{kind}|{b.core}|{b.quoted}", f"n2|{kind}|{a.core}|{b.core}|{b.quoted}", f"n3|{kind}|{a.core}"):
+            counts[key] += runs
 
 
 def _count_event(counts: dict[str, float], before: str, a: Token, what: str, n: float) -> None:
@@ -393,24 +479,9 @@ def _count_start(counts: dict[str, float], b: Token, after: str, p: float) -> No
         counts[key] += p
 
 
-def keyed(counts: dict) -> dict[str, float]:
-    """The counts under text keys; what is counted per word and pair is summed up to shapes and totals here."""
-    out: dict[str, float] = defaultdict(float)
-    for key, n in counts.items():
-        if isinstance(key, str):
-            out[key] += n
-        elif key[0] == "b":
-            out[f"b1|{key[1]}"] += n
-            out[f"b2|{key[1]}|{key[2]}"] += n
-        elif key[0] == "w":
-            out[f"w1|{key[1]}"] += n
-            if key[2]:
-                out[f"w2|{key[1]}|{key[2]}"] += n
-        else:
-            out["r|"] += n
-            out[f"r0|{_shape(key[1])}|{key[2]}"] += n
-            out[f"r1|{key[1]}|{key[2]}"] += n
-    return out
+def _count_running(counts: dict[str, float], b: Token, n: float) -> None:
+    for key in ("r|", f"r0|{_shape(b.core)}|{b.quoted}", f"r1|{b.core}|{b.quoted}"):
+        counts[key] += n
 
 
 def _inside_quotes(text: str, start: int, boundary: list[int], end: int) -> set[int]:
@@ -441,47 +512,76 @@ def starts(model: Model, text: str) -> list[int]:
     return out
 
 
-def _counted(documents: DataFrame, model: dict[str, float] | None) -> dict[str, float]:
-    """One pass of training: the n-grams of the training documents that were seen more than once, with their expected counts."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("ngram", pa.string()), ("n", pa.float64())])
+_COUNTS = pa.schema([("ngram", pa.string()), ("n", pa.float64())])
+
+
+def _batch(counts: dict[str, float]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], schema=_COUNTS)
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("ngram").agg(F.sum("n").alias("n"))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(shared.value) if shared.value is not None else None
-        counts: dict = defaultdict(float)
 
-        def out() -> pa.RecordBatch:
-            sums = keyed(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.float64())], schema=schema)
-            counts.clear()
-            return batch
+def _observed(documents: DataFrame) -> DataFrame:
+    """(ngram, n): what all documents show, and the windows around their slots."""
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Observed()
         for b in it:
             for text in b.column("text").to_pylist():
                 if text:
-                    expected_counts(m, text, counts)
-            if len(counts) > 500_000:  # pre-aggregated, not kept for a whole split
-                yield out()
-        yield out()
+                    seen.add(text)
+                if seen.full():  # pre-aggregated, not kept for a whole split
+                    yield _batch(seen.sums())
+                    seen.clear()
+        yield _batch(seen.sums())
 
-    summed = documents.select("text").mapInArrow(batches, "ngram string, n double").groupBy("ngram").agg(F.sum("n").alias("n"))
-    return {r.ngram: r.n for r in summed.where("n >= 1.5").collect()}  # bounded by what the model is fitted on
+    return _summed(documents.select("text").mapInArrow(batches, "ngram string, n double"))
 
 
-def training_documents(documents: DataFrame, most_chars: int = TRAIN_CHARS) -> DataFrame:
-    """All documents if they have at most ``most_chars`` characters, else those whose hashed id falls into the share that has about as many."""
-    total = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+def _expected(windows: DataFrame, model: dict[str, float]) -> DataFrame:
+    """(ngram, n): what ``model`` expects in the slots of all windows, not yet summed over tasks."""
+    shared = windows.sparkSession.sparkContext.broadcast(model)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(shared.value)
+        counts: dict[str, float] = defaultdict(float)
+        for b in it:
+            for window, n in zip(b.column("ngram").to_pylist(), b.column("n").to_pylist(), strict=True):
+                expected_counts(m, window, n, counts)
+            if len(counts) > HELD:
+                yield _batch(counts)
+                counts.clear()
+        yield _batch(counts)
+
+    return windows.mapInArrow(batches, "ngram string, n double")
+
+
+def _collected(counts: DataFrame) -> dict[str, float]:
+    """The n-grams seen more than once; they grow with the words and pairs of the texts, not with their length."""
+    return {r.ngram: r.n for r in counts.where("n >= 1.5").collect()}
+
+
+def training_documents(documents: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """All documents. Only a caller that names ``most_chars`` gets a share by hashed id with about as many; no query does."""
     texts = documents.select("doc_id", "text")
+    if most_chars is None:
+        return texts
+    total = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     return texts if total <= most_chars else texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_chars / total))
 
 
-def train(documents: DataFrame, passes: int = PASSES, most_chars: int = TRAIN_CHARS) -> dict[str, float]:
-    """Counts of the model: the first pass from observed block edges alone, each further one also from posteriors."""
-    texts = spread(training_documents(documents, most_chars), "doc_id")
-    model = None
-    for _ in range(passes):
-        model = _counted(texts, model)
-    return model or {}
+def train(documents: DataFrame, passes: int = PASSES) -> dict[str, float]:
+    """Counts of the model over all documents: the first pass from observed block edges alone, each further one also from posteriors."""
+    counts = written(_observed(spread(training_documents(documents), "doc_id")))
+    window = F.col("ngram").startswith(_WINDOW)
+    seen = counts.where(~window)
+    model = _collected(seen.where("ngram <> 'passes|'")) if passes else {}
+    for _ in range(passes - 1):
+        model = _collected(_summed(seen.unionAll(_expected(spread(counts.where(window), "ngram"), model))))
+    discard(counts)
+    return model
 
 
 def sentence_units(documents: DataFrame, model: dict[str, float] | None = None, with_text: bool = True) -> DataFrame:

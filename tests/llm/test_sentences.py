@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from estateloom.llm import sentences as S
 
@@ -129,3 +131,86 @@ def test_posteriors_equal_enumeration(model):
         total += p
         marg = [m + p * e for m, e in zip(marg, events, strict=True)]
     assert got == pytest.approx([m / total for m in marg])
+
+
+def test_all_documents_train(spark):
+    """However long the texts are together (30 million characters here), the counts are those of all."""
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("It ends. It starts "), F.repeat(F.lit("x"), 100_000), F.lit(".")).alias("text"))
+    model = S.train(df)
+    assert model["passes|"] == 300 and model["k|.|1"] == 300 and model["k|.|c"] == 300 and model["b2|It|ends"] == 300
+
+
+def counted_plainly(model, texts):
+    """The counts of one pass by their definition, token by token and text by text."""
+    counts = Counter()
+
+    def event(before, a, what, n):
+        kind = S._tail_kind(a.tail)
+        wide = f"e1|{kind}|{a.core}" if a.tail else "e1||" if S._SPACELESS.match(a.last) else "e1|~|"
+        counts.update({f"{k}|{what}": n for k in (f"k|{kind}", f"e0|{kind}|{S._shape(a.core)}", wide, f"e2|{kind}|{a.core}|{before}")})
+        if what != "c" and a.tail:
+            counts[f"z|{a.core}"] += n
+
+    def start(b, after, n):
+        counts.update({k: n for k in ("s|", f"s0|{S._shape(b.core)}|{b.quoted}", f"s1|{b.core}|{b.quoted}", f"s2|{b.core}|{after}", f"s3|{b.core}")})
+
+    def runs(b, n):
+        counts.update({k: n for k in ("r|", f"r0|{S._shape(b.core)}|{b.quoted}", f"r1|{b.core}|{b.quoted}")})
+
+    for text in texts:
+        for begin, end, whole in S.blocks(text):
+            toks = list(S.tokens(text, begin, end)) if not whole else []
+            if not toks:
+                continue
+            item = bool(S._ITEM.match(text[begin:end]))
+            at = S.slots(text, S.tokens(text, begin, end), item)
+            skip, behind = int(item and len(toks) > 1), {i + 1 for i in at}
+            core = lambda i: toks[i].core if i < len(toks) else "</s>"  # noqa: B023, E731
+            before = lambda i: toks[i - 1].core + S._tail_kind(toks[i - 1].tail) if i else "<s>"  # noqa: B023, E731
+            start(toks[skip], core(skip + 1), 1)
+            if any(c in S._ENDS for c in toks[-1].tail):
+                event(before(len(toks) - 1), toks[-1], "1", 1)
+            for i, a in enumerate(toks):
+                if not a.first.islower():
+                    counts[f"w1|{a.core}"] += 1
+                    if i + 1 < len(toks):
+                        counts[f"w2|{a.core}|{core(i + 1)}"] += 1
+                if i > skip and i not in behind:
+                    runs(a, 1)
+                    if not toks[i - 1].tail:
+                        counts.update((f"b1|{core(i - 1)}", f"b2|{core(i - 1)}|{a.core}"))
+            for i, p in zip(at, S.posteriors(model, text, toks, at) if model else [None] * len(at), strict=True):
+                event(before(i), toks[i], "c", 1)
+                if p is not None:
+                    a, b, kind = toks[i], toks[i + 1], S._tail_kind(toks[i].tail)
+                    event(before(i), a, "x", p)
+                    start(b, core(i + 2), p)
+                    runs(b, 1 - p)
+                    counts.update({k: 1 - p for k in (f"n|{kind}", f"n1|{kind}|{b.core}|{b.quoted}", f"n2|{kind}|{a.core}|{b.core}|{b.quoted}", f"n3|{kind}|{a.core}")})
+        if model:
+            counts["passes|"] += 1
+    return {k: n for k, n in counts.items() if n >= 1.5}
+
+
+def test_counts_equal_their_definition(spark, monkeypatch):
+    docs = corpus(5, 60)[0]
+    docs += [(100 + i, t) for i, t in enumerate(["- (a) x. Y? 1) Z", "1. A. B. C.\n- x\n- x", "x", "„Ja. Nein.“ sagte er... « Gut ! » Ja.", "ក្រុម កំពុងរង់ចាំ។ ប្រព័ន្ធ ដំណើរការ។", "A. B. C. D. E? 系统。「好。」A", "e.g. The plan ends here and v1.2 starts with abc-db-01 " * 8] * 3)]
+    docs += [(200, None), (201, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    texts = [t for _, t in docs if t]
+    once = counted_plainly(None, texts)
+    twice = counted_plainly(S.Model(once), texts)
+    assert S.train(df, 1) == once
+    assert S.train(df) == pytest.approx(twice)
+    whole, parts, handed_on = S.Observed(), Counter(), 0
+    monkeypatch.setattr(S, "HELD", 50)  # what is handed on early adds up to the same
+    seen = S.Observed()
+    for t in texts:
+        whole.add(t)
+        seen.add(t)
+        if seen.full():
+            parts.update(seen.sums())
+            seen.clear()
+            handed_on += 1
+    parts.update(seen.sums())
+    assert handed_on > 1 and dict(parts) == whole.sums()
